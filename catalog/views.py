@@ -98,7 +98,7 @@ def duckdb_hash(title: str, content: str) -> str:
     return DUCKDB_HASH.format(t=title, c=content)
 
 
-def with_views(sql: str) -> str:
+def with_views(select: str, ctes: str = "") -> str:
     """DuckDB SQL over the feed tables, with their definitions in front.
 
     ``translations`` is ``tracked`` with its hash.
@@ -107,8 +107,10 @@ def with_views(sql: str) -> str:
     views["translations"] = (
         f"select *, {duckdb_hash('source_title', 'source_content')} as source_hash from tracked"
     )
-    ctes = ",\n".join(f"{name} as ({body})" for name, body in views.items())
-    return f"with {ctes}\n{sql.strip()}" if not sql.lstrip().startswith(",") else f"with {ctes}\n{sql.strip()}"
+    parts = [f"{name} as ({body})" for name, body in views.items()]
+    if ctes:
+        parts.append(ctes.strip())
+    return "with recursive " + ",\n".join(parts) + "\n" + select.strip()
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
