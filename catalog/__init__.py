@@ -1,6 +1,6 @@
 """Queries over the test tables, each with the SQL that checks it."""
 
-from catalog import selection
+from catalog import selection, tagging
 from catalog.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "selection"]
+__all__ = ["ORACLES", "QUERIES", "selection", "tagging"]

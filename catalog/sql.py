@@ -81,7 +81,7 @@ MARKUP = (
 
 
 def runs(table: str, key: str, html: str, carry: str = "") -> str:
-    """Non-blank text runs outside script and style: key, at, text."""
+    """Non-blank text runs outside script and style: key, place, text."""
     text = "piece.raw"
     for entity, character in (
         ("&lt;", "<"),
@@ -96,10 +96,10 @@ def runs(table: str, key: str, html: str, carry: str = "") -> str:
     text = f"regexp_replace({text}, '&amp$', '&')"
     pieces = (
         f"unnest(list_transform(string_split(regexp_replace({html}, '{MARKUP}', chr(1), 'g'), chr(1)), "
-        "lambda x, i: {'raw': x, 'at': i})) as piece"
+        "lambda x, i: {'raw': x, 'place': i})) as piece"
     )
     return (
-        f"select {key}, {carry} piece.at as at, {text} as text "
+        f"select {key}, {carry} piece.place as place, {text} as text "
         f"from (select {key}, {carry} {pieces} from {table}) "
         f"where regexp_matches(piece.raw, '[^{SPACE}]')"
     )
@@ -108,7 +108,7 @@ def runs(table: str, key: str, html: str, carry: str = "") -> str:
 def segments(table: str, key: str, html: str, carry: str = "") -> str:
     """Translatable runs numbered from 0 with their core and whitespace."""
     return (
-        f"select {key}, {carry} row_number() over (partition by {key} order by at) - 1 as seq, at, "
+        f"select {key}, {carry} row_number() over (partition by {key} order by place) - 1 as seq, place, "
         f"regexp_extract(text, '^[{SPACE}]*') as prefix, {strip('text')} as core, "
         f"regexp_extract(text, '[{SPACE}]*$') as suffix "
         f"from ({runs(table, key, html, carry)}) where regexp_matches(text, '{TRANSLATABLE}')"

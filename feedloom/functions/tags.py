@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,19 +27,32 @@ def clean_tags(raw: Column) -> Column:
     return F.filter(trimmed, lambda tag: tag != "")
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unique_tags(cleaned: Column) -> Column:
-    """First spelling of every tag, compared without regard to case."""
-    start = F.struct(no_tags().alias("keys"), no_tags().alias("tags"))
-
-    def add(state: Column, tag: Column) -> Column:
-        key = fold(tag)
-        longer = F.struct(
-            F.array_append(state["keys"], key).alias("keys"),
-            F.array_append(state["tags"], tag).alias("tags"),
+    """First spelling of every tag, compared without regard to case.
+
+    Sorting by key and place puts every first spelling behind a change of key,
+    so long lists do not cost their square.
+    """
+    by_key = F.array_sort(
+        F.transform(
+            cleaned,
+            lambda tag, i: F.struct(fold(tag).alias("key"), i.alias("place"), tag.alias("tag")),
         )
-        return F.when(F.array_contains(state["keys"], key), state).otherwise(longer)
+    )
 
-    return F.aggregate(cleaned, start, add, lambda state: state["tags"])
+    def first_spellings(items: Column) -> Column:
+        firsts = F.filter(
+            items, lambda item, i: ~item["key"].eqNullSafe(F.get(items, i - 1)["key"])
+        )
+        in_order = F.array_sort(F.transform(firsts, lambda item: F.struct(item["place"], item["tag"])))
+        return F.transform(in_order, lambda item: item["tag"])
+
+    return _bind(by_key, first_spellings)
 
 
 def merge_tags(existing: Column, generated: Column, limit: Column | None = None) -> Column:
@@ -55,13 +70,12 @@ def format_tag_cache(tags: Column) -> Column:
     return F.array_join(unique_tags(clean_tags(tags)), ",")
 
 
-def has_tag(tags: Column, tag: Column) -> Column:
-    return F.exists(tags, lambda other: fold(other) == fold(tag))
-
-
 def without_tags(tags: Column, present: Column) -> Column:
     """Tags not in ``present``, compared without regard to case."""
-    return F.filter(tags, lambda tag: ~has_tag(present, tag))
+    return _bind(
+        F.transform(present, fold),
+        lambda keys: F.filter(tags, lambda tag: ~F.array_contains(keys, fold(tag))),
+    )
 
 
 def adds_tags(existing: Column, extra: Column) -> Column:
