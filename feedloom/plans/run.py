@@ -8,26 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.tags import no_tags, show_tags
-from feedloom.functions.text import is_blank, preview
+from feedloom.functions.text import preview
 from feedloom.operators import merge
 from feedloom.operators.candidates import newest_first, select_candidates, within_quota
 from feedloom.operators.fulltext import use_fulltext
-from feedloom.operators.inference import (
-    TextBackend,
-    gather_errors,
-    translate_by_glossary,
-    translate_texts,
-)
+from feedloom.operators.inference import TextBackend
 from feedloom.operators.planning import plan_entries
-from feedloom.operators.segments import (
-    counts_match,
-    gather_translations,
-    rebuilt_html,
-    texts_to_translate,
-    with_html_preview,
-    with_runs,
-    with_segments,
-)
+from feedloom.operators.segments import with_html_preview, with_runs, with_segments
 from feedloom.operators.tagging import (
     TagBackend,
     generate_tags,
@@ -37,11 +24,10 @@ from feedloom.operators.tagging import (
     with_tagging_excerpt,
 )
 from feedloom.options import CONTENT_PREVIEW_CHARS, TITLE_PREVIEW_CHARS, EnrichOptions
+from feedloom.plans.convenience import translate_parsed
 from feedloom.sources.staging import stage
 from feedloom.sources.tables import Tables
 
-SEGMENT_COUNT_ERROR = "translator returned a different number of text nodes"
-
 OUTCOME = [
     "entry_id",
     "owner_uid",
@@ -134,27 +120,9 @@ def translate_queue(
     parsed = with_segments(with_runs(queue, "source_content"))
     if options.tagging:
         parsed = with_tagging_excerpt(parsed)
-    parsed = stage(parsed.drop("runs"), "segments")
-    texts = texts_to_translate(parsed, "entry_id", "date_entered", title="source_title")
-    if callable(translator):
-        order = [*newest_first(), F.col("seq")]
-        translations = translate_texts(texts, order, translator, options)
-    else:
-        translations = translate_by_glossary(texts, translator).withColumns(
-            {"error": F.lit(None).cast("string"), "position": F.lit(None).cast("bigint")}
-        )
-    joined = (
-        parsed.join(gather_translations(translations, "entry_id"), "entry_id", "left")
-        .join(gather_errors(translations), "entry_id", "left")
-        .withColumn("new_cores", F.coalesce("new_cores", no_tags()))
-    )
-    titled = ~is_blank(F.col("source_title"))
-    return joined.select(
-        *[c for c in parsed.columns if c not in ("segments", "tail")],
-        F.when(titled, F.col("new_title")).otherwise(F.col("source_title")).alias("new_title"),
-        rebuilt_html().alias("new_content"),
-        F.coalesce("error", F.when(~counts_match(), F.lit(SEGMENT_COUNT_ERROR))).alias("error"),
-    )
+    return translate_parsed(
+        parsed.drop("runs"), "source_title", newest_first(), translator, options
+    ).withColumnRenamed("new_html", "new_content")
 
 
 def tag_requests(translated: DataFrame, untouched: DataFrame, options: EnrichOptions) -> DataFrame:
