@@ -1,6 +1,6 @@
 """Queries over the test tables, each with the SQL that checks it."""
 
-from catalog import selection, tagging, texts
+from catalog import backends, selection, tagging, texts
 from catalog.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "selection", "tagging", "texts"]
+__all__ = ["ORACLES", "QUERIES", "backends", "selection", "tagging", "texts"]

@@ -14,12 +14,10 @@ from catalog.views import feed_tables, load
 from feedloom.functions import tags as T
 from feedloom.functions.shipping import ship_by_value
 from feedloom.operators.candidates import newest_first, select_candidates
-from feedloom.operators.inference import ReplyFormatError
 from feedloom.operators.ordering import with_positions
 from feedloom.operators.planning import plan_entries
 from feedloom.operators.segments import with_runs
 from feedloom.operators.tagging import (
-    generate_tags,
     may_request_tags,
     plan_tags,
     with_payload,

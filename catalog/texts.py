@@ -150,7 +150,7 @@ def packing_sql(table: str, order: str, size: str, keys: str) -> str:
 numbered as (
   select {keys}, {size} as size, row_number() over (order by {order}) - 1 as position from {table}),
 summed as (select *, sum(size) over (order by position)::bigint as upto from numbered),
-ends as (
+ends as materialized (
   select a.position, least(coalesce(min(b.position), a.position + 40),
            (select count(*) from summed)) as follow
   from summed a left join summed b
