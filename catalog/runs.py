@@ -52,7 +52,7 @@ hashed as (
 queue as (select * from hashed where action = 'translate'),
 {rewritten_sql('queue', 'entry_id', 'source_content').strip()},
 rejected as (
-  select q.entry_id, @rejects and (contains(q.source_title, 'zeit') or coalesce(bool_or(contains(s.core, 'zeit')), false)) as failed
+  select q.entry_id, @rejects and (contains(q.source_title, 'hath') or coalesce(bool_or(contains(s.core, 'hath')), false)) as failed
   from queue q left join segmented s using (entry_id) group by q.entry_id, q.source_title),
 asked as (
   select h.entry_id, 4 - len(current_tags) as slots, current_tags,

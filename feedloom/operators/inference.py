@@ -6,9 +6,10 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from feedloom.functions.shipping import ship_by_value
 from feedloom.operators.packing import pack
@@ -22,6 +23,9 @@ ship_by_value(__name__)
 # of a model that is yet to be parsed.
 TextBackend = Callable[[list[str]], "list[str] | str"]
 
+ANSWER_NAMES = ("output", "reply", "call_error", "format_error")
+ANSWER_TYPES = (pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_())
+
 COUNT_ERROR = "translator returned a different number of text items"
 
 
@@ -50,37 +54,25 @@ def translate_by_glossary(texts: DataFrame, glossary: DataFrame) -> DataFrame:
 def call_per_chunk(chunks: DataFrame, inputs: str, backend: Callable, decode: bool) -> DataFrame:
     """Call the backend once for every row of ``chunks`` and keep what it said.
 
-    Adds ``output`` (a list it returned), ``reply`` (a text it returned),
-    ``call_error`` and ``format_error``. The result is written before anything
-    reads it, so that branching off it does not call again.
+    Adds ``output`` (a list it returned), ``reply`` (a text it returned, or
+    JSON of what it returned if ``decode``), ``call_error`` and
+    ``format_error``; ``inputs`` is dropped. The result is written before
+    anything reads it, so that branching off it does not call again.
     """
-    key = "chunk_key"
-    schema = (
-        f"{key} string, output array<string>, reply string, call_error string, "
-        "format_error boolean"
-    )
-
-    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for chunk_key, values in zip(frame[key], frame[inputs]):
-                arguments = [json.loads(v) for v in values] if decode else list(values)
-                output = reply = error = None
-                format_error = False
-                try:
-                    answer = backend(arguments)
-                    if isinstance(answer, str):
-                        reply = answer
-                    elif decode:
-                        reply = json.dumps(answer, ensure_ascii=False)
-                    else:
-                        output = [str(text) for text in answer]
-                except Exception as failure:  # one bad chunk must not end the job
-                    error = str(failure) or type(failure).__name__
-                    format_error = isinstance(failure, ReplyFormatError)
-                rows.append((chunk_key, output, reply, error, format_error))
-            yield pd.DataFrame(
-                rows, columns=[key, "output", "reply", "call_error", "format_error"], dtype=object
+    kept = [name for name in chunks.columns if name != inputs]
+    schema = StructType([chunks.schema[name] for name in kept])
+    schema = schema.add("output", ArrayType(StringType())).add("reply", "string")
+    schema = schema.add("call_error", "string").add("format_error", "boolean")
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = [_ask_once(backend, texts, decode) for texts in batch.column(inputs).to_pylist()]
+            answers = [
+                pa.array(column, kind)
+                for column, kind in zip(zip(*said), ANSWER_TYPES)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(name) for name in kept] + answers, [*kept, *ANSWER_NAMES]
             )
 
     # a fixed number of partitions: chunks are small, and merging them into few
@@ -89,14 +81,27 @@ def call_per_chunk(chunks: DataFrame, inputs: str, backend: Callable, decode: bo
         chunks.sparkSession.sparkContext.defaultParallelism,
         int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")),
     )
-    called = chunks.select(key, inputs).repartition(spread, key).mapInPandas(call, schema)
+    called = chunks.repartition(spread, "chunk_key").mapInArrow(call, schema)
     return stage(called, "replies")
 
 
+def _ask_once(backend: Callable, inputs: list[str], decode: bool) -> tuple:
+    try:
+        answer = backend([json.loads(text) for text in inputs] if decode else inputs)
+        if isinstance(answer, str):
+            return None, answer, None, False
+        if decode:
+            return None, json.dumps(answer, ensure_ascii=False), None, False
+        return [str(text) for text in answer], None, None, False
+    except Exception as failure:  # one bad chunk must not end the job
+        message = str(failure) or type(failure).__name__
+        return None, None, message, isinstance(failure, ReplyFormatError)
+
+
 def chunk_texts(
     texts: DataFrame, order: list[Column], options: EnrichOptions, stream: str | None = None
 ) -> DataFrame:
-    """Texts packed into chunks: ``chunk_key`` and items in order.
+    """Texts packed into chunks: ``chunk_key``, item keys and texts in order.
 
     ``texts`` has ``entry_id, seq, text`` and the columns of ``order``. Only
     lengths go through the packing.
@@ -111,6 +116,7 @@ def chunk_texts(
         stream=stream,
     ).select("entry_id", "seq", "position", "chunk_id")
     item = F.struct("position", "entry_id", "seq", "text")
+    keys = F.transform("items", lambda i: i.dropFields("text"))
     return (
         texts.select("entry_id", "seq", "text")
         .join(packed, ["entry_id", "seq"])
@@ -118,7 +124,7 @@ def chunk_texts(
         .agg(F.array_sort(F.collect_list(item)).alias("items"))
         .select(
             F.col("chunk_id").cast("string").alias("chunk_key"),
-            "items",
+            keys.alias("items"),
             F.transform("items", lambda i: i["text"]).alias("inputs"),
         )
     )
@@ -129,14 +135,14 @@ def run_chunks(chunks: DataFrame, backend: TextBackend) -> DataFrame:
 
     A chunk whose call failed or whose count is wrong fails as a whole.
     """
-    chunks = stage(chunks, "chunks")
     called = call_per_chunk(chunks, "inputs", backend, decode=False)
-    replies = with_string_array(called, "reply", "parsed")
-    answered = chunks.join(replies, "chunk_key").withColumn("answer", F.coalesce("output", "parsed"))
+    answered = with_string_array(called, "reply", "parsed").withColumn(
+        "answer", F.coalesce("output", "parsed")
+    )
     error = F.coalesce(
         F.col("call_error"),
         F.when(F.col("output").isNull(), F.col("reply_error")),
-        F.when(F.size("answer") != F.size("inputs"), F.lit(COUNT_ERROR)),
+        F.when(F.size("answer") != F.size("items"), F.lit(COUNT_ERROR)),
     )
     checked = answered.select("items", "answer", error.alias("error"))
     return checked.select("error", "answer", F.posexplode("items").alias("at", "item")).select(
@@ -158,13 +164,13 @@ def translate_texts(
     """
     if options.distinct_texts:
         return _translate_distinct(texts, order, backend, options)
-    together = stage(run_chunks(chunk_texts(texts, order, options), backend), "together")
+    together = run_chunks(chunk_texts(texts, order, options), backend)
     failed = together.where(F.col("error").isNotNull()).select("entry_id").distinct()
     if failed.isEmpty():
         return together
     again = texts.join(failed, "entry_id", "left_semi")
     alone = run_chunks(chunk_texts(again, [F.col("seq")], options, stream="entry_id"), backend)
-    return together.join(failed, "entry_id", "left_anti").unionByName(stage(alone, "alone"))
+    return together.join(failed, "entry_id", "left_anti").unionByName(alone)
 
 
 def _translate_distinct(texts, order, backend, options):
@@ -178,12 +184,3 @@ def _translate_distinct(texts, order, backend, options):
         .join(by_text.drop("entry_id", "seq"), "text")
         .select("entry_id", "seq", "position", "translated", "error")
     )
-
-
-def gather_errors(translated: DataFrame) -> DataFrame:
-    """First error of every article that has one."""
-    return (
-        translated.where(F.col("error").isNotNull())
-        .groupBy("entry_id")
-        .agg(F.min_by("error", "position").alias("error"))
-    )

@@ -37,6 +37,7 @@ def pack(
     max_items: int,
     max_size: int,
     stream: str | None = None,
+    numbered: bool = False,
     block_items: int = BLOCK_ITEMS,
     group_blocks: int = GROUP_BLOCKS,
 ) -> DataFrame:
@@ -44,19 +45,20 @@ def pack(
 
     ``df`` should be narrow: keys and the size, not the texts. With ``stream``
     every value of that column is packed by itself; positions stay global.
+    ``numbered`` says that ``df`` has its ``position`` already.
     """
     if block_items < max_items:
         raise ValueError("a block must hold at least one full chunk")
     keys = [F.col(stream)] if stream else []
-    numbered = with_positions(df, [*keys, *order])
+    placed = df if numbered else with_positions(df, [*keys, *order])
     if stream:
-        starts = numbered.groupBy(stream).agg(F.min("position").alias("_start"))
-        numbered = numbered.join(starts, stream)
+        starts = placed.groupBy(stream).agg(F.min("position").alias("_start"))
+        placed = placed.join(starts, stream)
     else:
-        numbered = numbered.withColumn("_start", F.lit(0).cast("bigint"))
+        placed = placed.withColumn("_start", F.lit(0).cast("bigint"))
     local = F.col("position") - F.col("_start")
     sized = (
-        numbered.withColumn("_local", local)
+        placed.withColumn("_local", local)
         .withColumn("_block", F.floor(local / block_items))
         .withColumn("_size", F.col(size).cast("bigint"))
     )
@@ -70,7 +72,7 @@ def pack(
     if longest is not None and longest >= block_items:
         narrow = views.select("_start", "_view", "_local", "_size")
         entries = _block_entries(narrow, max_items, max_size, block_items, group_blocks)
-    return _mark_chunks(views, entries, df.schema, max_items, max_size, block_items)
+    return _mark_chunks(views, entries, df.drop("position").schema, max_items, max_size, block_items)
 
 
 def next_starts(sizes: np.ndarray, max_items: int, max_size: int) -> np.ndarray:

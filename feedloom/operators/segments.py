@@ -91,15 +91,17 @@ def texts_to_translate(df: DataFrame, *keys: str, title: str) -> DataFrame:
 
 
 def gather_translations(translated: DataFrame, key: str) -> DataFrame:
-    """Translations per article: ``new_title`` and ``new_cores`` in order."""
+    """Per article: ``new_title``, ``new_cores`` in order, and its first ``error``."""
     rows = F.array_sort(F.collect_list(F.struct("seq", "translated")))
-    gathered = translated.groupBy(key).agg(rows.alias("_rows"))
+    failed = F.when(F.col("error").isNotNull(), F.struct("position", "error"))
+    gathered = translated.groupBy(key).agg(rows.alias("_rows"), F.min(failed).alias("_failed"))
     title = F.filter("_rows", lambda r: r["seq"] == TITLE_SEQ)
     cores = F.filter("_rows", lambda r: r["seq"] != TITLE_SEQ)
     return gathered.select(
         key,
         F.get(title, F.lit(0))["translated"].alias("new_title"),
         F.transform(cores, lambda r: r["translated"]).alias("new_cores"),
+        F.col("_failed.error").alias("error"),
     )
 
 

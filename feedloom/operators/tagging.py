@@ -123,13 +123,16 @@ def prepare_requests(requests: DataFrame, order: list[Column], options: EnrichOp
 
 def chunk_requests(prepared: DataFrame, options: EnrichOptions) -> DataFrame:
     """Chunks of requests: ``chunk_key`` and ``requests`` in order."""
-    sizes = prepared.where("batched").select("entry_id", "request_index", "payload_size")
+    sizes = prepared.where("batched").select(
+        "entry_id", "payload_size", F.col("request_index").alias("position")
+    )
     packed = pack(
         sizes,
-        [F.col("request_index")],
+        [],
         "payload_size",
         max_items=options.max_texts,
         max_size=options.max_chars,
+        numbered=True,
     ).select("entry_id", F.concat(F.lit("q"), "chunk_id").alias("packed_key"))
     request = F.struct("request_index", "request_id", "entry_id", "payload")
     key = F.when(F.col("batched"), F.col("packed_key")).otherwise(F.concat(F.lit("s"), "entry_id"))
@@ -148,7 +151,7 @@ def _ask(chunks: DataFrame, backend: TagBackend) -> DataFrame:
         F.transform("requests", lambda r: r["request_id"]).alias("ids"),
     )
     called = call_per_chunk(asked, "inputs", backend, decode=True)
-    read = with_tag_results(asked.join(called, "chunk_key"), "reply", "ids")
+    read = with_tag_results(called, "reply", "ids")
     wrong_format = F.col("format_error") | (
         F.col("call_error").isNull() & (F.col("reply_error") != MALFORMED)
     )
@@ -183,16 +186,15 @@ def ask_with_bisecting(chunks: DataFrame, backend: TagBackend) -> DataFrame:
     halved.
     """
     settled = None
-    pending = stage(chunks.select("chunk_key", "requests"), "tag_chunks")
+    pending = chunks.select("chunk_key", "requests")
     while True:
-        asked = stage(_ask(pending, backend), "tag_replies")
+        asked = _ask(pending, backend)
         again = F.col("retry") & (F.size("requests") > 1)
         done = asked.where(~again)
         settled = done if settled is None else settled.unionByName(done)
         pending = _halves(asked.where(again))
         if pending.isEmpty():
             break
-        pending = stage(pending, "tag_chunks")
     return settled.select(
         "results", "error", F.size("requests").alias("chunk_size"), F.posexplode("requests")
     ).select(
@@ -213,7 +215,7 @@ def generate_tags(
     failed with its chunk is asked once more by itself.
     """
     prepared = stage(prepare_requests(requests, order, options), "tag_requests")
-    answers = stage(ask_with_bisecting(chunk_requests(prepared, options), backend), "tag_answers")
+    answers = ask_with_bisecting(chunk_requests(prepared, options), backend)
     failed = (
         answers.where(F.col("error").isNotNull())
         .join(prepared.where("batched").select("entry_id"), "entry_id", "left_semi")
@@ -228,9 +230,7 @@ def generate_tags(
         retried = ask_with_bisecting(
             chunk_requests(with_payload(alone, F.lit("0"), options), options), backend
         )
-        answers = answers.join(failed, "entry_id", "left_anti").unionByName(
-            stage(retried, "tag_answers_alone")
-        )
+        answers = answers.join(failed, "entry_id", "left_anti").unionByName(retried)
     normal = normalize_generated(F.col("tags"), F.col("existing_tags"), F.col("slots"))
     generated = prepared.select("entry_id", "existing_tags", "slots").join(answers, "entry_id")
     return requests.select("entry_id").join(

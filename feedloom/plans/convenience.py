@@ -5,14 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.tags import no_tags
 from feedloom.functions.text import is_blank
-from feedloom.operators.inference import (
-    TextBackend,
-    gather_errors,
-    translate_by_glossary,
-    translate_texts,
-)
+from feedloom.operators.inference import TextBackend, translate_by_glossary, translate_texts
 from feedloom.operators.segments import (
     counts_match,
     gather_translations,
@@ -56,10 +50,9 @@ def translate_parsed(
         translations = translate_by_glossary(texts, translator).withColumns(
             {"error": F.lit(None).cast("string"), "position": F.lit(None).cast("bigint")}
         )
-    joined = (
-        parsed.join(gather_translations(translations, "entry_id"), "entry_id", "left")
-        .join(gather_errors(translations), "entry_id", "left")
-        .withColumn("new_cores", F.coalesce("new_cores", no_tags()))
+    gathered = gather_translations(translations, "entry_id")
+    joined = parsed.join(gathered, "entry_id", "left").withColumn(
+        "new_cores", F.coalesce("new_cores", F.array().cast("array<string>"))
     )
     titled = ~is_blank(F.col(title))
     return joined.select(

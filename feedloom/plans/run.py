@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,13 +53,30 @@ OUTCOME = [
 
 @dataclass(frozen=True)
 class RunResult:
-    """What a run did; every table is lazily derived from ``outcome``."""
+    """What a run did: the written ``outcome`` and what follows from it."""
 
     outcome: DataFrame
-    tables: Tables
-    errors: DataFrame
-    stats: DataFrame
-    previews: DataFrame
+    before: Tables
+    options: EnrichOptions
+
+    @cached_property
+    def tables(self) -> Tables:
+        """The tables after the run; a dry run leaves them as they were."""
+        if self.options.dry_run:
+            return self.before
+        return merged_tables(self.before, self.outcome, self.options)
+
+    @property
+    def errors(self) -> DataFrame:
+        return error_rows(self.outcome, self.options)
+
+    @property
+    def stats(self) -> DataFrame:
+        return run_stats(self.outcome, self.options)
+
+    @property
+    def previews(self) -> DataFrame:
+        return previews(self.outcome)
 
 
 def enrich(
@@ -74,13 +92,7 @@ def enrich(
     join with. Nothing is written to the tables; see ``feedloom.sources.store``.
     """
     outcome = stage(handle(tables, options, translator, tagger, fulltext), "outcome")
-    return RunResult(
-        outcome=outcome,
-        tables=tables if options.dry_run else merged_tables(tables, outcome, options),
-        errors=error_rows(outcome, options),
-        stats=run_stats(outcome, options),
-        previews=previews(outcome),
-    )
+    return RunResult(outcome, tables, options)
 
 
 def handle(tables, options, translator, tagger=None, fulltext=None) -> DataFrame:
@@ -104,7 +116,7 @@ def handle(tables, options, translator, tagger=None, fulltext=None) -> DataFrame
         tags = generate_tags(
             tag_requests(translated, untouched, options), newest_first(), tagger, options
         )
-        tags = stage(tags, "tags").withColumnRenamed("error", "tag_error")
+        tags = tags.withColumnRenamed("error", "tag_error")
     else:
         tags = handled.select("entry_id").where(F.lit(False))
         tags = tags.withColumns(
