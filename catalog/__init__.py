@@ -1,6 +1,6 @@
 """Queries over the test tables, each with the SQL that checks it."""
 
-from catalog import backends, merging, runs, selection, tagging, texts
+from catalog import backends, merging, runs, selection, streams, tagging, texts
 from catalog.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "backends", "merging", "runs", "selection", "tagging", "texts"]
+__all__ = ["ORACLES", "QUERIES", "backends", "merging", "runs", "selection", "streams", "tagging", "texts"]

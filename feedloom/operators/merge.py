@@ -111,15 +111,16 @@ def stamp_errors(translations: DataFrame, failures: DataFrame, run_ts: datetime)
 def merge_subscription_tags(tags: DataFrame, generated: DataFrame) -> DataFrame:
     """Tags to add per subscription and the list it then has.
 
-    ``generated`` has ``owner_uid, user_entry_id, generated``. The list starts
-    from the tags table in id order; subscriptions whose generated tags do not
+    ``generated`` has ``owner_uid, user_entry_id, generated`` and any columns
+    new tag rows are to carry. The list starts from the tags table in id order; subscriptions whose generated tags do not
     survive cleaning are left out.
     """
-    new = generated.select(
-        "owner_uid",
-        F.col("user_entry_id").alias("post_int_id"),
-        unique_tags(clean_tags(F.col("generated"))).alias("new_tags"),
-    ).where(F.size("new_tags") > 0)
+    new = (
+        generated.withColumnRenamed("user_entry_id", "post_int_id")
+        .withColumn("new_tags", unique_tags(clean_tags(F.col("generated"))))
+        .drop("generated")
+        .where(F.size("new_tags") > 0)
+    )
     keys = ["owner_uid", "post_int_id"]
     present = (
         tags.join(new.select(*keys), keys, "left_semi")
@@ -131,22 +132,24 @@ def merge_subscription_tags(tags: DataFrame, generated: DataFrame) -> DataFrame:
     return (
         new.join(present, keys, "left")
         .withColumn("existing", existing)
-        .select(
-            *keys,
-            without_tags(F.col("new_tags"), F.col("existing")).alias("missing"),
-            merge_tags(F.col("existing"), F.col("new_tags")).alias("merged"),
-        )
+        .withColumn("missing", without_tags(F.col("new_tags"), F.col("existing")))
+        .withColumn("merged", merge_tags(F.col("existing"), F.col("new_tags")))
+        .drop("new_tags", "stored", "existing")
     )
 
 
-def new_tag_rows(tags: DataFrame, merged: DataFrame) -> DataFrame:
-    """Rows to append to the tags table, with ids after those in use."""
-    rows = merged.select("owner_uid", "post_int_id", F.posexplode("missing").alias("nth", "tag_name"))
-    numbered = with_positions(rows, [F.col("post_int_id"), F.col("owner_uid"), F.col("nth")])
-    last = F.coalesce(tags.agg(F.max("id")).scalar(), F.lit(0))
-    return numbered.select(
-        (last + F.col("position") + 1).alias("id"), "tag_name", "owner_uid", "post_int_id"
+def new_tag_rows(tags: DataFrame, merged: DataFrame, tag_ids: DataFrame | None = None) -> DataFrame:
+    """Rows to append to the tags table, with ids after those in use.
+
+    ``tag_ids`` lists the ids in use where ``tags`` is only a part.
+    """
+    rows = merged.select("*", F.posexplode("missing").alias("nth", "tag_name"))
+    numbered = with_positions(
+        rows.drop("missing", "merged"), [F.col("post_int_id"), F.col("owner_uid"), F.col("nth")]
     )
+    used = tags if tag_ids is None else tag_ids
+    last = F.coalesce(used.agg(F.max("id")).scalar(), F.lit(0))
+    return numbered.withColumn("id", last + F.col("position") + 1).select(*tags.columns)
 
 
 def rewrite_tag_cache(user_entries: DataFrame, merged: DataFrame) -> DataFrame:

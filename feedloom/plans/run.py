@@ -36,6 +36,7 @@ OUTCOME = [
     "feed_id",
     "feed_title",
     "source_lang",
+    "date_entered",
     "action",
     "reason",
     "source_title",
@@ -201,6 +202,8 @@ def merged_tables(tables: Tables, outcome: DataFrame, options: EnrichOptions) ->
     done = outcome.where(F.col("error").isNull())
     action, plan = F.col("action"), F.col("tag_plan")
     tag_action = plan["action"]
+    # tables laid out by day want the day of their article in new rows, too
+    day = F.coalesce(F.date_format("date_entered", "yyyy-MM-dd"), F.lit("unknown")).alias("day")
 
     rewritten = done.where(action.isin("translate", "reapply")).select(
         "entry_id", F.col("new_title").alias("title"), F.col("new_content").alias("content")
@@ -215,7 +218,7 @@ def merged_tables(tables: Tables, outcome: DataFrame, options: EnrichOptions) ->
             ),
         )
         .where(F.size("generated") > 0)
-        .select("owner_uid", "user_entry_id", "generated")
+        .select("owner_uid", "user_entry_id", "generated", day)
     )
     merged = merge.merge_subscription_tags(tables.tags, synced)
 
@@ -232,6 +235,7 @@ def merged_tables(tables: Tables, outcome: DataFrame, options: EnrichOptions) ->
         F.col("new_title").alias("translated_title"),
         F.col("new_content").alias("translated_content"),
         plan["tags"].alias("generated_tags"),
+        day,
     )
     replayed = done.where(action == "reapply").select(
         "entry_id", plan["tags"].alias("new_tags"), plan["persist"].alias("persist")
@@ -250,7 +254,7 @@ def merged_tables(tables: Tables, outcome: DataFrame, options: EnrichOptions) ->
         entries=merge.overwrite_articles(tables.entries, rewritten),
         user_entries=merge.rewrite_tag_cache(tables.user_entries, merged),
         feeds=tables.feeds,
-        tags=tables.tags.unionByName(merge.new_tag_rows(tables.tags, merged)),
+        tags=tables.tags.unionByName(merge.new_tag_rows(tables.tags, merged, tables.tag_ids)),
         translations=translations,
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +21,22 @@ class Tables:
     feeds: DataFrame
     tags: DataFrame
     translations: DataFrame
+    # all tag ids in use, where ``tags`` is only a part of the table
+    tag_ids: DataFrame | None = None
 
     def items(self):
-        return [(field.name, getattr(self, field.name)) for field in fields(self)]
+        names = [field.name for field in fields(self) if field.name != "tag_ids"]
+        return [(name, getattr(self, name)) for name in names]
+
+    def with_arrivals(self, arrived: DataFrame, subscribed: DataFrame | None) -> Tables:
+        """The tables after new versions of articles and new subscriptions came in."""
+        kept = self.entries.join(arrived.select("id"), "id", "left_anti")
+        entries = kept.unionByName(arrived.select(*kept.columns))
+        user_entries = self.user_entries
+        if subscribed is not None:
+            new = subscribed.join(user_entries.select("int_id"), "int_id", "left_anti")
+            user_entries = user_entries.unionByName(new.select(*user_entries.columns))
+        return replace(self, entries=entries, user_entries=user_entries)
 
 
 def empty(spark: SparkSession, name: str) -> DataFrame:
