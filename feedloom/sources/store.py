@@ -94,9 +94,9 @@ class TableStore:
             return None
         return log.orderBy(F.col("version").desc()).limit(1).first()
 
-    def read(self, name: str, days=None) -> DataFrame:
+    def read(self, name: str, days=None, commit=None) -> DataFrame:
         """A table with its ``day`` column; ``days`` is a test for the days wanted."""
-        commit = self.last_commit()
+        commit = commit or self.last_commit()
         parts = [p for p in commit.parts if p.name == name] if commit else []
         wanted = [p for p in parts if days is None or days(p.day)]
         schema = f"{schemas.ALL[name]}, day STRING"
@@ -112,17 +112,24 @@ class TableStore:
 
     def tables(self, days=None) -> Tables:
         """A snapshot, cut down to some days."""
+        commit = self.last_commit()
         return Tables(
-            **{name: self.read(name, days) for name in DAILY},
-            feeds=self.read("feeds").drop("day"),
-            tag_ids=self.read("tags").select("id"),
+            **{name: self.read(name, days, commit) for name in DAILY},
+            feeds=self.read("feeds", commit=commit).drop("day"),
+            tag_ids=self.read("tags", commit=commit).select("id"),
         )
 
-    def commit(self, updates: dict[str, DataFrame], replaced, batch_id: int | None = None) -> int:
+    def commit(
+        self,
+        updates: dict[str, DataFrame],
+        replaced: set[str] | None,
+        batch_id: int | None = None,
+        errors: DataFrame | None = None,
+    ) -> int:
         """Write the given rows and put them in force.
 
         Of every table in ``updates`` the days in ``replaced`` are superseded;
-        ``None`` stands for all of them.
+        ``None`` stands for all of them. ``errors`` join those of earlier runs.
         """
         last = self.last_commit()
         version = last.version + 1 if last else 0
@@ -134,6 +141,8 @@ class TableStore:
         ]
         for name, rows in updates.items():
             parts.extend(self._write(name, rows, version))
+        if errors is not None:
+            errors.write.mode("overwrite").parquet(f"{self.root}/errors/version={version}")
         row = (version, batch, datetime.now().isoformat(), parts)
         log = self.spark.createDataFrame([row], COMMITS).coalesce(1)
         log.write.mode("append").json(f"{self.root}/_commits")
@@ -151,9 +160,6 @@ class TableStore:
         written = self.spark.read.schema(schema).parquet(path).select("day").distinct()
         return [(name, row.day, version) for row in written.collect()]  # one row per day
 
-    def append_errors(self, errors: DataFrame, version: int) -> None:
-        errors.write.mode("overwrite").parquet(f"{self.root}/errors/version={version}")
-
     def errors(self) -> DataFrame:
         """Failures of all committed runs."""
         commit = self.last_commit()
@@ -205,9 +211,7 @@ def run_on_store(
     touched = sorted(new_days | {row.day for row in handled})
     after = dict(result.tables.items())
     updates = {name: after[name].where(F.col("day").isin(*touched)) for name in DAILY}
-    version = (store.last_commit().version if store.last_commit() else -1) + 1
-    store.append_errors(result.errors, version)
-    store.commit(updates, set(touched), batch_id)
+    store.commit(updates, set(touched), batch_id, errors=result.errors)
     return result
 
 
