@@ -11,7 +11,7 @@ from catalog.registry import query
 from catalog.selection import OPTIONS
 from catalog.views import ESCAPED, load
 from feedloom.functions.shipping import ship_by_value
-from feedloom.functions.text import escape_markup, preview
+from feedloom.functions.text import escape_markup, preview, strip
 from feedloom.operators.candidates import newest_first
 from feedloom.operators.inference import (
     GlossaryBackend,
@@ -251,7 +251,7 @@ def translate_fallback(spark, sf_dir):
 @query("html_identity", "select page_id, html from pages")
 def html_identity(spark, sf_dir):
     parsed = with_segments(with_runs(pages(spark, sf_dir), "html").drop("html"))
-    same = parsed.withColumn("new_cores", F.transform("segments", lambda s: s["core"]))
+    same = parsed.withColumn("new_cores", F.transform("segments", lambda s: strip(s["text"])))
     return same.select("page_id", rebuilt_html().alias("html"))
 
 

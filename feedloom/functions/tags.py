@@ -11,7 +11,7 @@ from feedloom.functions.text import collapse, fold
 
 # What separates tags, and what is trimmed off both ends of one.
 SEPARATORS = r"[,;\n]+"
-TRIMMED = r"[ \t\r\n#'\"`.,;:\[\](){}]+"
+TRIMMED = " \t\r\n#'\"`.,;:[](){}"
 
 
 def no_tags() -> Column:
@@ -21,9 +21,7 @@ def no_tags() -> Column:
 def clean_tags(raw: Column) -> Column:
     """Flat list of trimmed, non-empty tags, in order, repeats kept."""
     parts = F.flatten(F.transform(raw, lambda tag: F.split(F.coalesce(tag, F.lit("")), SEPARATORS)))
-    trimmed = F.transform(
-        parts, lambda part: F.regexp_replace(collapse(part), f"^{TRIMMED}|{TRIMMED}\\z", "")
-    )
+    trimmed = F.transform(parts, lambda part: F.btrim(collapse(part), F.lit(TRIMMED)))
     return F.filter(trimmed, lambda tag: tag != "")
 
 

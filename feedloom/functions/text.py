@@ -13,13 +13,24 @@ SPACE = (
 )
 
 
+# The same characters as a list, for trimming. Trimming looks at
+# the ends only, where a pattern would try every position of the text.
+SPACE_CHARS = "".join(
+    map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)])
+) + "".join(map(chr, [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(text: Column) -> Column:
     """Text without whitespace at either end."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
+
+
+def lstrip(text: Column) -> Column:
+    return F.ltrim(text, F.lit(SPACE_CHARS))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{SPACE}]+\\z", "")
+    return F.rtrim(text, F.lit(SPACE_CHARS))
 
 
 def collapse(text: Column) -> Column:

@@ -6,7 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.markup import runs_of
-from feedloom.functions.text import SPACE, escape_markup, excerpt, is_blank, preview, strip
+from feedloom.functions.text import (
+    escape_markup,
+    excerpt,
+    is_blank,
+    lstrip,
+    preview,
+    rstrip,
+    strip,
+)
 
 # Text directly inside these elements is never translated.
 PROTECTED = ("script", "style", "noscript", "code", "pre", "textarea", "svg", "math")
@@ -24,9 +32,9 @@ def is_translatable(text: Column) -> Column:
 def split_whitespace(raw: Column) -> list[Column]:
     """Leading whitespace, core and trailing whitespace."""
     return [
-        F.regexp_extract(raw, f"^[{SPACE}]*", 0).alias("prefix"),
+        F.left(raw, F.length(raw) - F.length(lstrip(raw))).alias("prefix"),
         strip(raw).alias("core"),
-        F.regexp_extract(raw, f"[{SPACE}]*\\z", 0).alias("suffix"),
+        F.substr(raw, F.length(rstrip(raw)) + 1).alias("suffix"),
     ]
 
 
@@ -36,8 +44,9 @@ def with_runs(df: DataFrame, html: str) -> DataFrame:
 
 
 def _is_segment(run: Column) -> Column:
+    # a translatable text is not blank, so that needs no test of its own
     protected = F.coalesce(run["parent"], F.lit("")).isin(*PROTECTED)
-    return ~protected & ~is_blank(run["text"]) & is_translatable(run["text"])
+    return ~protected & F.coalesce(is_translatable(run["text"]), F.lit(False))
 
 
 def with_segments(with_runs_df: DataFrame) -> DataFrame:
@@ -46,42 +55,40 @@ def with_segments(with_runs_df: DataFrame) -> DataFrame:
     ``lead`` of a segment is everything since the segment before it, so that
     the leads and markups of all segments and the tail make up the html.
     """
-    indexed = F.transform("runs", lambda run, i: F.struct(i.alias("at"), run.alias("run")))
-    picked = F.filter(indexed, lambda item: _is_segment(item["run"]))
-    df = with_runs_df.withColumn("_picked", picked)
-
-    def markup_between(start: Column, length: Column) -> Column:
-        between = F.slice("runs", start + 1, length)
-        return F.array_join(F.transform(between, lambda r: F.concat(r["lead"], r["markup"])), "")
-
-    def segment(item: Column, i: Column) -> Column:
-        earlier = F.when(i > 0, F.get("_picked", i - 1)["at"] + 1).otherwise(0)
-        run = item["run"]
-        return F.struct(
-            F.concat(markup_between(earlier, item["at"] - earlier), run["lead"]).alias("lead"),
-            run["markup"].alias("markup"),
-            *split_whitespace(run["text"]),
+    start = F.struct(
+        F.lit("").alias("pending"),
+        F.array().cast("array<struct<lead:string,markup:string,text:string>>").alias("found"),
+    )
+
+    def read(state: Column, run: Column) -> Column:
+        lead = F.concat(state["pending"], run["lead"])
+        segment = F.struct(lead.alias("lead"), run["markup"], run["text"])
+        taken = F.struct(
+            F.lit("").alias("pending"), F.array_append(state["found"], segment).alias("found")
         )
+        passed = F.struct(
+            F.concat(lead, run["markup"]).alias("pending"), state["found"].alias("found")
+        )
+        return F.when(_is_segment(run), taken).otherwise(passed)
 
-    after_last = F.coalesce(F.get("_picked", F.size("_picked") - 1)["at"] + 1, F.lit(0))
-    return df.select(
+    return with_runs_df.withColumn("_cut", F.aggregate("runs", start, read)).select(
         *with_runs_df.columns,
-        F.transform("_picked", segment).alias("segments"),
-        markup_between(after_last, F.size("runs") - after_last).alias("tail"),
+        F.col("_cut.found").alias("segments"),
+        F.col("_cut.pending").alias("tail"),
     )
 
 
 def explode_segments(df: DataFrame, *keys: str) -> DataFrame:
     """One row per segment: keys, ``seq`` from 0, prefix, core, suffix."""
-    return df.select(*keys, F.posexplode("segments").alias("seq", "segment")).select(
-        *keys, "seq", "segment.prefix", "segment.core", "segment.suffix"
-    )
+    texts = F.transform("segments", lambda s: s["text"])
+    rows = df.select(*keys, F.posexplode(texts).alias("seq", "text"))
+    return rows.select(*keys, "seq", *split_whitespace(F.col("text")))
 
 
 def texts_to_translate(df: DataFrame, *keys: str, title: str) -> DataFrame:
     """The payload of every article: its raw title unless blank, then the cores."""
     body = F.transform(
-        "segments", lambda s, i: F.struct(i.alias("seq"), s["core"].alias("text"))
+        "segments", lambda s, i: F.struct(i.alias("seq"), strip(s["text"]).alias("text"))
     )
     head = F.when(
         ~is_blank(F.col(title)),
@@ -116,16 +123,15 @@ def rebuilt_html() -> Column:
     A translation equal to its text keeps the original markup, entities
     included.
     """
-    pieces = F.zip_with(
-        "segments",
-        "new_cores",
-        lambda s, new: F.concat(
-            s["lead"],
-            F.when(new == s["core"], s["markup"]).otherwise(
-                F.concat(s["prefix"], escape_markup(new), s["suffix"])
-            ),
-        ),
-    )
+
+    def piece(segment: Column, new: Column) -> Column:
+        prefix, core, suffix = split_whitespace(segment["text"])
+        changed = F.concat(prefix, escape_markup(new), suffix)
+        return F.concat(
+            segment["lead"], F.when(new == core, segment["markup"]).otherwise(changed)
+        )
+
+    pieces = F.zip_with("segments", "new_cores", piece)
     return F.concat(F.coalesce(F.array_join(pieces, ""), F.lit("")), F.col("tail"))
 
 
