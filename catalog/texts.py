@@ -32,6 +32,7 @@ from feedloom.operators.segments import (
     with_segments,
 )
 from feedloom.plans.convenience import translate_title_and_html
+from feedloom.sources.staging import stage
 
 ship_by_value(__name__)
 
@@ -135,6 +136,7 @@ payload as (
 def payload(spark, sf_dir):
     entries = load(spark, sf_dir, "entries").withColumnRenamed("id", "entry_id")
     parsed = with_segments(with_runs(entries, "content"))
+    parsed = stage(parsed.select("entry_id", "date_entered", "title", "segments"), "segments")
     return texts_to_translate(parsed, "entry_id", "date_entered", title="title")
 
 

@@ -47,9 +47,10 @@ def fold(text: Column) -> Column:
     """Key under which spellings differing only in case are equal.
 
     Going through upper case first makes sharp s meet ss and the two small
-    sigmas meet each other.
+    sigmas meet each other. The empty text in between is there because the
+    optimizer takes lower(upper(x)) for lower(x), which these are not.
     """
-    return F.lower(F.upper(text))
+    return F.lower(F.concat(F.upper(text), F.lit("")))
 
 
 def source_hash(title: Column, content: Column) -> Column:

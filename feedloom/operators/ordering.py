@@ -14,12 +14,17 @@ _ROW_BITS = 33
 def with_positions(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """``df`` with its 0-based position in ``order``, which must be total.
 
+    ``df`` should be narrow: keys and what is needed with the position.
+
     Rows are range-partitioned and sorted, then written once so that both
     readings below see the same partitions. Row counts per partition give the
     offset of each; that table has one row per partition.
     """
-    # spread by value, so a sample decides the bounds and no key can be hot
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # range bounds come from a sample, for which all of the input would be
+    # computed once more; being narrow, it is written instead
+    unordered = stage(df, "unordered")
+    # the order is total, so no range can be hot
+    ordered = unordered.repartitionByRange(*order).sortWithinPartitions(*order)
     numbered = stage(ordered.withColumn("_row", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("_row", _ROW_BITS)
     counts = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))

@@ -110,12 +110,14 @@ def with_payload(requests: DataFrame, request_id: Column, options: EnrichOptions
 def prepare_requests(requests: DataFrame, order: list[Column], options: EnrichOptions) -> DataFrame:
     """Requests with id and payload.
 
-    ``requests`` has ``entry_id, batched, title, excerpt, existing_tags`` and
-    the columns of ``order``. Batched ones are numbered in order; the others
+    ``requests`` has ``entry_id, date_entered, batched, title, excerpt,
+    existing_tags``, and ``order`` uses the first two. Batched ones are numbered in order; the others
     are asked one by one and each has number 0.
     """
     open_ones = requests.where(F.size("existing_tags") < options.max_tags)
-    batched = with_positions(open_ones.where("batched"), order, "request_index")
+    keys = open_ones.where("batched").select("entry_id", "date_entered")
+    numbers = with_positions(keys, order, "request_index").select("entry_id", "request_index")
+    batched = open_ones.where("batched").join(numbers, "entry_id")
     single = open_ones.where("not batched").withColumn("request_index", F.lit(0).cast("bigint"))
     numbered = batched.unionByName(single)
     return with_payload(numbered, F.col("request_index").cast("string"), options)
