@@ -97,7 +97,7 @@ def _block_entries(narrow, max_items, max_size, block_items, group_blocks):
     """Entry offset of every block but the first of its stream."""
     schema = "_start long, _view long, _exits array<int>"
 
-    def exits(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def exits(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_local")
         items = int((rows["_local"] // block_items == key[1]).sum())
         out = []
@@ -113,14 +113,14 @@ def _block_entries(narrow, max_items, max_size, block_items, group_blocks):
     # offset it may be entered at, then inside the groups from the true entry
     grouped = tables.withColumn("_group", F.floor(F.col("_view") / group_blocks))
 
-    def through(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def through(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         steps = rows.sort_values("_view")["_exits"].tolist()
         at = np.arange(len(steps[0]))
         for step in steps:
             at = np.asarray(step)[at]
         return pd.DataFrame({"_start": [key[0]], "_group": [key[1]], "_exits": [at.tolist()]})
 
-    def group_entries(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def group_entries(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_group")
         at, entered = 0, []
         for step in rows["_exits"]:
@@ -135,7 +135,7 @@ def _block_entries(narrow, max_items, max_size, block_items, group_blocks):
         group_entries, "_start long, _group long, _entry int"
     )
 
-    def entries(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def entries(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_view")
         at, out = int(rows["_entry"].iloc[0]), []
         for step in rows["_exits"]:
@@ -166,10 +166,10 @@ def _mark_chunks(views, entries, schema, max_items, max_size, block_items):
         chunk = np.repeat(positions[starts], np.diff([*starts, at])) if starts else positions[:0]
         return rows.iloc[first:at][columns].assign(chunk_id=chunk)
 
-    def mark_first(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def mark_first(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return mark(key, rows, 0)
 
-    def mark_entered(key, rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+    def mark_entered(key: tuple, rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         return mark(key, rows, int(entry["_entry"].iloc[0]) if len(entry) else 0)
 
     marked = StructType([*schema.fields]).add("position", "long").add("chunk_id", "long")
