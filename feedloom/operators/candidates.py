@@ -41,22 +41,20 @@ def owner_counts(user_entries: DataFrame) -> DataFrame:
 def subscriptions_per_article(user_entries: DataFrame, options: EnrichOptions) -> DataFrame:
     """Owner count and the owner's chosen subscription of every article.
 
-    Owners are counted over all subscriptions; the subscription is the one with
-    the smallest id among the owner's in the listed feeds. Both come from one
-    aggregation that combines map-side, so an article with very many
-    subscribers does not fill a task.
+    Owners are counted over all subscriptions, on two narrow columns and
+    combined map-side, so an article with very many subscribers does not fill
+    a task. The subscription is the one with the smallest id among the owner's
+    in the listed feeds; that filter reaches the scan.
     """
-    wanted = (F.col("owner_uid") == options.owner_uid) & F.col("feed_id").isin(*options.feed_ids)
-    chosen = F.min(
-        F.when(wanted, F.struct("int_id", "owner_uid", "feed_id", "tag_cache"))
-    ).alias("chosen")
-    per_owner = user_entries.groupBy("ref_id", "owner_uid").agg(chosen)
-    return (
-        per_owner.groupBy("ref_id")
-        .agg(F.count("owner_uid").alias("owner_count"), F.min("chosen").alias("chosen"))
-        .where(F.col("chosen").isNotNull())
-        .select("ref_id", "owner_count", "chosen.*")
+    chosen = (
+        user_entries.where(
+            (F.col("owner_uid") == options.owner_uid) & F.col("feed_id").isin(*options.feed_ids)
+        )
+        .groupBy("ref_id")
+        .agg(F.min(F.struct("int_id", "owner_uid", "feed_id", "tag_cache")).alias("chosen"))
+        .select("ref_id", "chosen.*")
     )
+    return chosen.join(owner_counts(user_entries), "ref_id")
 
 
 def feed_titles(feeds: DataFrame, options: EnrichOptions) -> DataFrame:
