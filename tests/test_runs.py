@@ -13,7 +13,7 @@ from feedloom.operators.replies import with_string_array, with_tag_results
 from feedloom.operators.tagging import generate_tags
 from feedloom.plans.run import enrich
 from feedloom.sources import schemas
-from feedloom.sources.store import TableStore, run_on_store
+from feedloom.sources.store import TableStore, clean_references, run_on_store
 from feedloom.sources.tables import Tables, empty, migrate_translations, read_or_create
 from feedloom.streaming.loop import ARRIVALS, start, take_in
 
@@ -246,3 +246,14 @@ def test_stream_and_repeated_batch(spark, tmp_path):
     before = store.last_commit().version
     assert take_in(store, arrivals, 0, OPTIONS, GlossaryBackend()) is False
     assert store.last_commit().version == before
+
+
+def test_cleaning_drops_rows_of_gone_articles(spark, tmp_path):
+    gone = (2, *TRACKED[1:])
+    tables = make_tables(spark, [(1, "a", "<p>b</p>", None)], [TRACKED, gone])
+    store = TableStore.create(spark, str(tmp_path / "store"), tables)
+    assert store.read("translations").count() == 2
+    clean_references(store)
+    kept = store.read("translations").collect()
+    assert [(r.entry_id, r.feed_id) for r in kept] == [(1, 7)]
+    assert store.read("entries").count() == 1
