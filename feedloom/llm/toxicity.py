@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from feedloom.llm.language import hash_of
 from feedloom.llm.samples import label_counts, sample_ids
 from feedloom.llm.textarrays import texts
-from feedloom.llm.wordgrams import GramCounter, add_up, linear_words
+from feedloom.llm.wordgrams import GramCounter, linear_words
 
 SIZES = (3, 4, 5, 6)
 
@@ -57,7 +57,7 @@ def fit_toxicity(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    per_label: int = 2000,
+    per_label: int = 1500,
     buckets: int = 1 << 17,
     dims: int = 2,
     epochs: int = 45,
@@ -83,12 +83,13 @@ def fit_toxicity(
             )
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")
-    rows = sorted(own.mapInArrow(features, "id string, label int, found binary, times binary").collect(), key=lambda r: hash_of(r["id"]))
+    rows = sorted(own.mapInArrow(features, "id string, label int, found binary, times binary").toLocalIterator(), key=lambda r: hash_of(r["id"]))
     truth = np.array([r["label"] for r in rows], np.float64)
     if len(set(truth.tolist())) < 2:
         return nothing
     found = [np.frombuffer(r["found"], np.int32) for r in rows]
     times = [np.frombuffer(r["times"], np.int32) for r in rows]
+    del rows
     margins, bias = train(found, times, truth, buckets, dims, epochs)
     odds = np.log(counts[1] / counts[0]) - np.log(truth.sum() / (len(truth) - truth.sum()))
     return ToxicityModel(margins, bias, float(odds))
@@ -101,21 +102,26 @@ def train(found, times, truth, buckets: int, dims: int, epochs: int, rate: float
     that rare n-grams learn as fast as frequent ones. Plain gradient descent with momentum: what few
     texts hold moves little. Buckets that fewer than three sampled texts hold keep no weight.
     """
-    sizes = np.array([len(f) for f in found], np.int64)
-    flat = np.concatenate(found).astype(np.int64)
-    held = np.bincount(flat, minlength=buckets)
-    rarity = np.log(len(found) / np.maximum(held, 1))
-    share = np.concatenate([scale * t / max(1, t.sum()) for t in times]) * rarity[flat]
-    kept = held[flat] >= 3
-    sizes = add_up(kept[:, None].astype(np.float64), sizes)[:, 0].astype(np.int64)
-    used, flat = np.unique(flat[kept], return_inverse=True)
-    share = share[kept].astype(np.float32)
+    held = np.zeros(buckets, np.int32)
+    for own in found:
+        held[own] += 1
+    rarity = np.log(len(found) / np.maximum(held, 1)).astype(np.float32)
+    place = (np.cumsum(held >= 3) - 1).astype(np.int32)
+    used = np.flatnonzero(held >= 3)
     prior = float(np.log(truth.sum() / (len(truth) - truth.sum())))
     if not len(used):
         return np.zeros(buckets), prior
-    by_bucket = np.argsort(flat, kind="stable")
-    text_of = np.repeat(np.arange(len(sizes)), sizes)[by_bucket]
-    sorted_share, firsts = share[by_bucket], np.searchsorted(flat[by_bucket], np.arange(len(used)))
+    columns, shares = [], []
+    for own, n in zip(found, times, strict=True):
+        kept = held[own] >= 3
+        columns.append(place[own[kept]])
+        shares.append((scale / max(1, n.sum()) * n[kept] * rarity[own[kept]]).astype(np.float32))
+    sizes = np.array([len(c) for c in columns], np.int64)
+    flat, share = np.concatenate(columns), np.concatenate(shares)
+    by_bucket = np.argsort(flat, kind="stable").astype(np.int32)
+    text_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[by_bucket]
+    sorted_share, firsts = share[by_bucket], np.searchsorted(flat[by_bucket], np.arange(len(used), dtype=np.int32))
+    del columns, shares, by_bucket
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.02, (len(used), dims)).astype(np.float32)
     classes = (np.array([[-0.5, 0.5]]) * rng.choice([-1, 1], (dims, 1))).astype(np.float32)
@@ -124,7 +130,7 @@ def train(found, times, truth, buckets: int, dims: int, epochs: int, rate: float
     hot = np.column_stack([1 - truth, truth]).astype(np.float32)
     weight = (hot * (len(truth) / (2 * hot.sum(axis=0)))).sum(axis=1, keepdims=True) / len(truth)
     for _ in range(epochs):
-        mean = np.column_stack([add_up((share * vectors[flat, d])[:, None], sizes)[:, 0] for d in range(dims)]).astype(np.float32)
+        mean = np.column_stack([_text_sums(share * vectors[flat, d], sizes) for d in range(dims)])
         logits = mean @ classes + bias
         chance = np.exp(logits - logits.max(axis=1, keepdims=True))
         chance /= chance.sum(axis=1, keepdims=True)
@@ -143,3 +149,10 @@ def train(found, times, truth, buckets: int, dims: int, epochs: int, rate: float
     margins = np.zeros(buckets)
     margins[used] = scale * rarity[used] * (vectors @ (classes[:, 1] - classes[:, 0]))
     return margins, float(bias[1] - bias[0]) + prior
+
+
+def _text_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(sizes), np.float32)
+    some = sizes > 0
+    out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some])
+    return out
