@@ -33,7 +33,7 @@ def path_of(url: Column) -> Column:
 
 def listed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """A struct of rule and verdict of the longest listed rule that fits, else null."""
-    found = F.lit(None)
+    found = F.lit(None).cast("struct<rule: string, verdict: string>")
     for own, start, verdict in sorted(rules, key=lambda r: (len(r[0]) + len(r[1]), len(r[0]))):
         fits = ((host == own) | host.endswith("." + own)) & path.startswith(start)
         found = F.when(fits, F.struct(F.lit(own + start).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(found)
