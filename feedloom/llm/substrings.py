@@ -279,9 +279,10 @@ def substring_dedup(
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("part"))
     profile = own.select("id", "part", _profile(F.col("text")).alias("p")).select("id", "part", "p.*")
     base, _ = write_scratch(profile, "profile")
-    whole = base.filter("n_words >= 50 and id is not null").groupBy("digest").agg(F.min("id").alias("original"))
+    # read back as a table, so that both sides of the join on a digest are dealt out and can be split
+    whole, _ = write_scratch(base.filter("n_words >= 50 and id is not null").groupBy("digest").agg(F.min("id").alias("original")), "wholes")
     marked = base.join(whole, "digest", "left")
-    originals = base.filter("n_words >= 50").join(whole, "digest").filter("id = original").dropDuplicates(["id", "part"])
+    originals = base.filter("n_words >= 50").join(whole.withColumn("id", F.col("original")), ["digest", "id"]).dropDuplicates(["id", "part"])
     cut, _ = write_scratch(
         own.join(_removals(own, originals, group_rows, hot_rows), ["id", "part"]).select("id", "part", "spans", "text").mapInArrow(_cutter(with_text), CUT).dropDuplicates(["id", "part"]), "cut"
     )
