@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -20,8 +21,8 @@ from feedloom.streaming.loop import start
 def scratch(spark) -> str:
     return f"{checkpoint_root(spark)}/feedloom/{uuid.uuid4().hex}"
 
-def replay(spark, sf_dir) -> TableStore:
-    """All articles arriving in three batches at an empty store."""
+def replay(spark, sf_dir, options=OPTIONS) -> TableStore:
+    """All articles arriving in three parts at an empty store, each worked off before the next."""
     entries = load(spark, sf_dir, "entries")
     subscription = F.struct("int_id", "owner_uid", "feed_id", "tag_cache")
     subscriptions = (
@@ -31,25 +32,19 @@ def replay(spark, sf_dir) -> TableStore:
     )
     arrivals = entries.join(subscriptions, "id", "left").withColumn("arrived_at", F.lit(RUN_TS))
     root = scratch(spark)
-    for batch in range(3):
-        part = arrivals.where(F.col("id") % 3 == batch)
-        part.coalesce(1).write.mode("append").parquet(f"{root}/arrivals")
     nothing = {name: empty(spark, name) for name in ("entries", "user_entries", "tags", "translations")}
     tables = Tables(**nothing, feeds=load(spark, sf_dir, "feeds"))
     store = TableStore.create(spark, f"{root}/store", tables)
-    stream = start(
-        store,
-        f"{root}/arrivals",
-        f"{root}/stream",
-        lambda batch_id: OPTIONS,
-        GlossaryBackend(),
-        files_per_batch=1,
-    )
-    stream.awaitTermination()
+    for batch in range(3):
+        part = arrivals.where(F.col("id") % 3 == batch)
+        part.write.mode("append").parquet(f"{root}/arrivals")
+        stream = start(
+            store, f"{root}/arrivals", f"{root}/stream", lambda _: options, GlossaryBackend()
+        )
+        stream.awaitTermination()
     return store
 
-@query(
-    "stream_replay",
+ALL_TRANSLATED = (
     """
 select e.id, case when r.entry_id is null then e.title else concat('T(', e.title, ')') end as title,
        coalesce(r.html, e.content) as content
@@ -58,9 +53,19 @@ from entries e left join rewritten r on r.entry_id = e.id""",
 queue as (select * from candidates where owner_count = 1),
 {rewritten_sql('queue', 'entry_id', 'content').strip()}""",
 )
+
+
+@query("stream_replay", *ALL_TRANSLATED)
 def stream_replay(spark, sf_dir):
     return replay(spark, sf_dir).read("entries").select("id", "title", "content")
 
+
+# A quota below what arrives: the backlog is worked off all the same.
+@query("stream_quota_backlog", *ALL_TRANSLATED)
+def stream_quota_backlog(spark, sf_dir):
+    few = replace(OPTIONS, quota=60)
+    return replay(spark, sf_dir, few).read("entries").select("id", "title", "content")
+
 @query(
     "store_run_tracking",
     """

@@ -74,6 +74,23 @@ _segments_query("page_segments", "pages", "page_id", "html")
 _segments_query("entry_segments", "entries", "id", "content")
 
 
+# Pages glued into a few very long documents.
+@query(
+    "long_document_segments",
+    f"select part, seq, prefix, core, suffix from ({S.segments('glued', 'part', 'html')})",
+    "glued as (select page_id % 4 as part, string_agg(html, '' order by page_id) as html"
+    " from pages group by 1)",
+)
+def long_document_segments(spark, sf_dir):
+    rows = load(spark, sf_dir, "pages").select((F.col("page_id") % 4).alias("part"), "page_id", "html")
+    ordered = F.array_sort(F.collect_list(F.struct("page_id", "html")))
+    glued = rows.groupBy("part").agg(ordered.alias("rows")).select(
+        "part", F.array_join(F.transform("rows", lambda r: r["html"]), "").alias("html")
+    )
+    found = explode_segments(with_segments(with_runs(glued, "html")), "part")
+    return found.withColumn("seq", F.col("seq").cast("bigint"))
+
+
 @query(
     "whitespace_split",
     f"""
@@ -145,18 +162,20 @@ def translation_payload(spark, sf_dir):
     return payload(spark, sf_dir).select("entry_id", bigint("seq"), "text")
 
 
-def packing_sql(table: str, order: str, size: str, keys: str) -> str:
+def packing_sql(
+    table: str, order: str, size: str, keys: str, items: int = 40, chars: int = 8000
+) -> str:
     """Greedy packing: where a chunk from each item would end, walked from the first."""
     return f"""
 numbered as (
   select {keys}, {size} as size, row_number() over (order by {order}) - 1 as position from {table}),
 summed as (select *, sum(size) over (order by position)::bigint as upto from numbered),
 ends as materialized (
-  select a.position, least(coalesce(min(b.position), a.position + 40),
+  select a.position, least(coalesce(min(b.position), a.position + {items}),
            (select count(*) from summed)) as follow
   from summed a left join summed b
-    on b.position > a.position and b.position <= a.position + 40
-    and b.upto > a.upto - a.size + 8000
+    on b.position > a.position and b.position <= a.position + {items}
+    and b.upto > a.upto - a.size + {chars}
   group by a.position),
 walk as (
   select 0::bigint as start union all
@@ -176,6 +195,20 @@ def pack_texts(spark, sf_dir):
     return packed.select("entry_id", bigint("seq"), "position", "chunk_id")
 
 
+SMALL_CHUNKS = f"{PAYLOAD},{packing_sql('payload', 'date_entered desc, entry_id desc, seq', 'length(text)', 'entry_id, seq, text', 13, 900)}"
+
+
+# Blocks far smaller than the input, so that chunks cross many of them.
+@query("pack_many_blocks", "select entry_id, seq, position, chunk_id from packed", SMALL_CHUNKS)
+def pack_many_blocks(spark, sf_dir):
+    sizes = payload(spark, sf_dir).withColumn("size", F.length("text")).drop("text")
+    order = [*newest_first(), F.col("seq")]
+    packed = pack(
+        sizes, order, "size", max_items=13, max_size=900, block_items=64, group_blocks=8
+    )
+    return packed.select("entry_id", bigint("seq"), "position", "chunk_id")
+
+
 @query(
     "batch_translate",
     "select entry_id, seq, position, concat('T(', text, ')') as translated from packed",

@@ -34,7 +34,11 @@ class ReplyFormatError(RuntimeError):
 
 
 class GlossaryBackend:
-    """Deterministic stand-in: glossary lookup, else ``T(text)``."""
+    """Deterministic stand-in: glossary lookup, else ``T(text)``.
+
+    The dictionary goes along with every task; a large glossary is a table, see
+    ``translate_by_glossary``.
+    """
 
     def __init__(self, glossary: dict[str, str] | None = None):
         self.glossary = glossary or {}
@@ -92,7 +96,9 @@ def _ask_once(backend: Callable, inputs: list[str], decode: bool) -> tuple:
             return None, answer, None, False
         if decode:
             return None, json.dumps(answer, ensure_ascii=False), None, False
-        return [str(text) for text in answer], None, None, False
+        if not isinstance(answer, (list, tuple)) or not all(isinstance(t, str) for t in answer):
+            raise ReplyFormatError("the backend answered with something other than a list of texts")
+        return list(answer), None, None, False
     except Exception as failure:  # one bad chunk must not end the job
         message = str(failure) or type(failure).__name__
         return None, None, message, isinstance(failure, ReplyFormatError)
@@ -174,10 +180,18 @@ def translate_texts(
 
 
 def _translate_distinct(texts, order, backend, options):
-    """Equal texts are sent once, at the place of the first."""
+    """Equal texts are sent once, at the place of the first; failed ones once more, each alone."""
     same_text = Window.partitionBy("text").orderBy(*order)
     first = texts.withColumn("_nth", F.row_number().over(same_text)).where("_nth = 1").drop("_nth")
-    answers = translate_texts(first, order, backend, replace(options, distinct_texts=False))
+    together = run_chunks(chunk_texts(first, order, options), backend)
+    failed = together.where(F.col("error").isNotNull()).select("entry_id", "seq")
+    answers = together
+    if not failed.isEmpty():
+        # a text must not fail for another one in its chunk, whichever article that is from
+        again = first.join(failed, ["entry_id", "seq"], "left_semi")
+        again = again.withColumn("_own", F.concat_ws("-", "entry_id", "seq"))
+        alone = run_chunks(chunk_texts(again, [F.col("seq")], options, stream="_own"), backend)
+        answers = together.where(F.col("error").isNull()).unionByName(alone)
     by_text = first.select("entry_id", "seq", "text").join(answers, ["entry_id", "seq"])
     return (
         texts.select("entry_id", "seq", "text")

@@ -173,16 +173,19 @@ def enforce_references(
     """Tracking rows whose article, owner and subscription exist.
 
     ``feed_id`` becomes null when the feed is gone. Owners are known by their
-    subscriptions only.
+    subscriptions only. A row that names no subscription breaks no rule.
     """
     owners = user_entries.select("owner_uid").distinct()
     subscriptions = user_entries.select(F.col("int_id").alias("user_entry_id"))
+    named = translations.where(F.col("user_entry_id").isNotNull())
+    unnamed = translations.where(F.col("user_entry_id").isNull())
     known_feeds = feeds.select(F.col("id").cast("string").alias("_feed"), F.lit(True).alias("_known"))
     # rows without a feed get a key of their own, or they would all meet in one task
     feed_key = F.coalesce(F.col("feed_id").cast("string"), F.concat(F.lit("none-"), "entry_id"))
     kept = (
-        translations.join(entries.select(F.col("id").alias("entry_id")), "entry_id", "left_semi")
-        .join(subscriptions, "user_entry_id", "left_semi")
+        named.join(subscriptions, "user_entry_id", "left_semi")
+        .unionByName(unnamed)
+        .join(entries.select(F.col("id").alias("entry_id")), "entry_id", "left_semi")
         .join(owners, "owner_uid", "left_semi")
         .withColumn("_feed", feed_key)
         .join(known_feeds.distinct(), "_feed", "left")

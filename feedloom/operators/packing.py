@@ -47,8 +47,7 @@ def pack(
     every value of that column is packed by itself; positions stay global.
     ``numbered`` says that ``df`` has its ``position`` already.
     """
-    if block_items < max_items:
-        raise ValueError("a block must hold at least one full chunk")
+    block_items = max(block_items, max_items)  # a block holds at least one full chunk
     keys = [F.col(stream)] if stream else []
     placed = df if numbered else with_positions(df, [*keys, *order])
     if stream:

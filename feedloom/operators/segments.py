@@ -55,26 +55,34 @@ def with_segments(with_runs_df: DataFrame) -> DataFrame:
     ``lead`` of a segment is everything since the segment before it, so that
     the leads and markups of all segments and the tail make up the html.
     """
-    start = F.struct(
-        F.lit("").alias("pending"),
-        F.array().cast("array<struct<lead:string,markup:string,text:string>>").alias("found"),
+    def joined(first: Column, count: Column) -> Column:
+        """Leads and markups of ``count`` runs from index ``first`` on."""
+        some = F.slice(F.col("runs"), first + 1, count)
+        return F.array_join(F.transform(some, lambda r: F.concat(r["lead"], r["markup"])), "")
+
+    # where the segments are is found once; each then reads the runs since the one before it, so
+    # the work grows with the number of runs
+    places = F.filter(
+        F.sequence(F.lit(0), F.size("runs") - 1), lambda i: _is_segment(F.get("runs", i))
     )
-
-    def read(state: Column, run: Column) -> Column:
-        lead = F.concat(state["pending"], run["lead"])
-        segment = F.struct(lead.alias("lead"), run["markup"], run["text"])
-        taken = F.struct(
-            F.lit("").alias("pending"), F.array_append(state["found"], segment).alias("found")
-        )
-        passed = F.struct(
-            F.concat(lead, run["markup"]).alias("pending"), state["found"].alias("found")
-        )
-        return F.when(_is_segment(run), taken).otherwise(passed)
-
-    return with_runs_df.withColumn("_cut", F.aggregate("runs", start, read)).select(
+    before = F.concat(F.array(F.lit(-1)), F.col("_places"))
+
+    def segment(place: Column) -> Column:
+        at, last = place["at"], place["last"]
+        run = F.get("runs", at)
+        lead = F.concat(joined(last + 1, at - last - 1), run["lead"])
+        return F.struct(lead.alias("lead"), run["markup"].alias("markup"), run["text"].alias("text"))
+
+    pairs = F.zip_with(
+        "_places",
+        F.slice(before, F.lit(1), F.size("_places")),
+        lambda at, last: F.struct(at.alias("at"), last.alias("last")),
+    )
+    rest = F.coalesce(F.element_at("_places", -1), F.lit(-1)) + 1
+    return with_runs_df.withColumn("_places", places).select(
         *with_runs_df.columns,
-        F.col("_cut.found").alias("segments"),
-        F.col("_cut.pending").alias("tail"),
+        F.transform(pairs, segment).alias("segments"),
+        joined(rest, F.size("runs") - rest).alias("tail"),
     )
 
 

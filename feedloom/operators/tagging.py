@@ -180,7 +180,7 @@ def _halves(chunks: DataFrame) -> DataFrame:
 
 
 def ask_with_bisecting(chunks: DataFrame, backend: TagBackend) -> DataFrame:
-    """Results per request: ``entry_id, request_index, tags, error, chunk_size``.
+    """Results per request: ``entry_id, request_index, tags, error``.
 
     A chunk whose reply has a wrong format is halved and asked again, down to
     single requests; other errors fail their chunk. Each round works on the
@@ -198,13 +198,12 @@ def ask_with_bisecting(chunks: DataFrame, backend: TagBackend) -> DataFrame:
         if pending.isEmpty():
             break
     return settled.select(
-        "results", "error", F.size("requests").alias("chunk_size"), F.posexplode("requests")
+        "results", "error", F.posexplode("requests")
     ).select(
         "col.entry_id",
         "col.request_index",
         F.when(F.col("error").isNull(), F.get("results", F.col("pos"))).alias("tags"),
         "error",
-        "chunk_size",
     )
 
 

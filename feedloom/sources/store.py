@@ -141,8 +141,9 @@ class TableStore:
         ]
         for name, rows in updates.items():
             parts.extend(self._write(name, rows, version))
-        if errors is not None:
-            errors.write.mode("overwrite").parquet(f"{self.root}/errors/version={version}")
+        # always written, as a run that died may have left its errors under this version
+        failed = errors if errors is not None else self.spark.createDataFrame([], schemas.ERRORS)
+        failed.write.mode("overwrite").parquet(f"{self.root}/errors/version={version}")
         row = (version, batch, datetime.now().isoformat(), parts)
         log = self.spark.createDataFrame([row], COMMITS).coalesce(1)
         log.write.mode("append").json(f"{self.root}/_commits")

@@ -22,9 +22,11 @@ ARRIVALS = (
 
 
 def newest_versions(arrivals: DataFrame) -> DataFrame:
-    """The latest version of every article in a batch."""
+    """The latest version of every article in a batch, the same one at every retry."""
+    columns = arrivals.columns
+    rank = F.struct("arrived_at", F.xxhash64(*columns))
     return arrivals.groupBy("id").agg(
-        F.max_by(F.struct(*arrivals.columns), "arrived_at").alias("newest")
+        F.max_by(F.struct(*columns), rank).alias("newest")
     ).select("newest.*")
 
 
@@ -37,7 +39,12 @@ def take_in(
     tagger: TagBackend | None = None,
     fulltext: DataFrame | None = None,
 ) -> bool:
-    """Merge one batch and run; a batch already committed is left alone."""
+    """Merge one batch and run; a batch already committed is left alone.
+
+    A dry run would use up the arrivals without storing them and is refused.
+    """
+    if options.dry_run:
+        raise ValueError("a stream cannot run dry")
     last = store.last_commit()
     if last is not None and last.batch_id is not None and batch_id <= last.batch_id:
         return False
@@ -46,7 +53,10 @@ def take_in(
         F.col("id").alias("ref_id"),
         day_of(F.col("date_entered")),
         F.inline("subscriptions"),
-    ).dropDuplicates(["int_id"])
+    )
+    others = [c for c in subscribed.columns if c != "int_id"]
+    subscribed = subscribed.groupBy("int_id").agg(F.max(F.struct(*others)).alias("_row"))
+    subscribed = subscribed.select("int_id", "_row.*")
     run_on_store(
         store,
         options,
@@ -60,6 +70,21 @@ def take_in(
     return True
 
 
+def work_off(
+    store: TableStore,
+    batch_id: int,
+    options: EnrichOptions,
+    translator: TextBackend | DataFrame,
+    tagger: TagBackend | None = None,
+    fulltext: DataFrame | None = None,
+) -> None:
+    """Passes over what the quota left, until one translates nothing."""
+    while True:
+        result = run_on_store(store, options, translator, tagger, fulltext, batch_id=batch_id)
+        if not result.stats.first().translated:
+            return
+
+
 def start(
     store: TableStore,
     arrivals_path: str,
@@ -74,7 +99,10 @@ def start(
 ) -> StreamingQuery:
     """Start the stream; ``every`` is the pause between batches, like '300 seconds'.
 
-    Without it everything present is worked off and the stream ends.
+    A clock runs beside the files, so that each interval has its pass even when
+    nothing arrived and a quota's backlog is worked off. Without ``every``
+    everything present is worked off in as many passes as the quota needs, and
+    the stream ends.
     ``options_for`` gives the options of a batch, its clock above all.
     """
     reader = store.spark.readStream.schema(ARRIVALS)
@@ -82,11 +110,19 @@ def start(
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        take_in(store, batch, batch_id, options_for(batch_id), translator, tagger, fulltext)
+        options = options_for(batch_id)
+        arrived = batch.where(F.col("id").isNotNull())
+        took = take_in(store, arrived, batch_id, options, translator, tagger, fulltext)
+        if took and not every and options.quota is not None:
+            work_off(store, batch_id, options, translator, tagger, fulltext)
 
+    arrivals = reader.parquet(arrivals_path)
+    if every:
+        ticks = store.spark.readStream.format("rate").load()
+        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in arrivals.schema]
+        arrivals = arrivals.unionByName(ticks.select(*nothing))
     writer = (
-        reader.parquet(arrivals_path)
-        .writeStream.foreachBatch(handle)
+        arrivals.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
     )
     trigger = {"processingTime": every} if every else {"availableNow": True}

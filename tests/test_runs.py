@@ -1,4 +1,5 @@
 import json
+import time
 from dataclasses import replace
 from datetime import datetime, timedelta
 
@@ -13,6 +14,8 @@ from feedloom.operators.replies import with_string_array, with_tag_results
 from feedloom.operators.tagging import generate_tags
 from feedloom.plans.run import enrich
 from feedloom.sources import schemas
+from feedloom.operators.inference import translate_texts
+from feedloom.operators.merge import enforce_references
 from feedloom.sources.store import TableStore, clean_references, run_on_store
 from feedloom.sources.tables import Tables, empty, migrate_translations, read_or_create
 from feedloom.streaming.loop import ARRIVALS, start, take_in
@@ -45,19 +48,19 @@ def make_tables(spark, articles, tracked=(), tags=()):
     )
 
 
-TRACKED = (1, "zh-CN", "Hello", "<p>World</p>", "你好", "<p>世界</p>", ())
+TRACKED = (1, "zh-CN", "Ferry", "<p>Late again</p>", "渡轮", "<p>又晚点</p>", ())
 
 
 @pytest.mark.parametrize(
     ("title", "content", "target", "expected"),
     [
-        ("你好", "<p>世界</p>", "zh-CN", ("skip", "already-translated", "Hello")),
-        ("Hello", "<p>World</p>", "zh-CN", ("reapply", "same-source-hash-found-in-db", "Hello")),
+        ("渡轮", "<p>又晚点</p>", "zh-CN", ("skip", "already-translated", "Ferry")),
+        ("Ferry", "<p>Late again</p>", "zh-CN", ("reapply", "same-source-hash-found-in-db", "Ferry")),
         (
-            "你好",
-            "<p>世界</p>",
+            "渡轮",
+            "<p>又晚点</p>",
             "ja",
-            ("translate", "target-language-changed-reuse-stored-source", "Hello"),
+            ("translate", "target-language-changed-reuse-stored-source", "Ferry"),
         ),
         ("New", "<p>x</p>", "zh-CN", ("translate", "source-changed-or-manually-edited", "New")),
     ],
@@ -72,7 +75,7 @@ def test_plan(spark, title, content, target, expected):
 def test_quota_takes_in_what_lies_before(spark):
     tables = make_tables(
         spark,
-        [(1, "你好", "<p>世界</p>", None)] + [(i, "t", "c", None) for i in range(2, 7)],
+        [(1, "渡轮", "<p>又晚点</p>", None)] + [(i, "t", "c", None) for i in range(2, 7)],
         [TRACKED],
     )
     planned = plan_entries(select_candidates(tables, OPTIONS), OPTIONS)
@@ -91,14 +94,14 @@ def test_string_array_replies(spark):
 
 
 def test_tag_replies(spark):
-    results = '{"results": [{"request_id": "b", "tags": ["Robotics", "Startups"]}, {"request_id": "a", "tags": ["AI"]}]}'
-    matrix = '{"tags": [["AI"], ["Robotics", "Startups"]]}'
+    results = '{"results": [{"request_id": "b", "tags": ["Tides", "Lighthouses"]}, {"request_id": "a", "tags": ["Rope"]}]}'
+    matrix = '{"tags": [["Rope"], ["Tides", "Lighthouses"]]}'
     rows = spark.createDataFrame(
         [(0, results, ["a", "b"]), (1, matrix, ["a", "b"]), (2, results, None), (3, matrix, ["a"])],
         "i int, reply string, ids array<string>",
     )
     got = with_tag_results(rows, "reply", "ids").orderBy("i").collect()
-    both = [["AI"], ["Robotics", "Startups"]]
+    both = [["Rope"], ["Tides", "Lighthouses"]]
     assert [r.results for r in got] == [both, both, both, None]
     assert got[3].reply_error == "count-mismatch"
 
@@ -116,11 +119,11 @@ def test_a_chunk_of_wrong_format_is_halved(spark, tmp_path):
             out.write(json.dumps([r["request_id"] for r in asked]) + "\n")
         if len(asked) > 1:
             raise ReplyFormatError("incomplete")
-        return [[r["title"], "AI"] for r in asked]
+        return [[r["title"], "Rope"] for r in asked]
 
     order = [F.col("date_entered").desc(), F.col("entry_id").desc()]
     done = generate_tags(requests, order, backend, replace(OPTIONS, tagging=True))
-    assert {r.entry_id: r.generated for r in done.collect()} == {1: ["t1", "AI"], 2: ["t2", "AI"]}
+    assert {r.entry_id: r.generated for r in done.collect()} == {1: ["t1", "Rope"], 2: ["t2", "Rope"]}
     with open(log) as calls:
         assert sorted(map(json.loads, calls)) == [["0"], ["0", "1"], ["1"]]
 
@@ -145,7 +148,7 @@ def test_failures_stay_with_their_article(spark):
     assert titles == {1: "bad now", 2: "GOOD", 3: "bad"}
     tracking = {r.entry_id: r for r in result.tables.translations.collect()}
     assert set(tracking) == {1, 2}
-    assert tracking[1].last_error == "e" * 5000 and tracking[1].translated_title == "你好"
+    assert tracking[1].last_error == "e" * 5000 and tracking[1].translated_title == "渡轮"
     assert {r.entry_id for r in result.errors.collect()} == {1, 3}
 
 
@@ -165,11 +168,11 @@ def test_a_tag_failure_leaves_the_translation(spark):
 def test_a_replay_brings_back_stored_tags(spark):
     stored = (*TRACKED[:6], ["Saved", "ai"])
     tables = make_tables(
-        spark, [(1, "Hello", "<p>World</p>", "old")], [stored], [(5, " AI ", 1, 10)]
+        spark, [(1, "Ferry", "<p>Late again</p>", "old")], [stored], [(5, " AI ", 1, 10)]
     )
     result = enrich(tables, OPTIONS, GlossaryBackend())
     after = result.tables
-    assert after.entries.first().title == "你好"
+    assert after.entries.first().title == "渡轮"
     assert [(r.id, r.tag_name) for r in after.tags.orderBy("id").collect()] == [(5, " AI "), (6, "Saved")]
     # the cache is rebuilt from the tags table, so a tag only it had is gone
     assert after.user_entries.first().tag_cache == "AI,Saved"
@@ -257,3 +260,85 @@ def test_cleaning_drops_rows_of_gone_articles(spark, tmp_path):
     kept = store.read("translations").collect()
     assert [(r.entry_id, r.feed_id) for r in kept] == [(1, 7)]
     assert store.read("entries").count() == 1
+
+
+def test_equal_texts_fail_alone(spark):
+    texts = spark.createDataFrame(
+        [(1, 0, "Read more"), (1, 1, "bad"), (2, 0, "Read more"), (2, 1, "fine")],
+        "entry_id long, seq int, text string",
+    )
+
+    def backend(chunk):
+        if "bad" in chunk:
+            raise ValueError("refused")
+        return [text.upper() for text in chunk]
+
+    order = [F.col("entry_id"), F.col("seq")]
+    done = translate_texts(texts, order, backend, replace(OPTIONS, distinct_texts=True))
+    got = {(r.entry_id, r.seq): (r.translated, r.error) for r in done.collect()}
+    assert got == {
+        (1, 0): ("READ MORE", None),
+        (1, 1): (None, "refused"),
+        (2, 0): ("READ MORE", None),
+        (2, 1): ("FINE", None),
+    }
+
+
+@pytest.mark.parametrize("answer", [[None], [7], "abc".encode(), {"a": "b"}, 5, None])
+def test_what_is_not_a_list_of_texts_is_an_error(spark, answer):
+    texts = spark.createDataFrame([(1, 0, "a")], "entry_id long, seq int, text string")
+    order = [F.col("entry_id"), F.col("seq")]
+    row = translate_texts(texts, order, lambda chunk: answer, OPTIONS).first()
+    assert row.translated is None and row.error
+
+
+def test_a_row_without_subscription_stays(spark):
+    tracking = spark.createDataFrame(
+        [(1, 9, None, 60), (2, 9, 500, 60), (3, 9, 501, None), (4, 8, None, 60), (7, 9, None, 60)],
+        "entry_id long, owner_uid int, user_entry_id int, feed_id int",
+    )
+    entries = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "id long")
+    subscriptions = spark.createDataFrame([(501, 9), (502, 9)], "int_id int, owner_uid int")
+    feeds = spark.createDataFrame([(60,)], "id int")
+    kept = enforce_references(tracking, entries, subscriptions, feeds)
+    assert {(r.entry_id, r.feed_id) for r in kept.collect()} == {(1, 60), (3, None)}
+
+
+def test_a_quota_is_worked_off_without_arrivals(spark, tmp_path):
+    nothing = {n: empty(spark, n) for n in ("entries", "user_entries", "tags", "translations", "feeds")}
+    store = TableStore.create(spark, str(tmp_path / "store"), Tables(**nothing))
+    articles = [(i, "t", f"<p>{i}</p>", None, "en", NOW, NOW, [(i, 1, 7, None)]) for i in range(1, 6)]
+    spark.createDataFrame(articles, ARRIVALS).write.parquet(str(tmp_path / "in"))
+    few = replace(OPTIONS, quota=2)
+    start(
+        store, str(tmp_path / "in"), str(tmp_path / "cp"), lambda _: few, GlossaryBackend()
+    ).awaitTermination()
+    assert {r.title for r in store.read("entries").collect()} == {"T(t)"}
+    with pytest.raises(ValueError):
+        take_in(store, store.read("entries"), 9, replace(few, dry_run=True), GlossaryBackend())
+
+
+def test_a_clock_gives_passes_without_arrivals(spark, tmp_path):
+    nothing = {n: empty(spark, n) for n in ("entries", "user_entries", "tags", "translations", "feeds")}
+    store = TableStore.create(spark, str(tmp_path / "store"), Tables(**nothing))
+    articles = [(i, "t", f"<p>{i}</p>", None, "en", NOW, NOW, [(i, 1, 7, None)]) for i in range(1, 4)]
+    spark.createDataFrame(articles, ARRIVALS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    few = replace(OPTIONS, quota=2)
+    stream = start(
+        store, str(tmp_path / "in"), str(tmp_path / "cp"), lambda _: few, GlossaryBackend(), every="1 seconds"
+    )
+    for _ in range(90):
+        if {r.title for r in store.read("entries").collect()} == {"T(t)"}:
+            break
+        time.sleep(1)
+    stream.stop()
+    assert {r.title for r in store.read("entries").collect()} == {"T(t)"}
+
+
+def test_errors_of_a_dead_run_do_not_count(spark, tmp_path):
+    store = TableStore.create(spark, str(tmp_path / "store"), make_tables(spark, [(1, "a", "b", None)]))
+    dead = spark.createDataFrame([], schemas.ERRORS)
+    row = [tuple(None for _ in dead.columns)]
+    spark.createDataFrame(row, dead.schema).write.parquet(str(tmp_path / "store" / "errors" / "version=1"))
+    assert clean_references(store) == 1
+    assert store.errors().count() == 0
