@@ -68,17 +68,18 @@ def mine_rules(
     baskets = labelled.select(F.array_compact(F.concat(url_tokens(F.col("url")), F.array(F.when(F.col("bad"), BLOCK)))).alias("items")).filter("size(items) > 0")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.filter(F.element_at("consequent", 1) == BLOCK).select(F.array_sort("antecedent").alias("rule"), "confidence", "support")
-    needless = rules.alias("long").join(
-        rules.withColumn("first", F.element_at("rule", 1)).alias("short"),
-        F.array_contains("long.rule", F.col("short.first"))
-        & (F.size("short.rule") < F.size("long.rule"))
-        & (F.size(F.array_intersect("long.rule", "short.rule")) == F.size("short.rule"))
-        & (F.col("short.confidence") >= F.col("long.confidence")),
-        "left_anti",
+    short = rules.select(F.element_at("rule", 1).alias("token"), F.col("rule").alias("part"), F.col("confidence").alias("part_confidence"))
+    needless = (
+        rules.withColumn("token", F.explode("rule"))
+        .join(short, "token")
+        .filter((F.size("part") < F.size("rule")) & (F.size(F.array_intersect("rule", "part")) == F.size("part")) & (F.col("part_confidence") >= F.col("confidence")))
+        .select("rule")
+        .distinct()
     )
+    needed = rules.join(needless, "rule", "left_anti")
     alone = model.freqItemsets.filter("size(items) = 1").select(F.element_at("items", 1).alias("token"), "freq")
     rarest = Window.partitionBy("rule").orderBy("freq", "token")
-    filed = needless.withColumn("token", F.explode("rule")).join(alone, "token").withColumn("place", F.row_number().over(rarest)).filter("place = 1")
+    filed = needed.withColumn("token", F.explode("rule")).join(alone, "token").withColumn("place", F.row_number().over(rarest)).filter("place = 1")
     return filed.select("rule", F.col("token").alias("index"), "confidence", "support")
 
 
