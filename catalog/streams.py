@@ -63,7 +63,7 @@ def stream_replay(spark, sf_dir):
 # A quota below what arrives: the backlog is worked off all the same.
 @query("stream_quota_backlog", *ALL_TRANSLATED)
 def stream_quota_backlog(spark, sf_dir):
-    few = replace(OPTIONS, quota=60)
+    few = replace(OPTIONS, quota=150)
     return replay(spark, sf_dir, few).read("entries").select("id", "title", "content")
 
 @query(
