@@ -78,7 +78,7 @@ def with_segments(with_runs_df: DataFrame) -> DataFrame:
         F.slice(before, F.lit(1), F.size("_places")),
         lambda at, last: F.struct(at.alias("at"), last.alias("last")),
     )
-    rest = F.coalesce(F.element_at("_places", -1), F.lit(-1)) + 1
+    rest = F.coalesce(F.try_element_at("_places", F.lit(-1)), F.lit(-1)) + 1
     return with_runs_df.withColumn("_places", places).select(
         *with_runs_df.columns,
         F.transform(pairs, segment).alias("segments"),
