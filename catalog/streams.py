@@ -23,20 +23,15 @@ def scratch(spark) -> str:
 
 def replay(spark, sf_dir, options=OPTIONS) -> TableStore:
     """All articles arriving in three parts at an empty store, each worked off before the next."""
-    entries = load(spark, sf_dir, "entries")
-    subscription = F.struct("int_id", "owner_uid", "feed_id", "tag_cache")
-    subscriptions = (
-        load(spark, sf_dir, "user_entries")
-        .groupBy(F.col("ref_id").alias("id"))
-        .agg(F.array_sort(F.collect_list(subscription)).alias("subscriptions"))
-    )
-    arrivals = entries.join(subscriptions, "id", "left").withColumn("arrived_at", F.lit(RUN_TS))
+    entries = load(spark, sf_dir, "entries").withColumn("arrived_at", F.lit(RUN_TS))
+    subscriptions = load(spark, sf_dir, "user_entries")
+    arrivals = entries.unionByName(subscriptions, allowMissingColumns=True)
     root = scratch(spark)
     nothing = {name: empty(spark, name) for name in ("entries", "user_entries", "tags", "translations")}
     tables = Tables(**nothing, feeds=load(spark, sf_dir, "feeds"))
     store = TableStore.create(spark, f"{root}/store", tables)
     for batch in range(3):
-        part = arrivals.where(F.col("id") % 3 == batch)
+        part = arrivals.where(F.coalesce("id", "ref_id") % 3 == batch)
         part.write.mode("append").parquet(f"{root}/arrivals")
         stream = start(
             store, f"{root}/arrivals", f"{root}/stream", lambda _: options, GlossaryBackend()

@@ -12,12 +12,9 @@ from feedloom.operators.ordering import with_positions
 from feedloom.options import EnrichOptions
 from feedloom.sources.tables import Tables
 
-# Up to this many rows a top-k is kept by one task; a larger quota is located
-# by distributed positions instead.
-TOP_K_ROWS = 10_000
-
-# Feed lists up to this length bound the size of a broadcast.
-BROADCAST_FEEDS = 10_000
+# Feed lists up to this length are literals of a filter and bound the size of a
+# broadcast; longer ones are tables to join with.
+LISTED_FEEDS = 1_000
 
 
 def newest_first() -> list[Column]:
@@ -33,38 +30,51 @@ def recent(entries: DataFrame, options: EnrichOptions) -> DataFrame:
     return kept
 
 
+def in_listed_feeds(df: DataFrame, feed_col: str, options: EnrichOptions) -> DataFrame:
+    """The owner's rows in the listed feeds."""
+    own = df.where(F.col("owner_uid") == options.owner_uid)
+    if len(options.feed_ids) <= LISTED_FEEDS:
+        return own.where(F.col(feed_col).isin(*options.feed_ids))
+    listed = df.sparkSession.createDataFrame([(i,) for i in options.feed_ids], f"{feed_col} int")
+    return own.join(listed, feed_col, "left_semi")
+
+
 def owner_counts(user_entries: DataFrame) -> DataFrame:
     """Number of distinct owners of every subscribed article."""
     return user_entries.groupBy("ref_id").agg(F.count_distinct("owner_uid").alias("owner_count"))
 
 
-def subscriptions_per_article(user_entries: DataFrame, options: EnrichOptions) -> DataFrame:
-    """Owner count and the owner's chosen subscription of every article.
+def subscriptions_per_article(
+    user_entries: DataFrame, articles: DataFrame, options: EnrichOptions
+) -> DataFrame:
+    """Owner count and the owner's chosen subscription of every article in ``articles``.
 
-    Owners are counted over all subscriptions, on two narrow columns and
-    combined map-side, so an article with very many subscribers does not fill
-    a task. The subscription is the one with the smallest id among the owner's
-    in the listed feeds; that filter reaches the scan.
+    The subscription is the one with the smallest id among the owner's in the
+    listed feeds; that filter reaches the scan. All owners of the articles so
+    found are counted, on two narrow columns and combined map-side, so an
+    article with very many subscribers does not fill a task.
     """
     chosen = (
-        user_entries.where(
-            (F.col("owner_uid") == options.owner_uid) & F.col("feed_id").isin(*options.feed_ids)
-        )
+        in_listed_feeds(user_entries, "feed_id", options)
+        .join(articles.select(F.col("id").alias("ref_id")), "ref_id", "left_semi")
         .groupBy("ref_id")
         .agg(F.min(F.struct("int_id", "owner_uid", "feed_id", "tag_cache")).alias("chosen"))
         .select("ref_id", "chosen.*")
     )
-    return chosen.join(owner_counts(user_entries), "ref_id")
+    owned = user_entries.select("ref_id", "owner_uid").join(
+        chosen.select("ref_id"), "ref_id", "left_semi"
+    )
+    return chosen.join(owner_counts(owned), "ref_id")
 
 
 def feed_titles(feeds: DataFrame, options: EnrichOptions) -> DataFrame:
     """Titles of the owner's listed feeds; no larger than the list itself."""
     titles = (
-        feeds.where((F.col("owner_uid") == options.owner_uid) & F.col("id").isin(*options.feed_ids))
+        in_listed_feeds(feeds, "id", options)
         .groupBy(F.col("id").alias("feed_id"))
         .agg(F.min("title").alias("feed_title"))
     )
-    return F.broadcast(titles) if len(options.feed_ids) <= BROADCAST_FEEDS else titles
+    return F.broadcast(titles) if len(options.feed_ids) <= LISTED_FEEDS else titles
 
 
 def select_candidates(tables: Tables, options: EnrichOptions) -> DataFrame:
@@ -74,7 +84,7 @@ def select_candidates(tables: Tables, options: EnrichOptions) -> DataFrame:
     ``user_entry_id`` is the current subscription's, not the stored one.
     """
     articles = recent(tables.entries, options)
-    subscribed = subscriptions_per_article(tables.user_entries, options)
+    subscribed = subscriptions_per_article(tables.user_entries, articles, options)
     tracked = tables.translations.select(
         F.col("entry_id").alias("tracked_id"), F.struct("*").alias("tracked")
     )
@@ -108,19 +118,17 @@ def page(candidates: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return candidates.orderBy(*newest_first()).offset(offset).limit(limit)
 
 
-def within_quota(planned: DataFrame, quota: int | None) -> DataFrame:
+def within_quota(planned: DataFrame, quota: int | None, staged: bool = False) -> DataFrame:
     """Rows down to the ``quota``-th row to translate, newest first.
 
     Rows to skip or reapply that lie before that row are included; with fewer
-    rows to translate everything is.
+    rows to translate everything is. The row is located by distributed
+    positions, however large the quota. ``staged``: ``planned`` is a staged table.
     """
     if quota is None:
         return planned
     key = F.struct("date_entered", "entry_id")
     queue = planned.where(F.col("action") == "translate").select("date_entered", "entry_id")
-    if quota <= TOP_K_ROWS:
-        first = queue.orderBy(*newest_first()).limit(quota)
-    else:
-        first = with_positions(queue, newest_first()).where(F.col("position") < quota)
-    last = first.agg(F.when(F.count("*") >= quota, F.min(key)).alias("last")).scalar()
+    placed = with_positions(queue, newest_first(), staged=staged)
+    last = placed.where(F.col("position") == quota - 1).agg(F.min(key).alias("last")).scalar()
     return planned.where(F.coalesce(key >= last, F.lit(True)))

@@ -14,9 +14,13 @@ def use_fulltext(planned: DataFrame, fulltext: DataFrame) -> DataFrame:
     ``fulltext`` has ``url, content, error``. Rows with an error or blank
     content count as not fetched, and such articles keep the feed's text.
     """
-    usable = fulltext.where(F.col("error").isNull() & ~is_blank(F.col("content")))
-    fetched = usable.groupBy("url").agg(F.min("content").alias("fetched"))
     wanted = (F.col("action") == "translate") & ~is_blank(F.col("link"))
+    links = planned.where(wanted).select(strip(F.col("link")).alias("url"))
+    # the table may hold far more than the queue asks for; only wanted bodies are grouped
+    usable = fulltext.where(F.col("error").isNull() & ~is_blank(F.col("content"))).join(
+        links, "url", "left_semi"
+    )
+    fetched = usable.groupBy("url").agg(F.min("content").alias("fetched"))
     # rows without a link get a key of their own, or they would all meet in one task
     key = F.when(wanted, strip(F.col("link"))).otherwise(F.concat(F.lit("\0"), "entry_id"))
     joined = planned.withColumn("url", key).join(fetched, "url", "left")

@@ -49,7 +49,10 @@ class GlossaryBackend:
 
 def translate_by_glossary(texts: DataFrame, glossary: DataFrame) -> DataFrame:
     """Relational backend: a join with a table ``glossary(core, target)``."""
-    found = glossary.groupBy(F.col("core").alias("text")).agg(F.min("target").alias("target"))
+    wanted = glossary.select(F.col("core").alias("text"), "target").join(
+        texts.select("text"), "text", "left_semi"
+    )
+    found = wanted.groupBy("text").agg(F.min("target").alias("target"))
     return texts.join(found, "text", "left").withColumn(
         "translated", F.coalesce("target", F.concat(F.lit("T("), "text", F.lit(")")))
     ).drop("target")

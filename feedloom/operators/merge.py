@@ -18,6 +18,9 @@ from feedloom.functions.tags import (
 from feedloom.operators.ordering import with_positions
 from feedloom.options import STORED_ERROR_CHARS
 
+# Owners and feeds are few and hold many rows each; a row meets one of so many copies.
+SALTS = 32
+
 
 def overwrite_articles(entries: DataFrame, changes: DataFrame) -> DataFrame:
     """Articles with the title and content of ``changes(entry_id, title, content)``."""
@@ -175,20 +178,21 @@ def enforce_references(
     ``feed_id`` becomes null when the feed is gone. Owners are known by their
     subscriptions only. A row that names no subscription breaks no rule.
     """
-    owners = user_entries.select("owner_uid").distinct()
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    owners = user_entries.select("owner_uid").distinct().select("owner_uid", salts)
     subscriptions = user_entries.select(F.col("int_id").alias("user_entry_id"))
     named = translations.where(F.col("user_entry_id").isNotNull())
     unnamed = translations.where(F.col("user_entry_id").isNull())
-    known_feeds = feeds.select(F.col("id").cast("string").alias("_feed"), F.lit(True).alias("_known"))
-    # rows without a feed get a key of their own, or they would all meet in one task
-    feed_key = F.coalesce(F.col("feed_id").cast("string"), F.concat(F.lit("none-"), "entry_id"))
+    known_feeds = feeds.select(F.col("id").alias("_feed"), F.lit(True).alias("_known")).distinct()
+    known_feeds = known_feeds.select("_feed", "_known", salts)
     kept = (
         named.join(subscriptions, "user_entry_id", "left_semi")
         .unionByName(unnamed)
         .join(entries.select(F.col("id").alias("entry_id")), "entry_id", "left_semi")
-        .join(owners, "owner_uid", "left_semi")
-        .withColumn("_feed", feed_key)
-        .join(known_feeds.distinct(), "_feed", "left")
+        .withColumn("_salt", F.pmod(F.xxhash64("entry_id"), F.lit(SALTS)).cast("int"))
+        .join(owners, ["owner_uid", "_salt"], "left_semi")
+        .withColumn("_feed", F.col("feed_id"))
+        .join(known_feeds, ["_feed", "_salt"], "left")
     )
     return kept.select(
         *[

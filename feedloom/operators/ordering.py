@@ -11,10 +11,13 @@ from feedloom.sources.staging import stage
 _ROW_BITS = 33
 
 
-def with_positions(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+def with_positions(
+    df: DataFrame, order: list[Column], name: str = "position", staged: bool = False
+) -> DataFrame:
     """``df`` with its 0-based position in ``order``, which must be total.
 
-    ``df`` should be narrow: keys and what is needed with the position.
+    ``df`` should be narrow: keys and what is needed with the position. ``staged``
+    says that it is read from a staged table and cheap to read twice.
 
     Rows are range-partitioned and sorted, then written once so that both
     readings below see the same partitions. Row counts per partition give the
@@ -22,7 +25,7 @@ def with_positions(df: DataFrame, order: list[Column], name: str = "position") -
     """
     # range bounds come from a sample, for which all of the input would be
     # computed once more; being narrow, it is written instead
-    unordered = stage(df, "unordered")
+    unordered = df if staged else stage(df, "unordered")
     # the order is total, so no range can be hot
     ordered = unordered.repartitionByRange(*order).sortWithinPartitions(*order)
     numbered = stage(ordered.withColumn("_row", F.monotonically_increasing_id()), "ordered")

@@ -26,7 +26,7 @@ from feedloom.operators.tagging import (
 )
 from feedloom.options import CONTENT_PREVIEW_CHARS, TITLE_PREVIEW_CHARS, EnrichOptions
 from feedloom.plans.convenience import translate_parsed
-from feedloom.sources.staging import stage
+from feedloom.sources.staging import remove, stage
 from feedloom.sources.tables import Tables
 
 OUTCOME = [
@@ -59,6 +59,12 @@ class RunResult:
     outcome: DataFrame
     before: Tables
     options: EnrichOptions
+    staged: tuple[str, ...] = ()  # folders that are still needed
+
+    def forget(self) -> None:
+        """Remove what the outcome is read from, when nothing will read it any more."""
+        for path in self.staged:
+            remove(self.before.feeds.sparkSession, path)
 
     @cached_property
     def tables(self) -> Tables:
@@ -102,7 +108,7 @@ def handle(tables, options, translator, tagger=None, fulltext=None) -> DataFrame
     if options.quota is not None:
         # the cut needs keys only; texts are read again for the rows it leaves
         keys = stage(planned.select("entry_id", "date_entered", "action"), "plan")
-        kept = within_quota(keys, options.quota).select("entry_id")
+        kept = within_quota(keys, options.quota, staged=True).select("entry_id")
         planned = planned.join(kept, "entry_id", "left_semi")
     handled = stage(planned, "handled")
 

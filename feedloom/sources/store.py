@@ -8,11 +8,16 @@ leaves the old state in force and is simply repeated.
 
 All tables are laid out by the day their article was entered, so a run reads
 the days of its lookback only, however long the history is. The day of an
-article never changes. One run at a time may write.
+article never changes: a new version keeps the date the first one was entered.
+One run at a time may write.
+
+Versions are numbered without gaps and each has a commit file of its own under
+its number, so the last one is found by asking for names, not by reading a log.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,10 +30,11 @@ from feedloom.operators.tagging import TagBackend
 from feedloom.options import EnrichOptions
 from feedloom.plans.run import RunResult, enrich
 from feedloom.sources import schemas
-from feedloom.sources.tables import Tables
+from feedloom.sources.staging import child_names, exists, recorded_stages, remove, stage
+from feedloom.sources.tables import Tables, migrate_translations
 
 COMMITS = (
-    "version BIGINT, batch_id BIGINT, committed_at STRING, "
+    "version BIGINT, batch_id BIGINT, committed_at STRING, last_tag_id BIGINT, "
     "parts ARRAY<STRUCT<name: STRING, day: STRING, version: BIGINT>>"
 )
 DAILY = ("entries", "user_entries", "tags", "translations")
@@ -75,24 +81,37 @@ class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._seen = -1  # the highest version known to be committed
 
     @classmethod
     def create(cls, spark: SparkSession, root: str, tables: Tables) -> TableStore:
-        """A new store holding ``tables``."""
+        """A new store holding ``tables``; an older tracking table is migrated."""
         store = cls(spark, root)
-        dated = with_days(tables)
+        tracking = migrate_translations(tables.translations, tables.user_entries)
+        dated = with_days(replace(tables, translations=tracking))
         store.commit({name: df for name, df in dated.items()}, replaced=None)
         return store
 
     def last_commit(self):
         """The commit in force, or None."""
-        try:
-            log = self.spark.read.schema(COMMITS).json(f"{self.root}/_commits")
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
+        step = 1
+        while self._committed(self._seen + step):
+            self._seen += step
+            step *= 2
+        while step > 1:
+            step //= 2
+            if self._committed(self._seen + step):
+                self._seen += step
+        if self._seen < 0:
             return None
-        return log.orderBy(F.col("version").desc()).limit(1).first()
+        return self.spark.read.schema(COMMITS).json(self._commit_path(self._seen)).first()
+
+    def _commit_path(self, version: int) -> str:
+        return f"{self.root}/_commits/{version}"
+
+    def _committed(self, version: int) -> bool:
+        # written last, once the commit is complete
+        return exists(self.spark, f"{self._commit_path(version)}/_SUCCESS")
 
     def read(self, name: str, days=None, commit=None) -> DataFrame:
         """A table with its ``day`` column; ``days`` is a test for the days wanted."""
@@ -116,7 +135,7 @@ class TableStore:
         return Tables(
             **{name: self.read(name, days, commit) for name in DAILY},
             feeds=self.read("feeds", commit=commit).drop("day"),
-            tag_ids=self.read("tags", commit=commit).select("id"),
+            tag_ids=self.spark.createDataFrame([(commit.last_tag_id,)], "id long"),
         )
 
     def commit(
@@ -144,9 +163,13 @@ class TableStore:
         # always written, as a run that died may have left its errors under this version
         failed = errors if errors is not None else self.spark.createDataFrame([], schemas.ERRORS)
         failed.write.mode("overwrite").parquet(f"{self.root}/errors/version={version}")
-        row = (version, batch, datetime.now().isoformat(), parts)
+        tag_id = last.last_tag_id if last else 0
+        if any(name == "tags" and v == version for name, _, v in parts):
+            tags = self.spark.read.schema(schemas.TAGS).parquet(f"{self.root}/tags/v={version}")
+            tag_id = max(tag_id, tags.agg(F.max("id")).first()[0] or 0)
+        row = (version, batch, datetime.now().isoformat(), tag_id, parts)
         log = self.spark.createDataFrame([row], COMMITS).coalesce(1)
-        log.write.mode("append").json(f"{self.root}/_commits")
+        log.write.mode("overwrite").json(self._commit_path(version))
         return version
 
     def _write(self, name: str, rows: DataFrame, version: int) -> list[tuple[str, str, int]]:
@@ -157,9 +180,8 @@ class TableStore:
         # rebalancing splits a day that holds much of the data and joins small ones
         balanced = rows.select(*columns, "day").hint("rebalance", "day")
         balanced.write.mode("overwrite").partitionBy("day").parquet(path)
-        schema = f"{schemas.ALL[name]}, day STRING"
-        written = self.spark.read.schema(schema).parquet(path).select("day").distinct()
-        return [(name, row.day, version) for row in written.collect()]  # one row per day
+        folders = [n for n in child_names(self.spark, path) if n.startswith("day=")]
+        return [(name, n.removeprefix("day="), version) for n in folders]
 
     def errors(self) -> DataFrame:
         """Failures of all committed runs."""
@@ -180,8 +202,31 @@ def lookback_days(options: EnrichOptions):
     return lambda day: day != UNKNOWN_DAY and day >= first
 
 
-def run_on_store(
-    store: TableStore,
+def settle_days(
+    store: TableStore, arrived: DataFrame, subscribed: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Arrivals with the day of their article; a known article keeps the date it was entered."""
+    asked = arrived.select("id").union(subscribed.select("ref_id")).distinct()
+    stored = store.read("entries").select(
+        "id", F.col("date_entered").alias("_entered"), F.col("day").alias("_day")
+    )
+    known = stage(stored.join(asked, "id", "left_semi"), "known")
+    entered = F.when(F.col("_day").isNotNull(), F.col("_entered")).otherwise(F.col("date_entered"))
+    arrived = (
+        arrived.join(known, "id", "left")
+        .withColumn("date_entered", entered)
+        .withColumn("day", F.coalesce("_day", day_of(F.col("date_entered"))))
+        .drop("_entered", "_day")
+    )
+    days = known.select("id", F.col("_day").alias("day")).union(arrived.select("id", "day"))
+    days = days.distinct().withColumnRenamed("id", "ref_id")
+    subscribed = subscribed.join(days, "ref_id", "left").withColumn(
+        "day", F.coalesce("day", F.lit(UNKNOWN_DAY))
+    )
+    return arrived, subscribed
+
+
+def run_on_store(    store: TableStore,
     options: EnrichOptions,
     translator: TextBackend | DataFrame,
     tagger: TagBackend | None = None,
@@ -193,27 +238,39 @@ def run_on_store(
 ) -> RunResult:
     """One run over the stored tables, with its results committed.
 
-    ``arrived`` are new or changed articles and ``subscribed`` new
-    subscriptions to take in first, both with their ``day``; they become
-    visible in the same commit. Nothing is written in a dry run.
+    ``arrived`` are new or changed articles, one row each, and ``subscribed``
+    new subscriptions to take in first; they become visible in the same commit.
+    What was staged is removed then, but for the outcome. Nothing is written in
+    a dry run.
     """
-    in_lookback = lookback_days(options)
-    new_days: set[str] = set()
-    if arrived is not None:
-        new_days = {row.day for row in arrived.select("day").distinct().collect()}
-    tables = store.tables(lambda day: in_lookback(day) or day in new_days)
-    if arrived is not None:
-        tables = tables.with_arrivals(arrived, subscribed)
-    result = enrich(tables, options, translator, tagger, fulltext)
-    if options.dry_run:
-        return result
-    # no more days than the lookback and the arrivals have
-    handled = result.outcome.select(day_of(F.col("date_entered"))).distinct().collect()
-    touched = sorted(new_days | {row.day for row in handled})
-    after = dict(result.tables.items())
-    updates = {name: after[name].where(F.col("day").isin(*touched)) for name in DAILY}
-    store.commit(updates, set(touched), batch_id, errors=result.errors)
-    return result
+    if arrived is None and subscribed is not None:
+        arrived = store.spark.createDataFrame([], schemas.ENTRIES)
+    if subscribed is None and arrived is not None:
+        subscribed = store.spark.createDataFrame([], schemas.USER_ENTRIES)
+    with recorded_stages() as made:
+        in_lookback = lookback_days(options)
+        new_days: set[str] = set()
+        if arrived is not None:
+            arrived, subscribed = settle_days(store, arrived, subscribed)
+            both = arrived.select("day").union(subscribed.select("day"))
+            new_days = {row.day for row in both.distinct().collect()}
+        tables = store.tables(lambda day: in_lookback(day) or day in new_days)
+        if arrived is not None:
+            tables = tables.with_arrivals(arrived, subscribed)
+        result = enrich(tables, options, translator, tagger, fulltext)
+        if options.dry_run:
+            return result
+        # no more days than the lookback and the arrivals have
+        handled = result.outcome.select(day_of(F.col("date_entered"))).distinct().collect()
+        touched = sorted(new_days | {row.day for row in handled})
+        after = dict(result.tables.items())
+        updates = {name: after[name].where(F.col("day").isin(*touched)) for name in DAILY}
+        store.commit(updates, set(touched), batch_id, errors=result.errors)
+    folders = {path.rpartition("/")[0]: path.endswith("/outcome") for path in made}
+    for folder, is_outcome in folders.items():
+        if not is_outcome:
+            remove(store.spark, folder)
+    return replace(result, staged=tuple(f for f, is_outcome in folders.items() if is_outcome))
 
 
 def clean_references(store: TableStore) -> int:

@@ -12,24 +12,36 @@ from feedloom.operators.inference import TextBackend
 from feedloom.operators.tagging import TagBackend
 from feedloom.options import EnrichOptions
 from feedloom.sources import schemas
-from feedloom.sources.store import TableStore, day_of, run_on_store
+from feedloom.sources.store import TableStore, run_on_store
 
-# An arrival is one version of an article with its subscriptions.
-ARRIVALS = (
-    f"{schemas.ENTRIES}, arrived_at TIMESTAMP, "
-    "subscriptions ARRAY<STRUCT<int_id: BIGINT, owner_uid: INT, feed_id: INT, tag_cache: STRING>>"
-)
+# A row with an ``id`` is a version of an article, one with an ``int_id`` a
+# subscription to the article ``ref_id``, by default to that of its own row. An
+# article with many subscribers has as many rows. Subscriptions come with their
+# article or after it.
+ARRIVALS = f"{schemas.ENTRIES}, arrived_at TIMESTAMP, {schemas.USER_ENTRIES}"
+
+
+def columns_of(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
 
 
 def newest_versions(arrivals: DataFrame) -> DataFrame:
     """The latest version of every article in a batch, the same one at every retry."""
-    columns = arrivals.columns
+    columns = columns_of(schemas.ENTRIES)
     rank = F.struct("arrived_at", F.xxhash64(*columns))
-    return arrivals.groupBy("id").agg(
+    versions = arrivals.where(F.col("id").isNotNull())
+    return versions.groupBy("id").agg(
         F.max_by(F.struct(*columns), rank).alias("newest")
     ).select("newest.*")
 
 
+def new_subscriptions(arrivals: DataFrame) -> DataFrame:
+    """One row for every subscription in a batch, the same one at every retry."""
+    others = [c for c in columns_of(schemas.USER_ENTRIES) if c != "int_id"]
+    rows = arrivals.where(F.col("int_id").isNotNull()).withColumn("ref_id", F.coalesce("ref_id", "id"))
+    return rows.groupBy("int_id").agg(F.max(F.struct(*others)).alias("_row")).select("int_id", "_row.*")
+
+
 def take_in(
     store: TableStore,
     arrivals: DataFrame,
@@ -48,25 +60,16 @@ def take_in(
     last = store.last_commit()
     if last is not None and last.batch_id is not None and batch_id <= last.batch_id:
         return False
-    newest = newest_versions(arrivals).withColumn("day", day_of(F.col("date_entered")))
-    subscribed = arrivals.select(
-        F.col("id").alias("ref_id"),
-        day_of(F.col("date_entered")),
-        F.inline("subscriptions"),
-    )
-    others = [c for c in subscribed.columns if c != "int_id"]
-    subscribed = subscribed.groupBy("int_id").agg(F.max(F.struct(*others)).alias("_row"))
-    subscribed = subscribed.select("int_id", "_row.*")
     run_on_store(
         store,
         options,
         translator,
         tagger,
         fulltext,
-        arrived=newest.drop("arrived_at", "subscriptions"),
-        subscribed=subscribed,
+        arrived=newest_versions(arrivals),
+        subscribed=new_subscriptions(arrivals),
         batch_id=batch_id,
-    )
+    ).forget()
     return True
 
 
@@ -81,7 +84,9 @@ def work_off(
     """Passes over what the quota left, until one translates nothing."""
     while True:
         result = run_on_store(store, options, translator, tagger, fulltext, batch_id=batch_id)
-        if not result.stats.first().translated:
+        translated = result.stats.first().translated
+        result.forget()
+        if not translated:
             return
 
 
@@ -111,8 +116,7 @@ def start(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         options = options_for(batch_id)
-        arrived = batch.where(F.col("id").isNotNull())
-        took = take_in(store, arrived, batch_id, options, translator, tagger, fulltext)
+        took = take_in(store, batch, batch_id, options, translator, tagger, fulltext)
         if took and not every and options.quota is not None:
             work_off(store, batch_id, options, translator, tagger, fulltext)
 

@@ -236,8 +236,8 @@ def test_stream_and_repeated_batch(spark, tmp_path):
     nothing = {n: empty(spark, n) for n in ("entries", "user_entries", "tags", "translations", "feeds")}
     store = TableStore.create(spark, str(tmp_path / "store"), Tables(**nothing))
     versions = [
-        (1, "first", "<p>a</p>", None, "en", NOW, NOW, [(10, 1, 7, "x")]),
-        (1, "second", "<p>b</p>", None, "en", NOW, NOW + timedelta(hours=1), [(10, 1, 7, "x")]),
+        (1, "first", "<p>a</p>", None, "en", NOW, NOW, 10, None, 1, 7, "x"),
+        (1, "second", "<p>b</p>", None, "en", NOW, NOW + timedelta(hours=1), 10, 1, 1, 7, "x"),
     ]
     arrivals = spark.createDataFrame(versions, ARRIVALS)
     arrivals.coalesce(1).write.parquet(str(tmp_path / "in"))
@@ -307,7 +307,7 @@ def test_a_row_without_subscription_stays(spark):
 def test_a_quota_is_worked_off_without_arrivals(spark, tmp_path):
     nothing = {n: empty(spark, n) for n in ("entries", "user_entries", "tags", "translations", "feeds")}
     store = TableStore.create(spark, str(tmp_path / "store"), Tables(**nothing))
-    articles = [(i, "t", f"<p>{i}</p>", None, "en", NOW, NOW, [(i, 1, 7, None)]) for i in range(1, 6)]
+    articles = [(i, "t", f"<p>{i}</p>", None, "en", NOW, NOW, i, i, 1, 7, None) for i in range(1, 6)]
     spark.createDataFrame(articles, ARRIVALS).write.parquet(str(tmp_path / "in"))
     few = replace(OPTIONS, quota=2)
     start(
@@ -321,7 +321,7 @@ def test_a_quota_is_worked_off_without_arrivals(spark, tmp_path):
 def test_a_clock_gives_passes_without_arrivals(spark, tmp_path):
     nothing = {n: empty(spark, n) for n in ("entries", "user_entries", "tags", "translations", "feeds")}
     store = TableStore.create(spark, str(tmp_path / "store"), Tables(**nothing))
-    articles = [(i, "t", f"<p>{i}</p>", None, "en", NOW, NOW, [(i, 1, 7, None)]) for i in range(1, 4)]
+    articles = [(i, "t", f"<p>{i}</p>", None, "en", NOW, NOW, i, i, 1, 7, None) for i in range(1, 4)]
     spark.createDataFrame(articles, ARRIVALS).coalesce(1).write.parquet(str(tmp_path / "in"))
     few = replace(OPTIONS, quota=2)
     stream = start(
