@@ -31,7 +31,7 @@ from feedloom.operators.segments import (
     with_runs,
     with_segments,
 )
-from feedloom.plans.convenience import translate_title_and_html
+from feedloom.plans.convenience import translate_html, translate_title_and_html
 from feedloom.sources.staging import stage
 
 ship_by_value(__name__)
@@ -254,8 +254,11 @@ def picky_backend(texts):
     return [f"T({text})" for text in texts]
 
 
-@query(
-    "translate_fallback",
+def careless_backend(texts):
+    return [None if REJECTED in text else f"T({text})" for text in texts]
+
+
+FALLBACK = (
     f"""
 select entry_id, count(*) as texts, bool_or(contains(text, '{REJECTED}')) as failed,
        case when not bool_or(contains(text, '{REJECTED}'))
@@ -263,10 +266,29 @@ select entry_id, count(*) as texts, bool_or(contains(text, '{REJECTED}')) as fai
 from payload group by entry_id""",
     PAYLOAD,
 )
+
+
+@query("translate_fallback", *FALLBACK)
 def translate_fallback(spark, sf_dir):
+    return fallback(spark, sf_dir, picky_backend, OPTIONS)
+
+
+# An article must not fail for a text that only another one has.
+@query("distinct_fallback", *FALLBACK)
+def distinct_fallback(spark, sf_dir):
+    return fallback(spark, sf_dir, picky_backend, replace(OPTIONS, distinct_texts=True))
+
+
+# An answer with something other than texts fails like a refused call.
+@query("backend_bad_items", *FALLBACK)
+def backend_bad_items(spark, sf_dir):
+    return fallback(spark, sf_dir, careless_backend, OPTIONS)
+
+
+def fallback(spark, sf_dir, backend, options):
     order = [*newest_first(), F.col("seq")]
     texts = payload(spark, sf_dir)
-    done = translate_texts(texts, order, picky_backend, OPTIONS)
+    done = translate_texts(texts, order, backend, options)
     per_article = texts.groupBy("entry_id").agg(F.count("*").alias("texts"))
     gathered = gather_translations(done, "entry_id")
     line = F.array_join(
@@ -317,10 +339,7 @@ rewritten as (
     rewritten_sql("pages", "page_id", "html"),
 )
 def html_translate(spark, sf_dir):
-    rows = pages(spark, sf_dir).withColumn("title", F.lit(""))
-    done = translate_title_and_html(
-        rows, "page_id", "title", "html", GlossaryBackend(), OPTIONS
-    )
+    done = translate_html(pages(spark, sf_dir), "page_id", "html", GlossaryBackend(), OPTIONS)
     return done.select("page_id", F.col("new_html").alias("html"))
 
 

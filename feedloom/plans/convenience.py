@@ -18,7 +18,7 @@ from feedloom.operators.segments import (
 from feedloom.options import EnrichOptions
 from feedloom.sources.staging import stage
 
-SEGMENT_COUNT_ERROR = "translator returned a different number of text nodes"
+SEGMENT_COUNT_ERROR = "translations do not match the segments one to one"
 
 
 def translate_title_and_html(
@@ -34,6 +34,15 @@ def translate_title_and_html(
     return translate_parsed(parsed, title, [F.col("entry_id")], translator, options).drop("entry_id")
 
 
+def translate_html(
+    df: DataFrame, key: str, html: str, translator: TextBackend | DataFrame, options: EnrichOptions
+) -> DataFrame:
+    """``df`` with ``new_html`` and ``error``, for tables without titles."""
+    untitled = df.withColumn("_untitled", F.lit(""))
+    done = translate_title_and_html(untitled, key, "_untitled", html, translator, options)
+    return done.drop("_untitled", "new_title")
+
+
 def translate_parsed(
     parsed: DataFrame, title: str, order: list, translator: TextBackend | DataFrame, options: EnrichOptions
 ) -> DataFrame:

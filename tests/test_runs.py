@@ -342,3 +342,13 @@ def test_errors_of_a_dead_run_do_not_count(spark, tmp_path):
     spark.createDataFrame(row, dead.schema).write.parquet(str(tmp_path / "store" / "errors" / "version=1"))
     assert clean_references(store) == 1
     assert store.errors().count() == 0
+
+
+def test_a_known_article_keeps_its_day(spark, tmp_path):
+    tables = make_tables(spark, [(1, "a", "<p>b</p>", None)])
+    store = TableStore.create(spark, str(tmp_path / "store"), tables)
+    moved = spark.createDataFrame(
+        [(1, "c", "<p>d</p>", None, "en", NOW - timedelta(days=9))], schemas.ENTRIES
+    )
+    run_on_store(store, OPTIONS, GlossaryBackend(), arrived=moved)
+    assert [(r.title, r.day) for r in store.read("entries").collect()] == [("T(c)", "2026-03-27")]
