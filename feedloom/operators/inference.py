@@ -187,13 +187,16 @@ def _translate_distinct(texts, order, backend, options):
     same_text = Window.partitionBy("text").orderBy(*order)
     first = texts.withColumn("_nth", F.row_number().over(same_text)).where("_nth = 1").drop("_nth")
     together = run_chunks(chunk_texts(first, order, options), backend)
-    failed = together.where(F.col("error").isNotNull()).select("entry_id", "seq")
+    failed = together.where(F.col("error").isNotNull()).select("entry_id", "seq", "position")
     answers = together
     if not failed.isEmpty():
         # a text must not fail for another one in its chunk, whichever article that is from
-        again = first.join(failed, ["entry_id", "seq"], "left_semi")
-        again = again.withColumn("_own", F.concat_ws("-", "entry_id", "seq"))
-        alone = run_chunks(chunk_texts(again, [F.col("seq")], options, stream="_own"), backend)
+        again = first.join(failed, ["entry_id", "seq"]).select(
+            F.concat_ws("-", "entry_id", "seq").alias("chunk_key"),
+            F.array(F.struct("position", "entry_id", "seq")).alias("items"),
+            F.array("text").alias("inputs"),
+        )
+        alone = run_chunks(again, backend)
         answers = together.where(F.col("error").isNull()).unionByName(alone)
     by_text = first.select("entry_id", "seq", "text").join(answers, ["entry_id", "seq"])
     return (
