@@ -10,7 +10,8 @@ Batches are formed within groups of at most some `group_rows` documents that the
 out, so no bucket has to be numbered in one task; each group leaves one batch that may be short.
 
 Defined results: a null or empty text has length 0 and lies in the first bucket. A row longer than the
-budget is a batch of its own. Rows that share an id are packed one by one. No rows give no rows.
+budget is a batch of its own. Rows that share an id are packed one by one; rows without one are dealt
+out by a number of their own. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -75,7 +76,8 @@ def pack(
     length = word_count(F.col(text_col)) if length is None else length
     from feedloom.llm.components import write_scratch
 
-    sized, _ = write_scratch(docs.select(F.col(id_col).alias("id"), F.coalesce(length, F.lit(0)).cast("long").alias("n_tokens")), "lengths")
+    row = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())  # written, so it stays the same
+    sized, _ = write_scratch(docs.select(F.col(id_col).alias("id"), F.coalesce(length, F.lit(0)).cast("long").alias("n_tokens"), row.alias("row")), "lengths")
     sized = sized.withColumn("class", length_class(F.col("n_tokens")))
     histogram = sized.groupBy("class").agg(F.count(F.lit(1)).alias("n")).orderBy("class").collect()
     sizes, counts = np.array([r["class"] for r in histogram], np.int64), np.array([r["n"] for r in histogram], np.int64)
@@ -89,7 +91,7 @@ def pack(
     placed = (
         sized.withColumn("bucket", bucket)
         .withColumn("bucket_length", at(bounds).cast("long"))
-        .withColumn("group", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("pack")), at(groups).cast("long")))
+        .withColumn("group", F.pmod(F.xxhash64(F.col("id").cast("string"), F.col("row"), F.lit("pack")), at(groups).cast("long")))
     )
     each = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest("bucket_length", F.lit(1)))).cast("long")
     order = Window.partitionBy("bucket", "group").orderBy("n_tokens", "id")

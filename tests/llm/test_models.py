@@ -165,6 +165,12 @@ def test_batches_keep_the_budget(spark):
     assert pack(docs.filter("false")).count() == 0
 
 
+def test_rows_without_id_are_dealt_out(spark):
+    docs = spark.range(600).selectExpr("cast(null as long) as doc_id", "'a b' as text")
+    found = pack(docs, token_budget=1 << 20, group_rows=50).collect()
+    assert len(found) == 600 and len({r["batch"] for r in found}) > 6
+
+
 def test_pipeline_against_brute_force(spark):
     import sys
 
