@@ -42,6 +42,12 @@ def overwrite_articles(entries: DataFrame, changes: DataFrame) -> DataFrame:
 
 def upsert_translations(translations: DataFrame, saved: DataFrame, run_ts: datetime) -> DataFrame:
     """Tracking rows of ``saved`` replace or join those with the same article."""
+    kept = translations.join(saved.select("entry_id"), "entry_id", "left_anti")
+    rows = _saved_rows(translations.columns, saved, run_ts)
+    return kept.select(*translations.columns).unionByName(rows)
+
+
+def _saved_rows(columns: list[str], saved: DataFrame, run_ts: datetime) -> DataFrame:
     now = F.lit(run_ts).cast("timestamp")
     stamps = {
         "translated_at": now,
@@ -49,11 +55,31 @@ def upsert_translations(translations: DataFrame, saved: DataFrame, run_ts: datet
         "reapplied_at": F.lit(None).cast("timestamp"),
         "last_error": F.lit(None).cast("string"),
     }
-    rows = saved.select(
-        *[(stamps[c] if c in stamps else F.col(c)).alias(c) for c in translations.columns]
-    )
-    kept = translations.join(rows.select("entry_id"), "entry_id", "left_anti")
-    return kept.select(*translations.columns).unionByName(rows)
+    return saved.select(*[stamps.get(c, F.col(c)).alias(c) for c in columns])
+
+
+def apply_changes(
+    translations: DataFrame, changes: DataFrame, saved: DataFrame, run_ts: datetime
+) -> DataFrame:
+    """The tracking table after a run: changes of every kind in one join.
+
+    ``changes`` has ``entry_id, kind, new_tags, persist, message``, one row per
+    article; ``kind`` is ``save``, ``reapply``, ``tags`` or ``error``. Rows to
+    save give way to those of ``saved``, whose texts take no part in the join.
+    """
+    now = F.lit(run_ts).cast("timestamp")
+    kind = F.col("kind")
+    new_tags = (kind == "tags") | ((kind == "reapply") & F.col("persist"))
+    message = F.when(kind == "error", F.left("message", F.lit(STORED_ERROR_CHARS)))
+    values = {
+        "reapplied_at": F.when(kind == "reapply", now).otherwise(F.col("reapplied_at")),
+        "updated_at": F.when(kind.isNotNull(), now).otherwise(F.col("updated_at")),
+        "last_error": F.when(kind.isNotNull(), message).otherwise(F.col("last_error")),
+        "generated_tags": F.when(new_tags, F.col("new_tags")).otherwise(F.col("generated_tags")),
+    }
+    kept = translations.join(changes, "entry_id", "left").where(kind.isNull() | (kind != "save"))
+    updated = kept.select(*[values.get(c, F.col(c)).alias(c) for c in translations.columns])
+    return updated.unionByName(_saved_rows(translations.columns, saved, run_ts))
 
 
 def _update(table: DataFrame, changes: DataFrame, values: dict[str, Column]) -> DataFrame:

@@ -243,19 +243,20 @@ def merged_tables(tables: Tables, outcome: DataFrame, options: EnrichOptions) ->
         plan["tags"].alias("generated_tags"),
         day,
     )
-    replayed = done.where(action == "reapply").select(
-        "entry_id", plan["tags"].alias("new_tags"), plan["persist"].alias("persist")
+    kind = (
+        F.when(F.col("error").isNotNull(), "error")
+        .when(action == "translate", "save")
+        .when(action == "reapply", "reapply")
+        .when((action == "skip") & plan["persist"], "tags")
     )
-    retagged = done.where((action == "skip") & plan["persist"]).select(
-        "entry_id", plan["tags"].alias("new_tags")
-    )
-    failures = outcome.where(F.col("error").isNotNull()).select(
-        "entry_id", F.col("error").alias("message")
-    )
-    translations = merge.upsert_translations(tables.translations, saved, options.run_ts)
-    translations = merge.stamp_reapplied(translations, replayed, options.run_ts)
-    translations = merge.store_generated_tags(translations, retagged, options.run_ts)
-    translations = merge.stamp_errors(translations, failures, options.run_ts)
+    changes = outcome.select(
+        "entry_id",
+        kind.alias("kind"),
+        plan["tags"].alias("new_tags"),
+        plan["persist"].alias("persist"),
+        F.col("error").alias("message"),
+    ).where(F.col("kind").isNotNull())
+    translations = merge.apply_changes(tables.translations, changes, saved, options.run_ts)
     return Tables(
         entries=merge.overwrite_articles(tables.entries, rewritten),
         user_entries=merge.rewrite_tag_cache(tables.user_entries, merged),
