@@ -54,6 +54,7 @@ class TestWindows:
     vocabulary: np.ndarray  # sorted word hashes; a word's number is its place, from 1
     gate: np.ndarray  # which low bits of word hashes occur
     keys: np.ndarray  # distinct windows as strings of big-endian word numbers, sorted
+    beyond: np.ndarray  # the last string that begins with each window
     sizes: np.ndarray  # words of each
     firsts: np.ndarray  # where each window's instances begin
     items: np.ndarray  # of each instance
@@ -83,11 +84,13 @@ def index_items(ids: list[int], bodies: list[str], window: int = WINDOW) -> Test
     order = np.argsort(which, kind="stable")
     begins = np.searchsorted(which[order], np.arange(len(keys)))
     sizes = size[owner][order][begins] if len(keys) else np.empty(0, np.int64)
+    own = grid[order][begins]
+    beyond = _strings(np.where(np.arange(window) < sizes[:, None], own, 0xFFFFFFFF))
     leads = {}
     for length in np.unique(sizes).tolist():
-        rows = grid[order][begins][sizes == length]
+        rows = own[sizes == length]
         leads[length] = np.unique(_lead_hash([rows[:, k] for k in range(min(LEAD, length))]))
-    return TestWindows(vocabulary, gate, keys, sizes, begins, np.asarray(ids, np.int64)[owner][order], place[order], leads, window)
+    return TestWindows(vocabulary, gate, keys, beyond, sizes, begins, np.asarray(ids, np.int64)[owner][order], place[order], leads, window)
 
 
 def _grid(numbers: np.ndarray, starts: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
@@ -140,8 +143,7 @@ def shard_matches(part: Texts, tests: TestWindows) -> tuple[np.ndarray, np.ndarr
     order = np.argsort(keys, kind="stable")
     array, keys = suffixes[order], keys[order]
     low = np.searchsorted(keys, tests.keys, "left")
-    beyond = np.char.add(tests.keys, b"\xff" * 4) if len(tests.leads) > 1 or tests.window not in tests.leads else tests.keys
-    high = np.searchsorted(keys, beyond, "right")
+    high = np.searchsorted(keys, tests.beyond, "right")
     found = np.flatnonzero(high > low)
     if not len(found):
         return counts, nothing

@@ -109,3 +109,12 @@ def test_longest_matches_have_their_places(spark):
     assert [tuple(m) for m in found["matches"]] == [(2, 22, 7)]
     none = benchmark_matches(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).first()
     assert (none["n_words"], none["matches"]) == (25, [])
+
+
+def test_short_items_beside_many_words(spark):
+    base = "one two three four five six seven eight nine"
+    items = [(i, f"{base} v{i}") for i in range(700)] + [(900, "short item"), (901, "v5 v6 v7")]
+    docs = [(j, f"{base} v{j}") for j in range(0, 700, 3)] + [(800, f"v5 v6 v7 {base} v9 short item"), (801, f"{base} v9x")]
+    found = benchmark_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = found.select("id", "n_words", hit_words("matches").alias("n"), F.array_sort(F.array_distinct("matches.item")).alias("items")).collect()
+    assert sorted(((r["id"], r["n_words"], r["n"], r["items"]) for r in got), key=repr) == slow_hits(docs, items)
