@@ -52,10 +52,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item, or all of a shorter one, go."""
-    found = benchmark_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.filter("size(matches) > 0").select("id").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
+    """Rows that hold ten consecutive words of a benchmark item, or all of a shorter one, go."""
+    found = benchmark_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_row=True)
+    return found.filter("size(matches) = 0").select("row.*")
 
 
 def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

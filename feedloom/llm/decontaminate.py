@@ -196,22 +196,25 @@ def benchmark_matches(
     item_text_col: str = "text",
     window: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
+    with_row: bool = False,
 ) -> DataFrame:
     """`id, n_words, matches` for every row; matches have start, length (in words) and item.
 
+    `with_row` adds `row`, a struct of all columns of `docs`.
     A match is a maximal run of document words every window of which stands in the item the same way.
     """
     spark = docs.sparkSession
     known = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("body")).filter("item is not null and body is not null")
     volume = known.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
     blocks = max(1, -(-volume // block_bytes))
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    carried = [F.struct(*docs.columns).alias("row")] if with_row else []
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *carried)
     keyed = own if blocks == 1 else own.withColumn("mark", F.xxhash64("text"))
     passes = []
     for k in range(blocks):
         rows = sorted(known.filter(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == k).collect())
         shared = spark.sparkContext.broadcast(index_items([r["item"] for r in rows], [r["body"] for r in rows], window))
-        keep = ["id"] if blocks == 1 else ["id", "mark"]
+        keep = (["id"] if blocks == 1 else ["id", "mark"]) + (["row"] if with_row and k == 0 else [])
         passes.append(keyed.select(*keep, _matches_column(F.col("text"), shared).alias("found")).select(*keep, "found.*"))
     if blocks == 1:
         return passes[0]
@@ -221,7 +224,8 @@ def benchmark_matches(
     # rows with the same id and text have the same matches
     rest = rest.dropDuplicates().groupBy(F.col("id").alias("rid"), F.col("mark").alias("rmark")).agg(F.array_distinct(F.flatten(F.collect_list("matches"))).alias("more"))
     joined = passes[0].join(rest, F.col("id").eqNullSafe(F.col("rid")) & F.col("mark").eqNullSafe(F.col("rmark")), "left")
-    return joined.select("id", "n_words", F.array_sort(F.concat("matches", F.coalesce("more", F.array().cast(MATCH)))).alias("matches"))
+    every = F.array_sort(F.concat("matches", F.coalesce("more", F.array().cast(MATCH))))
+    return joined.select("id", *(["row"] if with_row else []), "n_words", every.alias("matches"))
 
 
 def hit_words(matches: str) -> Column:
