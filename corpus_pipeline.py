@@ -31,9 +31,12 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    gone = simhash_groups(docs).filter("id <> component").select("id").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
+    """Of each group of near-duplicates one row stays: of those with the smallest id, that of the smallest text hash."""
+    rows, _ = write_scratch(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")), "rows")
+    place = F.struct(F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("hash"), "number")
+    placed = rows.select(F.when(F.col("row.doc_id").isNotNull(), place).alias("place"), F.col("row.text").alias("text"))
+    gone = simhash_groups(placed, id_col="place").filter("id <> component").select("id.number")
+    return rows.join(gone, "number", "left_anti").select("row.*")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

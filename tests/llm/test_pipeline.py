@@ -29,3 +29,16 @@ def test_benchmark_passages_go_from_rows_without_id(spark, sf_dir):
     assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([(None, "clean"), (None, None), (2, "clean too")], key=repr)
     found = benchmark_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), block_bytes=300, with_row=True)
     assert {(r["row"]["doc_id"], r["row"]["text"]) for r in found.filter("size(matches) > 0").collect()} == {(None, rows[0][1]), (1, LEAK)}
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, sf_dir):
+    a, b, c = plain("a"), plain("b"), plain("c")
+    rows = [(1, a), (2, b), (2, a), (1, a), (None, a), (None, a), (3, c), (3, c), (4, b), (5, a + " more"), (7, plain("d")), (7, plain("e"))]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], SCHEMA).withColumn("number", F.lit(1)).withColumn("place", F.lit(2)).repartition(3)
+    left = corpus_pipeline.one_of_each(spark, docs, sf_dir)
+    assert left.columns == docs.columns
+    want = [(None, a), (None, a), (1, a), (2, b), (3, c), (7, plain("d")), (7, plain("e"))]
+    assert sorted(((r["doc_id"], r["text"]) for r in left.filter("doc_id <> 5 or doc_id is null").collect()), key=repr) == sorted(want, key=repr)
+    mixed = spark.createDataFrame([(5, LEAK, "en"), (5, "clean", "en"), (6, "clean", "en")], SCHEMA)
+    kept = corpus_pipeline.without_benchmarks(spark, mixed, sf_dir)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(5, "clean"), (6, "clean")]
