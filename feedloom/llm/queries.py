@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.components import write_scratch
 from feedloom.llm.decontaminate import benchmark_matches, hit_words
+from feedloom.llm.divergence import source_divergence
 from feedloom.llm.language import fit_language
+from feedloom.llm.merkle import digest_of, merkle_proofs, proof_digest, refold
 from feedloom.llm.packing import pack
 from feedloom.llm.quality import feature_column, fit_quality
+from feedloom.llm.repetition import judge_repetition
 from feedloom.llm.simhash import simhash_groups
 from feedloom.llm.substrings import substring_dedup
 from feedloom.llm.tokens import read_pieces, token_counts
@@ -103,6 +106,30 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judge_repetition(table(spark, sf_dir, "documents"))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered"]
+    return found.select(F.col("id").alias("doc_id"), *names)
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+
+    def digest(text: Column) -> Column:
+        return digest_of(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+
+    text = F.col("text")
+    tampered = (fold("doc_id", 2) == 0) & text.contains("\n")
+    leaves = docs.select("doc_id", "source", digest(text).alias("leaf"), F.when(tampered, digest(F.replace(text, F.lit("\n"), F.lit("")))).alias("other"))
+    found = merkle_proofs(leaves, "doc_id", "source", "leaf")
+    found = found.withColumn("folded_root", refold(F.coalesce("other", "leaf"), F.col("proof")))
+    return found.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -111,7 +138,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_vectors, op3_language, op4_urls, op5_toxicity, op6_packing, op7_tokens, op8_decontamination, op9_substrings, op10_simhash, pipeline)
+    for f in (op1_quality, op2_vectors, op3_language, op4_urls, op5_toxicity, op6_packing, op7_tokens, op8_decontamination, op9_substrings, op10_simhash, op11_divergence, op12_repetition, op13_manifest, pipeline)
 }
 
 ORACLES: dict[str, str] = {
@@ -185,4 +212,141 @@ ORACLES: dict[str, str] = {
             sha256(coalesce(t, '')) as kept_sha256
         from words left join left_over using (doc_id)
     """,
+    "op11_divergence": r"""
+        with texts as (select coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text, row_number() over () as pos from documents),
+        terms as (
+            select lang, source, pos, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from texts
+        ),
+        kept as (select lang, term, count(*) as n from terms group by lang, term having count(distinct pos) >= 30),
+        sizes as (select lang, count(*) as v, sum(n)::bigint as total from kept group by lang),
+        groups as (select distinct lang, source from texts),
+        cells as (select lang, source, term, count(*) as n from terms semi join kept using (lang, term) group by lang, source, term),
+        totals as (select lang, source, sum(n)::bigint as total from cells group by lang, source),
+        priced as (
+            select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+                (1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (coalesce(t.total, 0) + 5 * s.v))::bigint as p,
+                (1 + (1000000000::hugeint * (k.n + 5)) // (s.total + 5 * s.v))::bigint as q
+            from groups g join kept k on k.lang = g.lang join sizes s on s.lang = g.lang
+            left join totals t on t.lang = g.lang and t.source = g.source
+            left join cells c on c.lang = g.lang and c.source = g.source and c.term = k.term
+        ),
+        apart as (
+            select a.lang, a.source, b.source as item, sum(abs(a.p - b.p))::bigint as value
+            from priced a join priced b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+        ),
+        pairs as (
+            select a.lang, a.source, b.source as item, coalesce(value, 0) as value
+            from groups a join groups b on a.lang = b.lang and a.source <> b.source
+            left join apart x on x.lang = a.lang and x.source = a.source and x.item = b.source
+        ),
+        ranked as (
+            select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+            union all
+            select * from (
+                select lang, source, 'term', term, p - q, row_number() over (partition by lang, source order by p - q desc, term) as rank
+                from priced where n > 0 and p > q
+            ) where rank <= 50
+        )
+        select lang, source, part, item, value, rank::int as rank from ranked
+    """,
+    "op12_repetition": r"""
+        with words as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        windows as (
+            select doc_id, n, i, md5(array_to_string(w[i : i + n - 1], ' ')) as k
+            from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from words, (select unnest([3, 8]) as n))
+        ),
+        twice as (select doc_id, n, k from windows group by doc_id, n, k having count(*) > 1),
+        covered as (
+            select doc_id, n, count(distinct p) as c
+            from (select doc_id, n, unnest(range(i, i + n)) as p from windows semi join twice using (doc_id, n, k)) group by doc_id, n
+        ),
+        long as (
+            select distinct doc_id from (
+                select doc_id, md5(array_to_string(w[i : i + 100], ' ')) as k
+                from (select doc_id, w, unnest(range(1, len(w) - 99)) as i from words semi join (from covered where n = 8 and c > 100) using (doc_id))
+            ) group by doc_id, k having count(*) > 1
+        ),
+        lines as (
+            select doc_id, count(*) - count(distinct line) as n
+            from (select doc_id, unnest(string_split(text, chr(10))) as line from words)
+            where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id
+        ),
+        base as (
+            select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+                length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(l.n, 0)::bigint as n_dup_lines,
+                coalesce(c3.c, 0)::bigint as n_repeat_words, coalesce(c8.c, 0)::bigint as n_covered, doc_id in (from long) as too_long
+            from words left join lines l using (doc_id)
+            left join (select * from covered where n = 3) c3 using (doc_id)
+            left join (select * from covered where n = 8) c8 using (doc_id)
+        ),
+        judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from base)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            not base_failed and 100 * n_covered <= 30 * n_words and not too_long as kept, n_covered
+        from judged
+    """,
+    "op13_manifest": r"""
+        with recursive fields as (
+            select doc_id, source, lang, n_chars, text,
+                list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint), lambda crc, c:
+                    list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, c)), 4294967295::bigint) as inverse
+            from documents
+        ),
+        rows as (
+            select *, concat_ws('', case when doc_id is null then '-' else strlen(doc_id::varchar) || ':' || doc_id end,
+                case when source is null then '-' else strlen(source) || ':' || source end,
+                case when lang is null then '-' else strlen(lang) || ':' || lang end,
+                case when n_chars is null then '-' else strlen(n_chars::varchar) || ':' || n_chars end) as head,
+                case when inverse % 2 = 1 then replace(text, chr(10), '') else text end as other
+            from fields
+        ),
+        leaves as (
+            select doc_id, source, sha256(head || case when text is null then '-' else strlen(text) || ':' || text end) as leaf,
+                sha256(head || case when other is null then '-' else strlen(other) || ':' || other end) as shown
+            from rows
+        ),
+        placed as (
+            select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by source) as n from leaves
+        ),
+        tree as (
+            select source, 0 as level, pos, n, leaf as digest from placed
+            union all
+            select source, level + 1, pos // 3, (max(n) + 2) // 3, sha256(string_agg(digest, '' order by pos)) from tree where n > 1 group by source, level, pos // 3
+        ),
+        subroots as (select source, level as height, digest as subroot, row_number() over (order by source nulls first) - 1 as place, count(*) over () as n from tree where n = 1),
+        top as (
+            select 0 as level, place as pos, n, subroot as digest from subroots
+            union all
+            select level + 1, pos // 3, (max(n) + 2) // 3, sha256(string_agg(digest, '' order by pos)) from top where n > 1 group by level, pos // 3
+        ),
+        nodes as (
+            select source, level, pos, digest from tree where n > 1
+        ),
+        steps as (
+            select p.doc_id, p.pos as leaf_at, p.source, t.level as step,
+                coalesce(string_agg(t.digest, '' order by t.pos) filter (t.pos < p.pos // (3 ** t.level)::bigint), '') as l,
+                coalesce(string_agg(t.digest, '' order by t.pos) filter (t.pos > p.pos // (3 ** t.level)::bigint), '') as r
+            from placed p join nodes t on t.source is not distinct from p.source and t.pos // 3 = p.pos // (3 ** (t.level + 1))::bigint
+            group by all
+            union all
+            select p.doc_id, p.pos, p.source, s.height + t.level,
+                coalesce(string_agg(t.digest, '' order by t.pos) filter (t.pos < s.place // (3 ** t.level)::bigint), ''),
+                coalesce(string_agg(t.digest, '' order by t.pos) filter (t.pos > s.place // (3 ** t.level)::bigint), '')
+            from placed p join subroots s on s.source is not distinct from p.source
+            join top t on t.n > 1 and t.pos // 3 = s.place // (3 ** (t.level + 1))::bigint
+            group by all
+        ),
+        proofs as (select source, leaf_at, sha256(string_agg(l || r, '' order by step)) as proof from steps group by source, leaf_at),
+        folded as (
+            select source, pos, 0 as step, shown as digest from placed
+            union all
+            select f.source, f.pos, f.step + 1, sha256(s.l || f.digest || s.r)
+            from folded f join steps s on s.source is not distinct from f.source and s.leaf_at = f.pos and s.step = f.step
+        ),
+        ends as (select source, pos, arg_max(digest, step) as folded_root from folded group by source, pos)
+        select p.doc_id, p.leaf, s.subroot, t.digest as root, coalesce(proof, sha256('')) as proof_sha256, folded_root, folded_root = t.digest as verified
+        from placed p join subroots s on s.source is not distinct from p.source cross join (select digest from top where n = 1) t
+        left join proofs x on x.source is not distinct from p.source and x.leaf_at = p.pos
+        join ends e on e.source is not distinct from p.source and e.pos = p.pos
+    """,
 }
