@@ -15,7 +15,8 @@ depth that a window needs after its anchor, together with equal words before it,
 
 A prefix that more than `hot_rows` rows share is lengthened to the whole window instead: a node is
 then one key, whose smallest id is aggregated map-side and joined back, which adaptive execution can
-split. Rows that repeat a whole text are set aside first and never reach a tree.
+split: by the SHA-256 of its words. Rows that repeat a whole text are set aside first and never reach
+a tree, by the SHA-256 of their words, too. In the trees words are compared as bytes; hashes only deal suffixes out.
 
 Defined results: a null text has no words. Texts of fewer than 50 words lose nothing. Rows without an
 id neither lose words nor take them from others. Rows that share an id do not take words from each
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.components import write_scratch
-from feedloom.llm.textarrays import NOT_SPACE, Texts, mix, run_hashes, texts
+from feedloom.llm.textarrays import NOT_SPACE, run_hashes, texts
 
 WINDOW = 50
 PREFIX = 8
@@ -93,7 +94,7 @@ def _suffixes(batches):
     """Suffixes at the anchors that a row shares with others, once for each distinct surrounding.
 
     `begins`: where the suffix starts; its windows begin `back` down to `back - ahead` words before.
-    `before` has the words before it, nearest first, `after` its own words, as 32-bit hashes.
+    `before` has the words before it, `after` its own words, with the spaces between them.
     """
     for batch in batches:
         ids, parts = batch.column("id").to_pylist(), batch.column("part").to_pylist()
@@ -104,7 +105,6 @@ def _suffixes(batches):
             begins, at, leads = anchors(hashes, first)
             if not len(at):
                 continue
-            small = (hashes >> np.uint64(32)).astype(np.uint32)
             owner = np.searchsorted(first, begins, "right") - 1
             change = np.ones(len(at), bool)
             change[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
@@ -122,7 +122,7 @@ def _suffixes(batches):
                 seen: dict[tuple, list[int]] = {}
                 for k in (np.flatnonzero(is_hot | np.isin(own, cold)) + lo).tolist():
                     q, s, e = int(at[head[k]]), int(begins[head[k]]), int(begins[tail[k]])
-                    before, after = small[s:q][::-1].tobytes(), small[q : e + WINDOW].tobytes()
+                    before, after = part.data[starts[s] : starts[q]].tobytes(), part.data[starts[q] : ends[e + WINDOW - 1]].tobytes()
                     seen.setdefault((int(marks[k]), bool(is_hot[k - lo]), q - s, e - s, before, after), []).append(q - int(first[i]))
                 out += [(m, h, ids[row], parts[row], places, back, ahead, before, after) for (m, h, back, ahead, before, after), places in seen.items()]
         columns = list(zip(*out, strict=True)) if out else [[] for _ in range(9)]
@@ -130,21 +130,23 @@ def _suffixes(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [f.split()[0] for f in SUFFIX.split(", ")])
 
 
-def _padded(column: pa.Array, width: int) -> np.ndarray:
-    """32-bit words of binary values, a row for each, filled up with zeros."""
+def _coded(column: pa.Array, width: int, known: dict[bytes, int], nearest_first: bool = False) -> np.ndarray:
+    """Codes of the words of binary values, a row for each, filled up with zeros; equal words have one code."""
     values = column.to_pylist()
     out = np.zeros((len(values), width), np.uint32)
     for i, v in enumerate(values):
-        row = np.frombuffer(v, np.uint32)
+        words = v.split()
+        row = [known.setdefault(w, len(known) + 1) for w in (reversed(words) if nearest_first else words)]
         out[i, : len(row)] = row
     return out
 
 
-def _node_keys(column_before: np.ndarray, back: np.ndarray) -> np.ndarray:
-    """Hashes of the first 0, 1, .. words before each anchor, a column for each number."""
-    out = np.zeros((len(back), SPAN), np.uint64)
+def _contexts(before: np.ndarray) -> np.ndarray:
+    """Numbers for the first 0, 1, .. words before each anchor, a column for each; equal words have one number."""
+    out = np.zeros((len(before), SPAN), np.int64)
     for a in range(1, SPAN):
-        out[:, a] = mix(out[:, a - 1] + column_before[:, a - 1].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        pairs = out[:, a - 1] * (1 << 32) + before[:, a - 1]
+        out[:, a] = np.unique(pairs, return_inverse=True)[1]
     return out
 
 
@@ -160,7 +162,7 @@ def repeats(prefix: np.ndarray, ids: np.ndarray, back: np.ndarray, ahead: np.nda
     same = after[1:] == after[:-1]
     common = np.where(same.all(axis=1), WINDOW, same.argmin(axis=1))  # the longest common prefix of neighbours
     common[prefix[1:] != prefix[:-1]] = -1
-    context = _node_keys(before, back)
+    context = _contexts(before)
     for a in range(SPAN):
         rows = np.flatnonzero((a <= back) & (a >= back - ahead))
         if len(rows) < 2:
@@ -194,30 +196,25 @@ def _ranges(ids, parts, begins, flags) -> pa.Table:
 def _tree_group(table: pa.Table) -> pa.Table:
     table = table.combine_chunks()
     whole = lambda c: table[c].to_numpy()
-    flags = repeats(whole("prefix"), whole("id"), whole("back"), whole("ahead"), _padded(table["before"], SPAN), _padded(table["after"], WINDOW))
+    known: dict[bytes, int] = {}
+    before, after = _coded(table["before"], SPAN, known, nearest_first=True), _coded(table["after"], WINDOW, known)
+    flags = repeats(whole("prefix"), whole("id"), whole("back"), whole("ahead"), before, after)
     return _ranges(whole("id").tolist(), whole("part").tolist(), table["begins"].to_pylist(), flags)
 
 
 def _whole_windows(batches):
-    """The windows of hot suffixes, each with a key of its own."""
+    """The windows of hot suffixes, each with the digest of its words."""
     for batch in batches:
-        back, ahead = batch.column("back").to_numpy(), batch.column("ahead").to_numpy()
-        before, after = _padded(batch.column("before"), SPAN), _padded(batch.column("after"), WINDOW)
-        context = _node_keys(before, back)
-        ahead_key = np.zeros((len(back), WINDOW + 1), np.uint64)
-        for d in range(1, WINDOW + 1):
-            ahead_key[:, d] = mix(ahead_key[:, d - 1] + after[:, d - 1].astype(np.uint64) + np.uint64(0xD1342543DE82EF95))
         rows, keys, shifts = [], [], []
-        for a in range(SPAN):
-            own = np.flatnonzero((a <= back) & (a >= back - ahead))
-            rows.append(own)
-            keys.append(mix(context[own, a] ^ mix(ahead_key[own, WINDOW - a] + np.uint64(a))).view(np.int64))
-            shifts.append(np.full(len(own), a, np.int32))
-        take = np.concatenate(rows)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(c).take(pa.array(take)) for c in ("prefix", "id", "part", "begins")] + [pa.array(np.concatenate(shifts)), pa.array(np.concatenate(keys))],
-            ["prefix", "id", "part", "begins", "shift", "key"],
-        )
+        columns = (batch.column(c).to_pylist() for c in ("back", "ahead", "before", "after"))
+        for i, (back, ahead, before, after) in enumerate(zip(*columns, strict=True)):
+            words = before.split() + after.split()
+            for a in range(back - ahead, back + 1):
+                rows.append(i)
+                shifts.append(a)
+                keys.append(hashlib.sha256(b" ".join(words[back - a : back - a + WINDOW])).digest())
+        taken = [batch.column(c).take(pa.array(rows, pa.int32())) for c in ("prefix", "id", "part", "begins")]
+        yield pa.RecordBatch.from_arrays([*taken, pa.array(shifts, pa.int32()), pa.array(keys, pa.binary())], ["prefix", "id", "part", "begins", "shift", "key"])
 
 
 def _removals(docs: DataFrame, base: DataFrame, group_rows: int, hot_rows: int) -> DataFrame:
@@ -236,7 +233,7 @@ def _removals(docs: DataFrame, base: DataFrame, group_rows: int, hot_rows: int)
     suffixes = docs.join(wanted, ["id", "part"]).select("id", "part", "text", "cold", "hot").mapInArrow(_suffixes, SUFFIX)
     ranges = suffixes.filter(~F.col("hot")).withColumn("group", F.pmod(F.xxhash64("prefix"), F.lit(groups))).groupBy("group").applyInArrow(_tree_group, RANGE)
     if volume[1]:
-        hot = suffixes.filter("hot").mapInArrow(_whole_windows, "prefix long, id long, part long, begins array<int>, shift int, key long")
+        hot = suffixes.filter("hot").mapInArrow(_whole_windows, "prefix long, id long, part long, begins array<int>, shift int, key binary")
         least = hot.groupBy("prefix", "key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").drop("most")
         found = hot.join(least, ["prefix", "key"]).filter("id > least").select("id", "part", F.explode("begins").alias("q"), "shift")
         ranges = ranges.unionAll(found.select("id", "part", (F.col("q") - F.col("shift")).alias("start"), (F.col("q") - F.col("shift") + WINDOW).alias("stop")))

@@ -118,3 +118,17 @@ def test_short_items_beside_many_words(spark):
     found = benchmark_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     got = found.select("id", "n_words", hit_words("matches").alias("n"), F.array_sort(F.array_distinct("matches.item")).alias("items")).collect()
     assert sorted(((r["id"], r["n_words"], r["n"], r["items"]) for r in got), key=repr) == slow_hits(docs, items)
+
+
+@pytest.mark.parametrize("hot_rows", [200_000, 1])
+def test_words_with_like_hashes_are_told_apart(spark, hot_rows):
+    # pairs of words whose hashes agree in their upper half
+    rows = []
+    for k, pair in enumerate([("id143777", "id219466"), ("id5235", "id258152")]):
+        around = [f"p{k}w{i}" for i in range(60)]
+        rows += [(10 * k + j, " ".join([*around[:30], word, *around[30:59]])) for j, word in enumerate(pair)]
+        rows += [(10 * k + 5, rows[-1][1] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup(docs, hot_rows=hot_rows).collect()
+    assert sorted(((r["id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found), key=repr) == slow_removal(rows)
+    assert sorted((r["id"], r["n_removed"]) for r in found) == [(0, 0), (1, 0), (5, 60), (10, 0), (11, 0), (15, 60)]
