@@ -12,8 +12,8 @@ links to, and a spanning forest of the links, never the links themselves.
 
 Defined results: a vector that is null, empty, zero or has null or non-finite components links with
 nothing and is a component of its own. Vectors of different length do not link. Rows that share an id
-are vectors of their own. Rows without an id keep a null id and component, and count as linked vectors.
-No rows give no rows.
+are vectors of their own. Rows without an id keep a null id and component, count as linked vectors, and others
+reach each other through them. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from feedloom.llm.components import components, write_scratch
 from feedloom.llm.forests import roots
 
-BLOCK = 4096
+BLOCK = 4096  # vectors of up to DIMS dimensions that one side of a task has; of longer ones fewer
+DIMS = 1024
 TILE = 256
 EXACT_PAIRS = 1 << 14
 EXACT_DIMS = 1024  # so many products of int8 values add up exactly in single precision
@@ -44,16 +45,18 @@ def vector_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     keyed = base.select(
         "id", F.when(F.col("usable"), F.xxhash64("v")).alias("h1"), F.when(F.col("usable"), F.xxhash64(F.lit("second"), "v")).alias("h2"), "v"
     )
-    classes, _ = write_scratch(keyed.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
+    grouped = keyed.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    # distinct vectors are the nodes: in the order of their ids, those without one last
+    classes, _ = write_scratch(grouped.withColumn("class", F.struct(F.col("least").isNull().alias("none"), "least", "h1", "h2")), "classes")
     one = keyed.filter("h1 is not null").join(classes, ["h1", "h2"]).filter("id <=> least")
-    distinct, _ = write_scratch(one.dropDuplicates(["h1", "h2"]).select("h1", "h2", "least", "n", "v"), "vectors")
+    distinct, _ = write_scratch(one.dropDuplicates(["h1", "h2"]).select("h1", "h2", "class", "n", "v"), "vectors")
     links, _ = write_scratch(_block_pairs(distinct, threshold, block), "links")
     found = components(links.filter("b is not null").select("a", "b"))
     counted = links.filter("b is null").groupBy("h1", "h2").agg(F.sum("links").alias("links"))
     of_class = (
         classes.join(counted, ["h1", "h2"], "left")
-        .join(found, F.col("least") == F.col("node"), "left")
-        .select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("class_links"), F.coalesce("component", "least").alias("class_component"))
+        .join(found, F.col("class") == F.col("node"), "left")
+        .select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("class_links"), F.coalesce("component", "class")["least"].alias("class_component"))
     )
     alone = keyed.filter("h1 is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     linked = keyed.filter("h1 is not null").select("id", "h1", "h2").join(of_class, ["h1", "h2"])
@@ -63,18 +66,20 @@ def vector_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 def _block_pairs(distinct: DataFrame, threshold: float, block: int) -> DataFrame:
     """Rows with links: a vector's number of linked vectors of other classes; rows with b: edges."""
-    blocks = max(1, -(-distinct.count() // block))
+    size = distinct.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    blocks = max(1, -(-size[0] // max(1, block * DIMS // max(DIMS, size[1]))))
     own = F.pmod(F.col("h1"), F.lit(blocks))
     dealt = (
         distinct.withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "h1", "h2", "least", "n", "v")
+        .select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "h1", "h2", "class", "n", "v")
     )
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         return _compare(key, table, threshold)
 
-    return dealt.groupBy("i", "j").applyInArrow(compare, "h1 long, h2 long, links long, a long, b long")
+    node = distinct.schema["class"].dataType.simpleString()
+    return dealt.groupBy("i", "j").applyInArrow(compare, f"h1 long, h2 long, links long, a {node}, b {node}")
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,13 +142,13 @@ def _compare(key: tuple, table: pa.Table, threshold: float) -> pa.Table:
             np.add.at(counts, p, n[q])
             np.add.at(counts, q, n[p])
             root = roots(len(table), p, q, root)
-    h1, h2, least = (table[c].to_numpy(zero_copy_only=False) for c in ("h1", "h2", "least"))
     some, moved = np.flatnonzero(counts), np.flatnonzero(root != np.arange(len(table)))
-    empty = pa.nulls(len(some), pa.int64())
-    none = pa.nulls(len(moved), pa.int64())
+    h1, h2 = (table[c].combine_chunks() for c in ("h1", "h2"))
+    nodes = table["class"].combine_chunks()
+    no_ends, no_links = pa.nulls(len(some), nodes.type), pa.nulls(len(moved), pa.int64())
     return pa.concat_tables(
         [
-            pa.table({"h1": pa.array(h1[some]), "h2": pa.array(h2[some]), "links": pa.array(counts[some]), "a": empty, "b": empty}),
-            pa.table({"h1": none, "h2": none, "links": none, "a": pa.array(least[moved], pa.int64()), "b": pa.array(least[root[moved]], pa.int64())}),
+            pa.table({"h1": h1.take(pa.array(some)), "h2": h2.take(pa.array(some)), "links": pa.array(counts[some]), "a": no_ends, "b": no_ends}),
+            pa.table({"h1": no_links, "h2": no_links, "links": no_links, "a": nodes.take(pa.array(moved)), "b": nodes.take(pa.array(root[moved]))}),
         ]
     )

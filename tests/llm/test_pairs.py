@@ -117,3 +117,26 @@ def test_vector_links(spark, block):
     root = reach(range(len(rows)), links)
     assert found == {i: (sum(i in x for x in links), root[i]) for i in range(len(rows))}
     assert vector_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("block", [4096, 4])
+def test_vector_links_without_and_with_shared_ids(spark, block):
+    def at(*degrees):
+        return [[float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))] for d in degrees]
+
+    # 18 degrees link, 19 do not; ids beyond 2**53 differ by one
+    big = 2**60
+    angles = [(5, 0), (big + 1, 30), (None, 15), (big, 90), (big + 2, 100), (None, 180), (None, 185), (7, 240), (7, 300), (9, 310), (8, 250), (None, 240), (None, None)]
+    rows = [(i, at(d)[0] if d is not None else None) for i, d in angles]
+    found = vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), block=block).collect()
+
+    def link(a, b):
+        return a != b and None not in (angles[a][1], angles[b][1]) and abs(angles[a][1] - angles[b][1]) < 18.2
+
+    n = range(len(rows))
+    root = reach(n, [(a, b) for a in n for b in n if link(a, b)])
+    want = []
+    for k, (i, _) in enumerate(angles):
+        ids = [angles[j][0] for j in n if root[j] == root[k] and angles[j][0] is not None]
+        want.append((i, sum(link(k, j) for j in n), min(ids) if i is not None else None))
+    assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
