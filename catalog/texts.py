@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from feedloom.functions.text import escape_markup, preview, strip
 from feedloom.operators.candidates import newest_first
 from feedloom.operators.inference import (
     GlossaryBackend,
+    Remembered,
     translate_by_glossary,
     translate_texts,
 )
@@ -32,7 +34,7 @@ from feedloom.operators.segments import (
     with_segments,
 )
 from feedloom.plans.convenience import translate_html, translate_title_and_html
-from feedloom.sources.staging import stage
+from feedloom.sources.staging import checkpoint_root, stage
 
 ship_by_value(__name__)
 
@@ -74,15 +76,16 @@ _segments_query("page_segments", "pages", "page_id", "html")
 _segments_query("entry_segments", "entries", "id", "content")
 
 
-# Pages glued into a few very long documents.
+# Two hundred pages each glued into very long documents, more of them in a larger table.
 @query(
     "long_document_segments",
     f"select part, seq, prefix, core, suffix from ({S.segments('glued', 'part', 'html')})",
-    "glued as (select page_id % 4 as part, string_agg(html, '' order by page_id) as html"
+    "glued as (select page_id // 200 as part, string_agg(html, '' order by page_id) as html"
     " from pages group by 1)",
 )
 def long_document_segments(spark, sf_dir):
-    rows = load(spark, sf_dir, "pages").select((F.col("page_id") % 4).alias("part"), "page_id", "html")
+    part = F.floor(F.col("page_id") / 200).alias("part")
+    rows = load(spark, sf_dir, "pages").select(part, "page_id", "html")
     ordered = F.array_sort(F.collect_list(F.struct("page_id", "html")))
     glued = rows.groupBy("part").agg(ordered.alias("rows")).select(
         "part", F.array_join(F.transform("rows", lambda r: r["html"]), "").alias("html")
@@ -220,6 +223,25 @@ def batch_translate(spark, sf_dir):
     return done.select("entry_id", bigint("seq"), "position", "translated")
 
 
+def refusing_backend(texts):
+    raise ValueError("asked again")
+
+
+# The answers of a first run are kept, so a second one gets them without asking.
+@query(
+    "batch_translate_again",
+    "select entry_id, seq, position, concat('T(', text, ')') as translated from packed",
+    PACKED_TEXTS,
+)
+def batch_translate_again(spark, sf_dir):
+    order = [*newest_first(), F.col("seq")]
+    path = f"{checkpoint_root(spark)}/feedloom/{uuid.uuid4().hex}/answers"
+    texts = payload(spark, sf_dir)
+    for backend in (GlossaryBackend(), refusing_backend):
+        done = translate_texts(texts, order, Remembered(backend, path, "T"), OPTIONS)
+    return done.select("entry_id", bigint("seq"), "position", "translated")
+
+
 @query(
     "batch_translate_distinct",
     "select entry_id, seq, concat('T(', text, ')') as translated from payload",

@@ -7,6 +7,7 @@ which element; every rule about them is a column expression elsewhere.
 
 from __future__ import annotations
 
+from collections import Counter
 from html import unescape
 from html.parser import HTMLParser
 
@@ -42,7 +43,11 @@ RUNS_DDL = (
 
 
 class _RunReader(HTMLParser):
-    """Collects maximal text runs with their offsets and open elements."""
+    """Collects maximal text runs with their offsets and open elements.
+
+    Open elements are counted by name, so that neither a run nor an end tag looks through
+    all of them: pages may leave any number unclosed.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=False)
@@ -53,6 +58,8 @@ class _RunReader(HTMLParser):
             self._line_starts.append(at + 1)
             at = html.find("\n", at + 1)
         self._open: list[str] = []
+        self._counts: Counter[str] = Counter()
+        self._unreadable = 0  # open elements whose text is not for readers
         self._run_start: int | None = None
         self.spans: list[tuple[int, int, str | None, bool]] = []
         self.feed(html)
@@ -69,11 +76,13 @@ class _RunReader(HTMLParser):
 
     def _end_run(self, end: int) -> None:
         if self._run_start is not None and self._run_start < end:
-            parent = self._open[-1] if self._open else None
-            readable = UNREADABLE.isdisjoint(self._open)
-            self.spans.append((self._run_start, end, parent, readable))
+            self._add(self._run_start, end)
         self._run_start = None
 
+    def _add(self, start: int, end: int) -> None:
+        parent = self._open[-1] if self._open else None
+        self.spans.append((start, end, parent, not self._unreadable))
+
     def handle_data(self, data):
         self._text_here()
 
@@ -87,15 +96,19 @@ class _RunReader(HTMLParser):
         self._end_run(self._here())
         if tag not in VOID:
             self._open.append(tag)
+            self._counts[tag] += 1
+            self._unreadable += tag in UNREADABLE
 
     def handle_startendtag(self, tag, attrs):
         self._end_run(self._here())
 
     def handle_endtag(self, tag):
         self._end_run(self._here())
-        if tag in self._open:
-            while self._open.pop() != tag:
-                pass
+        closed = None
+        while self._counts[tag] and closed != tag:
+            closed = self._open.pop()
+            self._counts[closed] -= 1
+            self._unreadable -= closed in UNREADABLE
 
     def handle_comment(self, data):
         self._end_run(self._here())
@@ -110,9 +123,7 @@ class _RunReader(HTMLParser):
         self._end_run(self._here())
         if data.startswith("CDATA["):
             start = self._here() + len("<![CDATA[")
-            end = start + len(data) - len("CDATA[")
-            parent = self._open[-1] if self._open else None
-            self.spans.append((start, end, parent, UNREADABLE.isdisjoint(self._open)))
+            self._add(start, start + len(data) - len("CDATA["))
 
 
 def text_runs(html: str) -> list[dict]:

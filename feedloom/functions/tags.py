@@ -69,11 +69,31 @@ def format_tag_cache(tags: Column) -> Column:
 
 
 def without_tags(tags: Column, present: Column) -> Column:
-    """Tags not in ``present``, compared without regard to case."""
-    return _bind(
-        F.transform(present, fold),
-        lambda keys: F.filter(tags, lambda tag: ~F.array_contains(keys, fold(tag))),
-    )
+    """Tags not in ``present``, compared without regard to case; ``tags`` must be unique.
+
+    Both lists are sorted together, those present before an equal tag, so that long
+    lists do not cost their product.
+    """
+
+    def keyed(some: Column, place: Callable[[Column], Column]) -> Column:
+        return F.transform(
+            some,
+            lambda tag, i: F.struct(
+                fold(tag).alias("key"), place(i).cast("int").alias("place"), tag.alias("tag")
+            ),
+        )
+
+    def lacking(items: Column) -> Column:
+        alone = F.filter(
+            items,
+            lambda item, i: (item["place"] >= 0)
+            & ~item["key"].eqNullSafe(F.get(items, i - 1)["key"]),
+        )
+        in_order = F.array_sort(F.transform(alone, lambda item: F.struct(item["place"], item["tag"])))
+        return F.transform(in_order, lambda item: item["tag"])
+
+    both = F.concat(keyed(present, lambda i: F.lit(-1)), keyed(tags, lambda i: i))
+    return _bind(F.array_sort(both), lacking)
 
 
 def adds_tags(existing: Column, extra: Column) -> Column:

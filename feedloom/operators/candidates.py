@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.tags import parse_tag_cache
-from feedloom.operators.ordering import with_positions
 from feedloom.options import EnrichOptions
+from feedloom.sources.staging import stage
 from feedloom.sources.tables import Tables
 
 # Feed lists up to this length are literals of a filter and bound the size of a
@@ -118,17 +118,62 @@ def page(candidates: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return candidates.orderBy(*newest_first()).offset(offset).limit(limit)
 
 
+# A part of the queue with at most so many rows is sorted, a larger one counted by a finer key.
+SORTED_ROWS = 50_000
+
+_NEVER = -(2**63)
+
+
+def _queue_keys() -> list[Column]:
+    """Ever finer keys of the queue's order; within one value of a key the next one has few."""
+    micros = F.coalesce(F.unix_micros("date_entered"), F.lit(_NEVER))
+    times = [F.floor(micros / unit) for unit in (3_600_000_000, 1_000_000)]
+    return [*times, micros, *[F.shiftright("entry_id", bits) for bits in (48, 32, 16, 0)]]
+
+
+def last_of_quota(queue: DataFrame, quota: int) -> tuple[int, int, int] | None:
+    """Attempts, time and id of the ``quota``-th row of a queue; None if there are fewer.
+
+    The queue goes by attempts, then newest first. Counts by hour tell in which hour the row
+    lies, however large the quota, and only that hour is sorted. An hour with too many
+    rows is counted by second first, and so on down to ranges of ids. A count has at
+    most as many rows as the lookback has hours, an hour seconds or a range 65,536 parts.
+    """
+    left, part, keys = quota, queue.select("attempts", "entry_id", "date_entered"), _queue_keys()
+    by_attempts = [F.col("attempts")]
+    for key in keys:
+        counts = part.groupBy(*by_attempts, key.alias("key")).agg(F.count("*").alias("n")).collect()
+        for row in sorted(counts, key=lambda r: (r.asDict().get("attempts", 0), -r["key"])):
+            if left <= row["n"]:
+                break
+            left -= row["n"]
+        else:
+            return None
+        part = part.where(key == row["key"])
+        if by_attempts:
+            part, by_attempts = part.where(F.col("attempts") == row["attempts"]), []
+        if row["n"] <= SORTED_ROWS:
+            break
+    micros = F.coalesce(F.unix_micros("date_entered"), F.lit(_NEVER)).alias("micros")
+    ordered = part.select("attempts", micros, "entry_id").orderBy(F.desc("micros"), F.desc("entry_id"))
+    return tuple(ordered.limit(left).offset(left - 1).first())
+
+
 def within_quota(planned: DataFrame, quota: int | None, staged: bool = False) -> DataFrame:
-    """Rows down to the ``quota``-th row to translate, newest first.
+    """Rows down to the ``quota``-th row to translate, by failed attempts if known, then newest first.
 
     Rows to skip or reapply that lie before that row are included; with fewer
-    rows to translate everything is. The row is located by distributed
-    positions, however large the quota. ``staged``: ``planned`` is a staged table.
+    rows to translate everything is. ``staged``: ``planned`` is a staged table, cheap to read twice.
     """
     if quota is None:
         return planned
-    key = F.struct("date_entered", "entry_id")
-    queue = planned.where(F.col("action") == "translate").select("date_entered", "entry_id")
-    placed = with_positions(queue, newest_first(), staged=staged)
-    last = placed.where(F.col("position") == quota - 1).agg(F.min(key).alias("last")).scalar()
-    return planned.where(F.coalesce(key >= last, F.lit(True)))
+    attempts = F.coalesce("attempts", F.lit(0)) if "attempts" in planned.columns else F.lit(0)
+    queue = planned.where(F.col("action") == "translate")
+    queue = queue.select(attempts.alias("attempts"), "entry_id", "date_entered")
+    last = last_of_quota(queue if staged else stage(queue, "queue"), quota)
+    if last is None:
+        return planned
+    tries, time, entry_id = last
+    micros = F.coalesce(F.unix_micros("date_entered"), F.lit(_NEVER))
+    before = (micros > time) | ((micros == time) & (F.col("entry_id") >= entry_id))
+    return planned.where((attempts < tries) | ((attempts == tries) & before))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from dataclasses import replace
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +16,7 @@ from feedloom.operators.packing import pack
 from feedloom.operators.replies import with_string_array
 from feedloom.options import EnrichOptions
 from feedloom.sources.staging import stage
+from feedloom.sources.tables import read_or_create
 
 ship_by_value(__name__)
 
@@ -26,7 +27,7 @@ TextBackend = Callable[[list[str]], "list[str] | str"]
 ANSWER_NAMES = ("output", "reply", "call_error", "format_error")
 ANSWER_TYPES = (pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_())
 
-COUNT_ERROR = "translator returned a different number of text items"
+COUNT_ERROR = "the backend answered with another number of texts than it was asked for"
 
 
 class ReplyFormatError(RuntimeError):
@@ -47,6 +48,22 @@ class GlossaryBackend:
         return [self.glossary.get(text, f"T({text})") for text in texts]
 
 
+@dataclass(frozen=True)
+class Remembered:
+    """A backend whose answers are kept, so that a later run does not pay for them again.
+
+    ``path`` is a folder all executors share; every run adds what it asked. ``name`` tells
+    apart what answers differently: model, prompt, language. Failed calls are asked again, and so
+    are lists of a wrong length. A reply in text is kept as it is, whether it can be
+    parsed or not. Chunks with equal texts are asked once within a run, too; a lost task asks again
+    what it had not yet handed in.
+    """
+
+    backend: Callable
+    path: str
+    name: str
+
+
 def translate_by_glossary(texts: DataFrame, glossary: DataFrame) -> DataFrame:
     """Relational backend: a join with a table ``glossary(core, target)``."""
     wanted = glossary.select(F.col("core").alias("text"), "target").join(
@@ -66,6 +83,8 @@ def call_per_chunk(chunks: DataFrame, inputs: str, backend: Callable, decode: bo
     ``format_error``; ``inputs`` is dropped. The result is written before
     anything reads it, so that branching off it does not call again.
     """
+    if isinstance(backend, Remembered):
+        return _call_for_new(chunks, inputs, backend, decode)
     kept = [name for name in chunks.columns if name != inputs]
     schema = StructType([chunks.schema[name] for name in kept])
     schema = schema.add("output", ArrayType(StringType())).add("reply", "string")
@@ -92,6 +111,24 @@ def call_per_chunk(chunks: DataFrame, inputs: str, backend: Callable, decode: bo
     return stage(called, "replies")
 
 
+def _call_for_new(chunks: DataFrame, inputs: str, backend: Remembered, decode: bool) -> DataFrame:
+    """Like ``call_per_chunk``, but asks only what no earlier run has an answer to."""
+    question = F.to_json(F.struct(F.lit(backend.name).alias("name"), F.lit(decode).alias("json"), inputs))
+    asked = stage(chunks.withColumn("asked", F.sha2(question, 256)), "asked")
+    wanted = asked.select("asked").distinct()
+    ledger = read_or_create(chunks.sparkSession, "answers", backend.path)
+    known = stage(ledger.join(wanted, "asked", "left_semi").dropDuplicates(["asked"]), "known")
+    new = asked.dropDuplicates(["asked"]).join(known.select("asked"), "asked", "left_anti")
+    new = new.select("asked", F.col("asked").alias("chunk_key"), F.size(inputs).alias("n"), inputs)
+    said = call_per_chunk(new, inputs, backend.backend, decode)
+    whole = F.col("call_error").isNull() & ~F.col("format_error")
+    whole &= F.coalesce(F.size("output") == F.col("n"), F.col("reply").isNotNull())
+    said.where(whole).select(*ledger.columns).write.mode("append").parquet(backend.path)
+    no_error = {"call_error": F.lit(None).cast("string"), "format_error": F.lit(False)}
+    answers = said.drop("chunk_key", "n").unionByName(known.withColumns(no_error))
+    return asked.drop(inputs).join(answers, "asked").drop("asked")
+
+
 def _ask_once(backend: Callable, inputs: list[str], decode: bool) -> tuple:
     try:
         answer = backend([json.loads(text) for text in inputs] if decode else inputs)

@@ -22,6 +22,25 @@ from feedloom.options import STORED_ERROR_CHARS
 SALTS = 32
 
 
+def count_attempts(
+    attempts: DataFrame, tried: DataFrame, run_ts: datetime, retry_minutes: int | None
+) -> DataFrame:
+    """The ledger of failed tries after a run.
+
+    ``tried`` has ``entry_id, owner_uid, failed`` for every article the run tried to translate.
+    One that was translated leaves the ledger; one that failed waits twice as long as before.
+    """
+    key = ["entry_id", "owner_uid"]
+    kept = attempts.join(tried.select(*key), key, "left_anti")
+    known = attempts.select(*key, F.col("attempts").alias("_before"))
+    failed = tried.where("failed").join(known, key, "left")
+    before = F.coalesce("_before", F.lit(0))
+    wait = F.lit(retry_minutes).cast("bigint") * F.pow(F.lit(2), F.least(before, F.lit(30))).cast("bigint")
+    next_try = F.timestamp_micros(F.unix_micros(F.lit(run_ts).cast("timestamp")) + wait * 60_000_000)
+    new = failed.withColumn("attempts", before + 1).withColumn("next_try", next_try)
+    return kept.unionByName(new.select(*attempts.columns))
+
+
 def overwrite_articles(entries: DataFrame, changes: DataFrame) -> DataFrame:
     """Articles with the title and content of ``changes(entry_id, title, content)``."""
     new = changes.select(

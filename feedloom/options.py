@@ -17,7 +17,9 @@ class EnrichOptions:
     """What to process and within which limits.
 
     ``run_ts`` stands in for the clock so that a run can be repeated; ``quota``
-    is the number of articles to translate, ``None`` meaning all of them.
+    is the number of articles to translate, ``None`` meaning all of them. An article
+    that failed is not asked again before ``retry_minutes`` have passed, twice as many
+    after every further failure; without it, it is asked again behind all others.
     """
 
     run_ts: datetime
@@ -35,6 +37,7 @@ class EnrichOptions:
     max_tags: int = 6
     tag_language: str | None = None
     distinct_texts: bool = False
+    retry_minutes: int | None = None
 
     def __post_init__(self) -> None:
         if not self.feed_ids:
@@ -46,6 +49,7 @@ class EnrichOptions:
             "max_texts": 1,
             "max_chars": 100,
             "max_tags": 1,
+            "retry_minutes": 1,
         }
         for name, minimum in minimums.items():
             value = getattr(self, name)

@@ -81,6 +81,13 @@ class RunResult:
     def stats(self) -> DataFrame:
         return run_stats(self.outcome, self.options)
 
+    def progress(self) -> tuple[int, int]:
+        """How many articles were translated, and how many tried that had never failed before."""
+        tried = self.outcome.where(F.col("action") == "translate")
+        tried = with_attempts(tried.select("entry_id", "owner_uid", "action", "error"), self.before.attempts)
+        row = tried.agg(F.count_if(F.col("error").isNull()), F.count_if(F.col("attempts") == 0)).first()
+        return row[0], row[1]
+
     @property
     def previews(self) -> DataFrame:
         return previews(self.outcome)
@@ -105,9 +112,14 @@ def enrich(
 def handle(tables, options, translator, tagger=None, fulltext=None) -> DataFrame:
     """One row per handled article with everything the merges need."""
     planned = plan_tags(plan_entries(select_candidates(tables, options), options), options)
+    if tables.attempts is not None and options.retry_minutes is not None:
+        waiting = tables.attempts.where(F.col("next_try") > F.lit(options.run_ts))
+        waiting = waiting.select("entry_id", "owner_uid", F.lit("translate").alias("action"))
+        planned = planned.join(waiting, ["entry_id", "owner_uid", "action"], "left_anti")
     if options.quota is not None:
         # the cut needs keys only; texts are read again for the rows it leaves
-        keys = stage(planned.select("entry_id", "date_entered", "action"), "plan")
+        keys = planned.select("entry_id", "owner_uid", "date_entered", "action")
+        keys = stage(with_attempts(keys, tables.attempts), "plan")
         kept = within_quota(keys, options.quota, staged=True).select("entry_id")
         planned = planned.join(kept, "entry_id", "left_semi")
     handled = stage(planned, "handled")
@@ -132,6 +144,16 @@ def handle(tables, options, translator, tagger=None, fulltext=None) -> DataFrame
     return _settle_translated(translated, tags).unionByName(_settle_untouched(untouched, tags))
 
 
+def with_attempts(planned: DataFrame, attempts: DataFrame | None) -> DataFrame:
+    """Planned rows with the number of failed ``attempts`` to translate them."""
+    if attempts is None:
+        return planned.withColumn("attempts", F.lit(0))
+    known = attempts.select("entry_id", "owner_uid", "attempts")
+    count = F.when(F.col("action") == "translate", F.col("attempts"))
+    joined = planned.join(known, ["entry_id", "owner_uid"], "left")
+    return joined.withColumn("attempts", F.coalesce(count, F.lit(0)))
+
+
 def translate_queue(
     queue: DataFrame, options: EnrichOptions, translator: TextBackend | DataFrame
 ) -> DataFrame:
@@ -257,12 +279,19 @@ def merged_tables(tables: Tables, outcome: DataFrame, options: EnrichOptions) ->
         F.col("error").alias("message"),
     ).where(F.col("kind").isNotNull())
     translations = merge.apply_changes(tables.translations, changes, saved, options.run_ts)
+    attempts = tables.attempts
+    if attempts is not None:
+        tried = outcome.where(action == "translate").select(
+            "entry_id", "owner_uid", F.col("error").isNotNull().alias("failed"), day
+        )
+        attempts = merge.count_attempts(attempts, tried, options.run_ts, options.retry_minutes)
     return Tables(
         entries=merge.overwrite_articles(tables.entries, rewritten),
         user_entries=merge.rewrite_tag_cache(tables.user_entries, merged),
         feeds=tables.feeds,
         tags=tables.tags.unionByName(merge.new_tag_rows(tables.tags, merged, tables.tag_ids)),
         translations=translations,
+        attempts=attempts,
     )
 
 

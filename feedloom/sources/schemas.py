@@ -24,6 +24,16 @@ ERRORS = (
     "failed_at TIMESTAMP"
 )
 
+# Failed tries to translate an article that has not been translated since
+ATTEMPTS = "entry_id BIGINT, owner_uid INT, attempts INT, next_try TIMESTAMP"
+
+INDEX = (
+    "id BIGINT, entered TIMESTAMP, entered_day STRING, arrived_at TIMESTAMP, digest BIGINT"
+)
+
+# What backends said, by the SHA-256 of what they were asked
+ANSWERS = "asked STRING, output ARRAY<STRING>, reply STRING"
+
 FULLTEXT = "url STRING, content STRING, error STRING"
 
 ALL = {
@@ -33,4 +43,7 @@ ALL = {
     "tags": TAGS,
     "translations": TRANSLATIONS,
     "errors": ERRORS,
+    "attempts": ATTEMPTS,
+    "index": INDEX,
+    "answers": ANSWERS,
 }

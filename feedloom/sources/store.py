@@ -17,7 +17,7 @@ its number, so the last one is found by asking for names, not by reading a log.
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +30,15 @@ from feedloom.operators.tagging import TagBackend
 from feedloom.options import EnrichOptions
 from feedloom.plans.run import RunResult, enrich
 from feedloom.sources import schemas
+from feedloom.sources.index import (
+    BUCKETS,
+    bucket_count,
+    bucket_name,
+    crowded,
+    index_rows,
+    newest_rows,
+    version_digest,
+)
 from feedloom.sources.staging import child_names, exists, recorded_stages, remove, stage
 from feedloom.sources.tables import Tables, migrate_translations
 
@@ -37,7 +46,7 @@ COMMITS = (
     "version BIGINT, batch_id BIGINT, committed_at STRING, last_tag_id BIGINT, "
     "parts ARRAY<STRUCT<name: STRING, day: STRING, version: BIGINT>>"
 )
-DAILY = ("entries", "user_entries", "tags", "translations")
+DAILY = ("entries", "user_entries", "tags", "translations", "attempts")
 UNKNOWN_DAY = "unknown"
 UNDATED = "all"
 
@@ -72,24 +81,32 @@ def with_days(tables: Tables) -> Tables:
             )
         ),
         translations=known(tables.translations.join(days, "entry_id", "left")),
+        attempts=None
+        if tables.attempts is None
+        else known(tables.attempts.join(days, "entry_id", "left")),
     )
 
 
 class TableStore:
     """The tables under one root folder, as of the last commit."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        """``buckets`` of the index by article id, about one for a million articles, if it has none yet."""
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
         self._seen = -1  # the highest version known to be committed
 
     @classmethod
-    def create(cls, spark: SparkSession, root: str, tables: Tables) -> TableStore:
+    def create(
+        cls, spark: SparkSession, root: str, tables: Tables, buckets: int = BUCKETS
+    ) -> TableStore:
         """A new store holding ``tables``; an older tracking table is migrated."""
-        store = cls(spark, root)
+        store = cls(spark, root, buckets)
         tracking = migrate_translations(tables.translations, tables.user_entries)
         dated = with_days(replace(tables, translations=tracking))
-        store.commit({name: df for name, df in dated.items()}, replaced=None)
+        index = index_rows(dated.entries, buckets)
+        store.commit({**dict(dated.items()), "index": index}, replaced=None)
         return store
 
     def last_commit(self):
@@ -202,31 +219,74 @@ def lookback_days(options: EnrichOptions):
     return lambda day: day != UNKNOWN_DAY and day >= first
 
 
-def settle_days(
-    store: TableStore, arrived: DataFrame, subscribed: DataFrame
-) -> tuple[DataFrame, DataFrame]:
-    """Arrivals with the day of their article; a known article keeps the date it was entered."""
+@dataclass(frozen=True)
+class Arrivals:
+    """What arrived, laid out by day, and what that adds to the index."""
+
+    articles: DataFrame
+    subscriptions: DataFrame
+    index: DataFrame
+    rewritten: set[str]  # buckets of the index that this replaces
+
+
+def settle_days(store: TableStore, arrived: DataFrame, subscribed: DataFrame) -> Arrivals:
+    """Arrivals with the day of their article, without versions older than the stored one.
+
+    A known article keeps the date it was entered. Only the buckets of the index that the
+    arrivals fall into are read. Articles without ``arrived_at`` are newer than any other,
+    a version that arrives again is left out.
+    """
+    commit = store.last_commit()
+    names = [p.day for p in commit.parts if p.name == "index"] if commit else []
+    buckets = bucket_count(names) or store.buckets
     asked = arrived.select("id").union(subscribed.select("ref_id")).distinct()
-    stored = store.read("entries").select(
-        "id", F.col("date_entered").alias("_entered"), F.col("day").alias("_day")
+    asked = stage(asked.withColumn("day", bucket_name(F.col("id"), buckets)), "asked")
+    touched = {row.day for row in asked.select("day").distinct().collect()}
+    if names:
+        index = store.read("index", touched.__contains__)
+    else:  # a store from before there was an index
+        index = index_rows(store.read("entries"), buckets)
+    stored = newest_rows(index.join(asked.select("id"), "id", "left_semi"))
+    known = stage(
+        stored.select(
+            "id",
+            F.col("entered").alias("_entered"),
+            F.col("entered_day").alias("_day"),
+            F.struct("arrived_at", "digest").alias("_last"),
+        ),
+        "known",
     )
-    known = stage(stored.join(asked, "id", "left_semi"), "known")
+    articles = arrived
+    if "arrived_at" in articles.columns:
+        articles = articles.withColumn("digest", version_digest())
+    articles = articles.join(known, "id", "left")
+    if "arrived_at" in articles.columns:
+        version = F.struct("arrived_at", "digest")
+        newer = F.col("arrived_at").isNull() | (version > F.col("_last"))
+        articles = articles.where(F.col("_last").isNull() | newer)
     entered = F.when(F.col("_day").isNotNull(), F.col("_entered")).otherwise(F.col("date_entered"))
-    arrived = (
-        arrived.join(known, "id", "left")
-        .withColumn("date_entered", entered)
+    articles = (
+        articles.withColumn("date_entered", entered)
         .withColumn("day", F.coalesce("_day", day_of(F.col("date_entered"))))
-        .drop("_entered", "_day")
+        .drop("_entered", "_day", "_last")
     )
-    days = known.select("id", F.col("_day").alias("day")).union(arrived.select("id", "day"))
+    days = known.select("id", F.col("_day").alias("day")).union(articles.select("id", "day"))
     days = days.distinct().withColumnRenamed("id", "ref_id")
-    subscribed = subscribed.join(days, "ref_id", "left").withColumn(
+    subscriptions = subscribed.join(days, "ref_id", "left").withColumn(
         "day", F.coalesce("day", F.lit(UNKNOWN_DAY))
     )
-    return arrived, subscribed
-
-
-def run_on_store(    store: TableStore,
+    fresh = index_rows(articles, buckets)
+    if not names:
+        index = index_rows(store.read("entries"), buckets)
+        return Arrivals(articles, subscriptions, newest_rows(index.unionByName(fresh)), set())
+    full = crowded([name for name in names if name in touched])
+    if full:
+        fresh = newest_rows(index.where(F.col("day").isin(*full)).unionByName(fresh))
+    return Arrivals(articles, subscriptions, fresh, full)
+
+
+def run_on_store(
+    store: TableStore,
     options: EnrichOptions,
     translator: TextBackend | DataFrame,
     tagger: TagBackend | None = None,
@@ -240,6 +300,7 @@ def run_on_store(    store: TableStore,
 
     ``arrived`` are new or changed articles, one row each, and ``subscribed``
     new subscriptions to take in first; they become visible in the same commit.
+    With a column ``arrived_at``, a version older than the stored one is left out.
     What was staged is removed then, but for the outcome. Nothing is written in
     a dry run.
     """
@@ -250,13 +311,14 @@ def run_on_store(    store: TableStore,
     with recorded_stages() as made:
         in_lookback = lookback_days(options)
         new_days: set[str] = set()
+        taken = None
         if arrived is not None:
-            arrived, subscribed = settle_days(store, arrived, subscribed)
-            both = arrived.select("day").union(subscribed.select("day"))
+            taken = settle_days(store, arrived, subscribed)
+            both = taken.articles.select("day").union(taken.subscriptions.select("day"))
             new_days = {row.day for row in both.distinct().collect()}
         tables = store.tables(lambda day: in_lookback(day) or day in new_days)
-        if arrived is not None:
-            tables = tables.with_arrivals(arrived, subscribed)
+        if taken is not None:
+            tables = tables.with_arrivals(taken.articles, taken.subscriptions)
         result = enrich(tables, options, translator, tagger, fulltext)
         if options.dry_run:
             return result
@@ -265,7 +327,11 @@ def run_on_store(    store: TableStore,
         touched = sorted(new_days | {row.day for row in handled})
         after = dict(result.tables.items())
         updates = {name: after[name].where(F.col("day").isin(*touched)) for name in DAILY}
-        store.commit(updates, set(touched), batch_id, errors=result.errors)
+        replaced = set(touched)
+        if taken is not None:
+            updates["index"] = taken.index
+            replaced |= taken.rewritten
+        store.commit(updates, replaced, batch_id, errors=result.errors)
     folders = {path.rpartition("/")[0]: path.endswith("/outcome") for path in made}
     for folder, is_outcome in folders.items():
         if not is_outcome:

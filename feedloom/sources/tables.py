@@ -21,12 +21,14 @@ class Tables:
     feeds: DataFrame
     tags: DataFrame
     translations: DataFrame
+    # failed tries, None where nobody keeps them
+    attempts: DataFrame | None = None
     # all tag ids in use, where ``tags`` is only a part of the table
     tag_ids: DataFrame | None = None
 
     def items(self):
-        names = [field.name for field in fields(self) if field.name != "tag_ids"]
-        return [(name, getattr(self, name)) for name in names]
+        named = [(field.name, getattr(self, field.name)) for field in fields(self)]
+        return [(name, df) for name, df in named if name != "tag_ids" and df is not None]
 
     def with_arrivals(self, arrived: DataFrame, subscribed: DataFrame | None) -> Tables:
         """The tables after new versions of articles and new subscriptions came in."""

@@ -12,6 +12,7 @@ from feedloom.operators.inference import TextBackend
 from feedloom.operators.tagging import TagBackend
 from feedloom.options import EnrichOptions
 from feedloom.sources import schemas
+from feedloom.sources.index import version_digest
 from feedloom.sources.store import TableStore, run_on_store
 
 # A row with an ``id`` is a version of an article, one with an ``int_id`` a
@@ -28,10 +29,10 @@ def columns_of(schema: str) -> list[str]:
 def newest_versions(arrivals: DataFrame) -> DataFrame:
     """The latest version of every article in a batch, the same one at every retry."""
     columns = columns_of(schemas.ENTRIES)
-    rank = F.struct("arrived_at", F.xxhash64(*columns))
+    rank = F.struct("arrived_at", version_digest())
     versions = arrivals.where(F.col("id").isNotNull())
     return versions.groupBy("id").agg(
-        F.max_by(F.struct(*columns), rank).alias("newest")
+        F.max_by(F.struct(*columns, "arrived_at"), rank).alias("newest")
     ).select("newest.*")
 
 
@@ -81,12 +82,16 @@ def work_off(
     tagger: TagBackend | None = None,
     fulltext: DataFrame | None = None,
 ) -> None:
-    """Passes over what the quota left, until one translates nothing."""
+    """Passes over what the quota left.
+
+    Failed articles queue behind all others, so a pass that translates nothing and
+    tries nothing but what failed before is the last one.
+    """
     while True:
         result = run_on_store(store, options, translator, tagger, fulltext, batch_id=batch_id)
-        translated = result.stats.first().translated
+        translated, fresh = result.progress()
         result.forget()
-        if not translated:
+        if not translated and not fresh:
             return
 
 
@@ -107,7 +112,8 @@ def start(
     A clock runs beside the files, so that each interval has its pass even when
     nothing arrived and a quota's backlog is worked off. Without ``every``
     everything present is worked off in as many passes as the quota needs, and
-    the stream ends.
+    the stream ends. A version of an article that arrives after a newer one, by
+    ``arrived_at``, is left out.
     ``options_for`` gives the options of a batch, its clock above all.
     """
     reader = store.spark.readStream.schema(ARRIVALS)
@@ -116,8 +122,9 @@ def start(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         options = options_for(batch_id)
-        took = take_in(store, batch, batch_id, options, translator, tagger, fulltext)
-        if took and not every and options.quota is not None:
+        take_in(store, batch, batch_id, options, translator, tagger, fulltext)
+        # also after a batch that was committed before: a run may have died in its backlog
+        if not every and options.quota is not None:
             work_off(store, batch_id, options, translator, tagger, fulltext)
 
     arrivals = reader.parquet(arrivals_path)

@@ -116,3 +116,13 @@ def test_options_are_checked():
     options = EnrichOptions(run_ts=now, feed_ids=(1,), source_langs=(" EN", ""))
     assert options.source_langs == ("en",)
     assert options.tag_language == "zh-CN"
+
+
+def test_long_tag_lists_are_compared_without_their_product(spark):
+    n = 40_000
+    tags = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("Tag "), i.cast("string")))
+    present = F.transform(F.sequence(F.lit(n), F.lit(3), F.lit(-1)), lambda i: F.concat(F.lit("tAG "), i.cast("string")))
+    assert value(spark, T.without_tags(tags, present)) == ["Tag 1", "Tag 2"]
+    assert value(spark, F.size(T.merge_tags(tags, present))) == n
+    assert value(spark, T.without_tags(strings("b", "a", "C"), strings("c", "c", "x", "B"))) == ["a"]
+    assert value(spark, T.without_tags(strings("b", "a"), T.no_tags())) == ["b", "a"]

@@ -1,4 +1,5 @@
 import json
+import random
 import time
 from dataclasses import replace
 from datetime import datetime, timedelta
@@ -7,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom import EnrichOptions
+from feedloom.functions.shipping import ship_by_value
+from feedloom.operators import candidates
 from feedloom.operators.candidates import select_candidates, within_quota
 from feedloom.operators.inference import GlossaryBackend, ReplyFormatError
 from feedloom.operators.planning import plan_entries
@@ -16,10 +19,14 @@ from feedloom.plans.run import enrich
 from feedloom.sources import schemas
 from feedloom.operators.inference import translate_texts
 from feedloom.operators.merge import enforce_references
-from feedloom.sources.store import TableStore, clean_references, run_on_store
+from feedloom.sources import index
+from feedloom.sources.index import bucket_name, newest_rows
+from feedloom.sources.store import TableStore, clean_references, run_on_store, settle_days
 from feedloom.sources.tables import Tables, empty, migrate_translations, read_or_create
 from feedloom.streaming.loop import ARRIVALS, start, take_in
 
+ship_by_value(__name__)
+
 NOW = datetime(2026, 3, 28)
 OPTIONS = EnrichOptions(run_ts=NOW, feed_ids=(7,), quota=None)
 
@@ -352,3 +359,121 @@ def test_a_known_article_keeps_its_day(spark, tmp_path):
     )
     run_on_store(store, OPTIONS, GlossaryBackend(), arrived=moved)
     assert [(r.title, r.day) for r in store.read("entries").collect()] == [("T(c)", "2026-03-27")]
+
+
+def arriving(spark, path, rows, at=NOW):
+    """Articles 'name id' with one subscription each, written as a file of arrivals."""
+    made = [(i, name, f"<p>{i}</p>", None, "en", NOW - timedelta(minutes=i), at, i, i, 1, 7, None) for i, name in rows]
+    spark.createDataFrame(made, ARRIVALS).coalesce(1).write.mode("append").parquet(path)
+
+
+def empty_store(spark, path, buckets=4):
+    nothing = {n: empty(spark, n) for n in ("entries", "user_entries", "tags", "translations", "feeds")}
+    return TableStore.create(spark, path, Tables(**nothing), buckets)
+
+
+def rejecting(texts):
+    if any("bad" in text for text in texts):
+        raise ValueError("no")
+    return [f"T({text})" for text in texts]
+
+
+def test_failing_articles_move_behind_the_others(spark, tmp_path):
+    store = empty_store(spark, str(tmp_path / "store"))
+    arriving(spark, str(tmp_path / "in"), [(1, "bad"), (2, "bad"), (3, "c"), (4, "d"), (5, "e")])
+    few = replace(OPTIONS, quota=2)
+    start(
+        store, str(tmp_path / "in"), str(tmp_path / "cp"), lambda _: few, rejecting
+    ).awaitTermination()
+    titles = {r.id: r.title for r in store.read("entries").collect()}
+    assert titles == {1: "bad", 2: "bad", 3: "T(c)", 4: "T(d)", 5: "T(e)"}
+    assert {(r.entry_id, r.owner_uid) for r in store.read("attempts").collect()} == {(1, 1), (2, 1)}
+    # what is accepted later leaves the ledger
+    run_on_store(store, few, GlossaryBackend())
+    assert store.read("attempts").count() == 0
+    assert store.read("entries").where("title = 'T(bad)'").count() == 2
+
+
+def test_failed_articles_wait(spark, tmp_path):
+    store = empty_store(spark, str(tmp_path / "store"))
+    arriving(spark, str(tmp_path / "in"), [(1, "bad"), (2, "b")])
+    patient = replace(OPTIONS, retry_minutes=10)
+    take_in(store, spark.read.schema(ARRIVALS).parquet(str(tmp_path / "in")), 0, patient, rejecting)
+
+    def failed_after(minutes):
+        later = replace(patient, run_ts=NOW + timedelta(minutes=minutes))
+        return run_on_store(store, later, rejecting).stats.first().failed
+
+    # 10 minutes after the first failure, 20 after the second
+    assert [failed_after(m) for m in (5, 11, 29)] == [0, 1, 0]
+    assert [r.attempts for r in store.read("attempts").collect()] == [2]
+
+
+def test_a_backlog_is_worked_off_after_a_crash(spark, tmp_path):
+    store = empty_store(spark, str(tmp_path / "store"))
+    arriving(spark, str(tmp_path / "in"), [(i, "t") for i in range(1, 6)])
+    few = replace(OPTIONS, quota=2)
+    arrivals = spark.read.schema(ARRIVALS).parquet(str(tmp_path / "in"))
+    assert take_in(store, arrivals, 0, few, GlossaryBackend())  # committed, and the driver dies
+    assert store.read("entries").where("title = 'T(t)'").count() == 2
+    start(
+        store, str(tmp_path / "in"), str(tmp_path / "cp"), lambda _: few, GlossaryBackend()
+    ).awaitTermination()
+    assert store.read("entries").where("title = 'T(t)'").count() == 5
+
+
+def test_older_versions_that_arrive_later_are_left_out(spark, tmp_path):
+    store = empty_store(spark, str(tmp_path / "store"))
+    for batch, (name, minutes) in enumerate([("new", 5), ("old", 1), ("newest", 9)]):
+        arriving(spark, str(tmp_path / f"in{batch}"), [(1, name), (2, name)], NOW + timedelta(minutes=minutes))
+        arrivals = spark.read.schema(ARRIVALS).parquet(str(tmp_path / f"in{batch}"))
+        assert take_in(store, arrivals, batch, OPTIONS, GlossaryBackend())
+        titles = {r.title for r in store.read("entries").collect()}
+        assert titles == {"T(newest)" if batch > 1 else "T(new)"}
+
+
+def test_the_index_is_read_by_bucket_and_kept_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "CROWDED", 3)
+    store = empty_store(spark, str(tmp_path / "store"), buckets=5)
+    none = spark.createDataFrame([], schemas.USER_ENTRIES)
+    for batch in range(5):
+        rows = [(i, "t", "c", None, "en", NOW + timedelta(days=batch), NOW + timedelta(minutes=batch)) for i in (1, 10 + batch)]
+        taken = settle_days(store, spark.createDataFrame(rows, f"{schemas.ENTRIES}, arrived_at TIMESTAMP"), none)
+        store.commit({"index": taken.index}, taken.rewritten)
+    pieces = [p.day for p in store.last_commit().parts if p.name == "index"]
+    mine = spark.range(1, 2).select(bucket_name(F.col("id"), 5)).first()[0]
+    assert 1 <= pieces.count(mine) <= 3
+    of_mine = store.read("index", {mine}.__contains__)
+    assert all(f"day={mine}" in name for name in of_mine.inputFiles())
+    kept = newest_rows(of_mine).where("id = 1").first()
+    assert (kept.arrived_at, kept.entered) == (NOW + timedelta(minutes=4), NOW)
+    assert newest_rows(store.read("index")).count() == 6
+
+
+def test_stores_without_an_index_get_one(spark, tmp_path):
+    store = empty_store(spark, str(tmp_path / "store"))
+    store.commit({"entries": make_tables(spark, [(1, "a", "<p>b</p>", None)]).entries.withColumn("day", F.lit("2026-03-27"))}, replaced=None)
+    moved = spark.createDataFrame([(1, "c", "<p>d</p>", None, "en", NOW - timedelta(days=9))], schemas.ENTRIES)
+    run_on_store(store, OPTIONS, GlossaryBackend(), arrived=moved)
+    assert [(r.title, r.day) for r in store.read("entries").collect()] == [("c", "2026-03-27")]
+    assert newest_rows(store.read("index")).count() == 1
+
+
+@pytest.mark.parametrize("sorted_rows", [50_000, 3, 1])
+def test_the_last_of_a_quota(spark, monkeypatch, sorted_rows):
+    monkeypatch.setattr(candidates, "SORTED_ROWS", sorted_rows)
+    rng = random.Random(sorted_rows)
+    rows = [
+        (i * 40_000, NOW - timedelta(seconds=rng.choice([0, 0, 1, 4000, 4001, 9000])) if i % 9 else None, rng.choice(["translate", "skip"]), rng.choice([0, 0, 0, 1, 2]))
+        for i in range(60)
+    ]
+    planned = spark.createDataFrame(rows, "entry_id long, date_entered timestamp, action string, attempts int")
+
+    def place(r):
+        return (r[3], r[1] is None, -(r[1].timestamp() if r[1] else 0), -r[0])
+
+    queue = sorted((r for r in rows if r[2] == "translate"), key=place)
+    for quota in (2, len(queue), len(queue) + 1):
+        found = {r.entry_id for r in within_quota(planned, quota).collect()}
+        want = {r[0] for r in rows if quota > len(queue) or place(r) <= place(queue[quota - 1])}
+        assert found == want

@@ -1,3 +1,6 @@
+import time
+import uuid
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
@@ -13,10 +16,13 @@ from feedloom.operators.segments import (
     with_runs,
     with_segments,
 )
+from feedloom.functions.shipping import ship_by_value
 from feedloom.functions.text import strip
-from feedloom.operators.inference import COUNT_ERROR
+from feedloom.operators.inference import COUNT_ERROR, Remembered, translate_texts
 from feedloom.plans.convenience import translate_title_and_html
 
+ship_by_value(__name__)
+
 OPTIONS = EnrichOptions(run_ts=datetime(2026, 3, 28), feed_ids=(1,))
 SAMPLE = "<li>Harbour <em>lights</em></li><pre>ls -l</pre><td>Nets drying</td>"
 
@@ -134,3 +140,50 @@ def test_all_texts_go_in_one_call_and_a_wrong_count_is_an_error(spark):
     assert {r.error for r in failed.collect()} == {
         COUNT_ERROR
     }
+
+
+def test_long_pages_are_read_in_linear_time():
+    n = 200_000
+    started = time.perf_counter()
+    runs = text_runs("<p>a" * n + "<script>x</script>" + "<i>b</i>" * n + "</q>" * n)
+    assert time.perf_counter() - started < 60  # minutes if each run or end tag looked through what is open
+    assert len(runs) == 2 * n + 2
+    assert [r["readable"] for r in runs[n - 1 : n + 2]] == [True, False, True]
+    assert {r["parent"] for r in runs[n + 1 : -1]} == {"i"}
+
+
+def test_nested_unreadable_elements_are_counted():
+    html = "<template>a<template>b</template>c<rt>d</template>e</rt>f"
+    assert [(r["text"], r["readable"]) for r in text_runs(html)[:-1]] == [
+        ("a", False), ("b", False), ("c", False), ("d", False), ("e", True), ("f", True)
+    ]
+
+
+def test_what_was_answered_is_not_asked_again(spark, tmp_path):
+    rows = [(i, 0, f"t{i % 7}", i) for i in range(30)]
+    texts = spark.createDataFrame(rows, "entry_id long, seq int, text string, place int")
+    few = replace(OPTIONS, max_texts=3)
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def counting(some):
+        (calls / uuid.uuid4().hex).write_text(",".join(some))
+        if "t5" in some:
+            raise ValueError("no")
+        return [f"T({t})" for t in some]
+
+    def run(name, backend=counting):
+        kept = Remembered(backend, str(tmp_path / "answers"), name)
+        found = translate_texts(texts, [F.col("place")], kept, few).collect()
+        return {(r.entry_id, r.translated or r.error) for r in found}, len(list(calls.iterdir()))
+
+    want = {(i, "no" if i % 7 == 5 else f"T(t{i % 7})") for i in range(30)}
+    first, asked = run("a")
+    assert first == want
+    again, after = run("a")
+    assert again == want
+    # only what failed: three chunks of three with t5, then their articles alone, equal ones once
+    failing = [c.read_text() for c in calls.iterdir() if "t5" in c.read_text()]
+    assert after - asked == len(set(failing))
+    assert run("b")[0] == want
+    assert run("b")[1] - after > after - asked
