@@ -196,6 +196,8 @@ def source_divergence(
     groups = counts.filter("term is null").select("lang", "source")
     langs = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("n_groups")).join(vocabulary, "lang", "left").na.fill(0, ["kept", "total_lang"])
     langs = langs.select("*", F.greatest(F.ceil(F.col("n_groups") / rows), F.lit(1)).alias("n_blocks"), F.greatest(F.ceil(F.col("kept") / columns), F.lit(1)).alias("n_tiles"))
+    # read back, its size is known: the few langs that there are go to the terms, not all terms of a lang to one task
+    langs, _ = write_scratch(langs, "langs")
     totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     sized = groups.join(totals, ["lang", "source"], "left").na.fill(0, ["total"]).join(langs, "lang")
     block = F.expr("pmod(xxhash64(source), n_blocks)").alias("block")
