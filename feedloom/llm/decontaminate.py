@@ -7,7 +7,8 @@ neighbouring places grow to the longest verbatim matches, which are returned wit
 
 Words are maximal runs of digits, letters and bytes above 127, A-Z lower-cased, compared by 64-bit
 hashes. Only benchmark items are broadcast: in blocks of at most `block_bytes` of text, each block a
-pass over the documents. Nothing else leaves a document's own row.
+pass over the documents. Nothing else leaves a document's own row. Windows that many items share are
+joined to matches place by place, so beside the matches themselves a task holds about `INSTANCES` of them.
 
 Defined results: null and empty texts have no words and no matches. Items without an id or words have
 no windows. Rows that share an item id count as one item with the windows of all. Rows that share a
@@ -31,6 +32,7 @@ BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 2 << 20
 GATE_BITS = 20
 LEAD = 3
+INSTANCES = 1 << 20  # windows of items that are joined to matches at a time
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
@@ -150,20 +152,40 @@ def shard_matches(part: Texts, tests: TestWindows) -> tuple[np.ndarray, np.ndarr
     times = (high - low)[found]
     window = np.repeat(found, times)
     at = array[low[window] + runs(times)]
-    ends = np.append(tests.firsts[1:], len(tests.items))
-    instances = (ends - tests.firsts)[window]
+    by = np.argsort(at, kind="stable")
+    window, at = window[by], at[by]
+    instances = np.diff(np.append(tests.firsts, len(tests.items)))[window]
+    # a match ends where no window starts at the next word, so places may be parted there
+    gaps = np.append(0, np.flatnonzero(np.diff(at) > 1) + 1)
+    so_far = np.append(0, np.cumsum(instances))
+    parts, begin = [], 0
+    for end in [*gaps[1:].tolist(), len(at)]:
+        if end == len(at) or so_far[end] - so_far[begin] >= INSTANCES:
+            parts.append(_maximal(tests, window[begin:end], at[begin:end], instances[begin:end]))
+            begin = end
+    rows = np.concatenate(parts)
+    text = np.searchsorted(first, rows[:, 0], "right") - 1
+    out = np.column_stack([text, rows[:, 0] - first[text], rows[:, 1], rows[:, 2]])
+    return counts, out[np.lexsort((out[:, 3], out[:, 1], out[:, 0]))]
+
+
+def _maximal(tests: TestWindows, window: np.ndarray, at: np.ndarray, instances: np.ndarray) -> np.ndarray:
+    """Maximal matches as rows (start, length, item) from windows found at words, with their numbers of instances."""
     instance = np.repeat(tests.firsts[window], instances) + runs(instances)
     at, size = np.repeat(at, instances), np.repeat(tests.sizes[window], instances)
-    item, shift = tests.items[instance], np.repeat(np.arange(len(window)), instances)
-    shift = at - tests.places[instance]
-    rows = np.unique(np.column_stack([item, shift, at, size]), axis=0)
-    fresh = np.ones(len(rows), bool)
-    fresh[1:] = (np.diff(rows[:, :3], axis=0) != [0, 0, 1]).any(axis=1) | (np.diff(rows[:, 3]) != 0)
+    item, shift = tests.items[instance], at - tests.places[instance]
+    by = np.lexsort((size, at, shift, item))
+    item, shift, at, size = item[by], shift[by], at[by], size[by]
+    same = (np.diff(item) == 0) & (np.diff(shift) == 0) & (np.diff(size) == 0)
+    own = np.ones(len(at), bool)
+    own[1:] = ~(same & (np.diff(at) == 0))  # items that are repeated rows
+    item, shift, at, size = item[own], shift[own], at[own], size[own]
+    same = (np.diff(item) == 0) & (np.diff(shift) == 0) & (np.diff(size) == 0)
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = ~(same & (np.diff(at) == 1))
     heads = np.flatnonzero(fresh)
-    lengths = np.diff(np.append(heads, len(rows))) - 1 + rows[heads, 3]
-    text = np.searchsorted(first, rows[heads, 2], "right") - 1
-    out = np.column_stack([text, rows[heads, 2] - first[text], lengths, rows[heads, 0]])
-    return counts, out[np.lexsort((out[:, 3], out[:, 1], out[:, 0]))]
+    lengths = np.diff(np.append(heads, len(at))) - 1 + size[heads]
+    return np.column_stack([at[heads], lengths, item[heads]])
 
 
 def _matches_column(text: Column, shared) -> Column:

@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from feedloom.llm import decontaminate
 from feedloom.llm.decontaminate import benchmark_matches, hit_words
 from feedloom.llm.substrings import substring_dedup
 
@@ -132,3 +134,18 @@ def test_words_with_like_hashes_are_told_apart(spark, hot_rows):
     found = substring_dedup(docs, hot_rows=hot_rows).collect()
     assert sorted(((r["id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found), key=repr) == slow_removal(rows)
     assert sorted((r["id"], r["n_removed"]) for r in found) == [(0, 0), (1, 0), (5, 60), (10, 0), (11, 0), (15, 60)]
+
+
+def test_windows_that_many_items_share(spark, monkeypatch):
+    prompt = " ".join(f"p{i}" for i in range(30))
+    items = [(i, f"{prompt} item{i} {'x ' * (i % 3)}end") for i in range(2000)]
+    docs = [(i, f"text {i} {prompt} item{i % 7} and {prompt[:60]} {prompt} item{i + 5}") for i in range(30)]
+    found = benchmark_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = found.select("id", "n_words", hit_words("matches").alias("n"), F.array_sort(F.array_distinct("matches.item")).alias("items")).collect()
+    assert sorted(((r["id"], r["n_words"], r["n"], r["items"]) for r in got), key=repr) == slow_hits(docs, items)
+    tests = decontaminate.index_items([i for i, _ in items[:50]], [t for _, t in items[:50]])
+    part = next(decontaminate.texts(pa.array([t for _, t in docs])))
+    _, whole = decontaminate.shard_matches(part, tests)
+    monkeypatch.setattr(decontaminate, "INSTANCES", 1)
+    _, parted = decontaminate.shard_matches(part, tests)
+    assert len(whole) > 30 * 50 and (whole == parted).all()
