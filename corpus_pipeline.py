@@ -18,12 +18,17 @@ from feedloom.llm.packing import pack
 from feedloom.llm.simhash import simhash_groups
 from feedloom.llm.substrings import substring_dedup
 
-#: A prediction less certain than this counts as no language.
+#: A prediction less certain than this counts as no language; see the README for what that costs.
 LEAST_CERTAINTY = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is told with some certainty; fitted on their own labels."""
+    """Keep the documents whose language is told with some certainty; fitted on their own labels.
+
+    Where no document with a text is labelled, no language can be told and all documents stay.
+    """
+    if docs.filter("lang is not null and text is not null").isEmpty():
+        return docs
     found = fit_language(docs).predict(F.col("text"))
     names = docs.columns
     judged = docs.select(F.struct(*names).alias("row"), found.alias("found"))
