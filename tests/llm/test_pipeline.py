@@ -42,3 +42,12 @@ def test_rows_that_share_an_id_are_judged_one_by_one(spark, sf_dir):
     mixed = spark.createDataFrame([(5, LEAK, "en"), (5, "clean", "en"), (6, "clean", "en")], SCHEMA)
     kept = corpus_pipeline.without_benchmarks(spark, mixed, sf_dir)
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(5, "clean"), (6, "clean")]
+
+
+def test_without_labels_or_rows_nothing_is_rejected(spark, sf_dir):
+    rows = [(1, "some text", None), (2, None, "en"), (None, "", None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, corpus_pipeline.known_language(spark, docs, sf_dir).collect()), key=repr) == sorted(rows, key=repr)
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).collect() == []
