@@ -16,11 +16,15 @@ rule fits and the verdict is allow. Repeated rows are judged alike. Without labe
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.llm.components import write_scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = "=block"
+#: Rules up to this number are sent to all executors; more are joined by shuffles.
+MOST_BROADCAST = 10_000
 
 
 def host_of(url: Column) -> Column:
@@ -55,32 +59,46 @@ def url_tokens(url: Column) -> Column:
 
 def mine_rules(
     pages: DataFrame, labels: DataFrame, page_col: str = "page_id", url_col: str = "url", label_id_col: str = "doc_id", bad: str = "quality = 0 or toxic = 1",
-    support: float = 0.005, confidence: float = 0.6,
+    support: float = 0.005, confidence: float = 0.6, longest: int = 5,
 ) -> DataFrame:
     """`rule (array of tokens), index (its rarest token), confidence, support`, from labelled pages.
 
     `bad` is an expression over `labels`; pages for which it is true are labelled block. Every
-    labelled page counts; how many rules there are is bounded by the support.
+    labelled page counts; how many rules there are is bounded by the support. A rule has at most
+    `longest` tokens. Tokens that occur in just the same labelled pages make the same rules; the
+    first by name stands for them, so that shared parameters do not multiply the combinations.
     """
     known = labels.select(F.col(label_id_col).alias("label_id"), F.expr(bad).alias("bad")).filter("label_id is not null and bad is not null")
     known = known.groupBy("label_id").agg(F.max("bad").alias("bad"))
     labelled = pages.select(F.col(page_col).alias("page"), F.col(url_col).alias("url")).join(known, F.col("page") == F.col("label_id"))
-    baskets = labelled.select(F.array_compact(F.concat(url_tokens(F.col("url")), F.array(F.when(F.col("bad"), BLOCK)))).alias("items")).filter("size(items) > 0")
+    listed, _ = write_scratch(labelled.select(F.monotonically_increasing_id().alias("basket"), "bad", url_tokens(F.col("url")).alias("tokens")), "baskets")
+    least = support * listed.filter("bad or size(tokens) > 0").count()
+    every = listed.select("basket", "bad", F.explode("tokens").alias("token")).groupBy("token")
+    # equal counts and equal sums of two hashes: the same baskets
+    seen = every.agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"), *(F.bit_xor(F.xxhash64("basket", F.lit(k))).alias(f"print{k}") for k in (0, 1)))
+    frequent = seen.filter(F.col("n_bad") >= least).groupBy("n", "print0", "print1").agg(F.min("token").alias("token"))
+    kept = listed.select("basket", F.explode("tokens").alias("token")).join(frequent.select("token", "n"), "token")
+    items = kept.groupBy("basket").agg(F.collect_list("token").alias("items"))
+    marked = listed.filter("bad or size(tokens) > 0").join(items, "basket", "left")
+    baskets = marked.select(F.array_compact(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.array(F.when(F.col("bad"), BLOCK)))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.filter(F.element_at("consequent", 1) == BLOCK).select(F.array_sort("antecedent").alias("rule"), "confidence", "support")
-    short = rules.select(F.element_at("rule", 1).alias("token"), F.col("rule").alias("part"), F.col("confidence").alias("part_confidence"))
-    needless = (
-        rules.withColumn("token", F.explode("rule"))
-        .join(short, "token")
-        .filter((F.size("part") < F.size("rule")) & (F.size(F.array_intersect("rule", "part")) == F.size("part")) & (F.col("part_confidence") >= F.col("confidence")))
-        .select("rule")
-        .distinct()
-    )
+    mined = model.freqItemsets.filter(F.size("items") <= F.when(F.array_contains("items", BLOCK), longest + 1).otherwise(longest))
+    sets, _ = write_scratch(mined.select(F.array_sort(F.array_remove("items", BLOCK)).alias("rule"), F.array_contains("items", BLOCK).alias("bad"), "freq"), "itemsets")
+    n = baskets.count()
+    counted = sets.filter("size(rule) > 0").groupBy("rule").agg(F.max(F.when(F.col("bad"), F.col("freq"))).alias("hit"), F.max(F.when(~F.col("bad"), F.col("freq"))).alias("all"))
+    rules = counted.select("rule", (F.col("hit") / F.col("all")).alias("confidence"), (F.col("hit") / F.lit(max(n, 1))).alias("support")).filter(F.col("confidence") >= confidence)
+    parts = rules.select(F.col("rule").alias("whole"), F.col("confidence").alias("own"), F.explode(_proper_subsets(F.col("rule"))).alias("rule"))
+    needless = parts.join(rules.select("rule", "confidence"), "rule").filter("confidence >= own").select(F.col("whole").alias("rule")).distinct()
     needed = rules.join(needless, "rule", "left_anti")
-    alone = model.freqItemsets.filter("size(items) = 1").select(F.element_at("items", 1).alias("token"), "freq")
-    rarest = Window.partitionBy("rule").orderBy("freq", "token")
-    filed = needed.withColumn("token", F.explode("rule")).join(alone, "token").withColumn("place", F.row_number().over(rarest)).filter("place = 1")
-    return filed.select("rule", F.col("token").alias("index"), "confidence", "support")
+    rarest = F.array_min(F.collect_list(F.struct("n", "token")))["token"]
+    filed = needed.withColumn("token", F.explode("rule")).join(frequent.select("token", "n"), "token").groupBy("rule", "confidence", "support").agg(rarest.alias("index"))
+    return filed.select("rule", "index", "confidence", "support")
+
+
+def _proper_subsets(rule: Column) -> Column:
+    """All subsets of a short sorted array but the empty one and itself, sorted."""
+    grown = F.aggregate(rule, F.array(F.array().cast("array<string>")), lambda sets, t: F.concat(sets, F.transform(sets, lambda s: F.array_append(s, t))))
+    return F.filter(grown, lambda s: (F.size(s) > 0) & (F.size(s) < F.size(rule)))
 
 
 def judge_urls(pages: DataFrame, mined: DataFrame, listed: list[tuple[str, str, str]], page_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -90,9 +108,11 @@ def judge_urls(pages: DataFrame, mined: DataFrame, listed: list[tuple[str, str,
     """
     own = pages.select(F.col(page_col).alias("page"), F.col(url_col).alias("url"))
     tokens = own.filter("url is not null").select("url").distinct().withColumn("tokens", url_tokens(F.col("url")))
+    mined, _ = write_scratch(mined, "rules")
+    few = F.broadcast if mined.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else lambda rules: rules
     matched = (
         tokens.withColumn("index", F.explode("tokens"))
-        .join(mined, "index")
+        .join(few(mined), "index")
         .filter(F.size(F.array_intersect("tokens", "rule")) == F.size("rule"))
         .groupBy("url")
         .agg(F.max("confidence").alias("confidence"))
