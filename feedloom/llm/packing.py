@@ -6,12 +6,12 @@ batches of `token_budget` padded tokens. A histogram has one row per length clas
 lengths up to 1,024 are exact, longer ones are rounded up to one part in 512, so that about 10,000
 classes reach the driver however long texts get.
 
-Batches are formed within groups of at most some `group_rows` documents that the hash of the id deals
+Batches are formed within groups of at most some `group_rows` documents that the hash of the id and a row number deal
 out, so no bucket has to be numbered in one task; each group leaves one batch that may be short.
 
 Defined results: a null or empty text has length 0 and lies in the first bucket. A row longer than the
-budget is a batch of its own. Rows that share an id are packed one by one; rows without one are dealt
-out by a number of their own. No rows give no rows.
+budget is a batch of its own. Rows that share an id, or have none, are packed one by one: every row is
+dealt out by its id and a number of its own. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -76,7 +76,7 @@ def pack(
     length = word_count(F.col(text_col)) if length is None else length
     from feedloom.llm.components import write_scratch
 
-    row = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())  # written, so it stays the same
+    row = F.monotonically_increasing_id()  # written, so it stays the same
     sized, _ = write_scratch(docs.select(F.col(id_col).alias("id"), F.coalesce(length, F.lit(0)).cast("long").alias("n_tokens"), row.alias("row")), "lengths")
     sized = sized.withColumn("class", length_class(F.col("n_tokens")))
     histogram = sized.groupBy("class").agg(F.count(F.lit(1)).alias("n")).orderBy("class").collect()
@@ -94,7 +94,7 @@ def pack(
         .withColumn("group", F.pmod(F.xxhash64(F.col("id").cast("string"), F.col("row"), F.lit("pack")), at(groups).cast("long")))
     )
     each = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest("bucket_length", F.lit(1)))).cast("long")
-    order = Window.partitionBy("bucket", "group").orderBy("n_tokens", "id")
+    order = Window.partitionBy("bucket", "group").orderBy("n_tokens", "id", "row")
     numbered = placed.withColumn("place", F.row_number().over(order).cast("long") - 1)
     return numbered.select(
         "id",
