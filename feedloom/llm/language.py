@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.samples import sample_ids
+from feedloom.llm.samples import one_row_each, sample_ids
 from feedloom.llm.textarrays import texts
 from feedloom.llm.wordgrams import GramCounter, linear_words
 
@@ -89,13 +89,14 @@ def fit_language(
     """Fit on the rows of `docs` that have a text and a label.
 
     At most `per_label` rows of each label are drawn for the weights, a fifth of which calibrate the
-    temperature instead; their sparse counts are what the driver gets.
+    temperature instead; their sparse counts are what the driver gets. Of rows that share an id and a
+    label one takes part. More than 1,000 labels are refused.
     """
     training = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).filter(
         "text is not null and label is not null"
     )
     drawn = sample_ids(training, "id", "label", per_label)
-    rows = training.select("id", "text").join(F.broadcast(drawn), "id").mapInArrow(_featurizer(buckets), "id string, label string, found array<int>, times array<int>").collect()
+    rows = one_row_each(training, drawn, "text").mapInArrow(_featurizer(buckets), "id string, label string, found array<int>, times array<int>").collect()
     if not rows:
         return LanguageModel([], np.zeros((buckets, 0)), np.zeros(0), 1.0)
     idf = inverse_document_frequencies(training.select("text"), buckets)

@@ -42,11 +42,16 @@ def fold(id_col: str, n: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % n
 
 
+def held_out(id_col: str, n: int, part: int) -> Column:
+    """Whether a row's fold is `part`. A row without an id has no fold: false, though it trains nothing."""
+    return F.coalesce(fold(id_col, n) == part, F.lit(False)).alias("held_out")
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     featured, _ = write_scratch(docs.select("doc_id", feature_column(F.col("text")).alias("features")), "features")
     model = fit_quality(featured, labels.filter(fold("doc_id", 3) != 1))
-    scored = featured.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), model.score(F.col("features")).alias("score"))
+    scored = featured.select("doc_id", held_out("doc_id", 3, 1), model.score(F.col("features")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -58,7 +63,7 @@ def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_language(docs.filter(fold("doc_id", 5) != 0))
-    found = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), model.predict(F.col("text")).alias("p"))
+    found = docs.select("doc_id", held_out("doc_id", 5, 0), model.predict(F.col("text")).alias("p"))
     return found.select("doc_id", "held_out", F.col("p.label").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
@@ -71,7 +76,7 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit_toxicity(docs, labels.filter(fold("doc_id", 4) != 2))
-    scored = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), model.score(F.col("text")).alias("score"))
+    scored = docs.select("doc_id", held_out("doc_id", 4, 2), model.score(F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 

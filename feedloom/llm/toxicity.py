@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.language import hash_of
-from feedloom.llm.samples import label_counts, sample_ids
+from feedloom.llm.samples import label_counts, one_row_each, sample_ids
 from feedloom.llm.textarrays import texts
 from feedloom.llm.wordgrams import GramCounter, linear_words
 
@@ -62,7 +62,7 @@ def fit_toxicity(
     dims: int = 2,
     epochs: int = 45,
 ) -> ToxicityModel:
-    """Fit on at most `per_label` labelled rows of each class."""
+    """Fit on at most `per_label` labelled rows of each class; of rows that share an id one takes part."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)")
     counts = label_counts(known, "label")
     nothing = ToxicityModel(np.zeros(buckets), -700.0, 0.0)
@@ -82,7 +82,7 @@ def fit_toxicity(
                 ["id", "label", "found", "times"],
             )
 
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")
+    own = one_row_each(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), drawn, "text")
     rows = sorted(own.mapInArrow(features, "id string, label int, found binary, times binary").toLocalIterator(), key=lambda r: hash_of(r["id"]))
     truth = np.array([r["label"] for r in rows], np.float64)
     if len(set(truth.tolist())) < 2:

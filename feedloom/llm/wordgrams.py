@@ -16,6 +16,10 @@ from feedloom.llm.textarrays import Texts, mix, texts
 
 MAX_WORDS = 150_000
 MAX_KEY_BYTES = 12_000_000
+#: Characters whose n-grams are held at a time.
+SLICE = 1 << 18
+#: A text of more bytes is counted without an index of its words.
+LONG_TEXT = 1 << 20
 
 
 class _Index(dict):
@@ -84,42 +88,67 @@ def add_up(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def gram_buckets(
+def gram_slices(
     words: list[bytes], sizes: tuple[int, ...], buckets: int, keep: str = "letters", whole: bool = False
-) -> tuple[np.ndarray, np.ndarray]:
-    """Hash buckets of the character n-grams of each word, and their number by word.
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hash buckets of the character n-grams of the words and the word each belongs to, slice by slice.
 
     Words are case-folded and framed by word marks; `keep` drops all but letters, or but letters and
-    digits. A word that has none is without n-grams. `whole` adds a bucket for the word itself.
+    digits. A word that has none is without n-grams. `whole` adds a bucket for the word itself. A slice
+    holds the n-grams that start in some SLICE characters, so a word of any length takes little memory.
     """
     wanted = str.isalpha if keep == "letters" else str.isalnum
-    plain = ["".join(filter(wanted, w.decode("utf-8", "replace").lower())) for w in words]
-    framed = np.frombuffer("".join(f"<{w}>" if w else "" for w in plain).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    plain = [_filtered(w.decode("utf-8", "replace").lower(), wanted) for w in words]
     lengths = np.array([len(w) + 2 if w else 0 for w in plain], np.int64)
-    ends = np.repeat(np.cumsum(lengths), lengths)
-    owner = np.repeat(np.arange(len(words)), lengths)
-    at = np.arange(len(framed))
-    found, owners = [], []
-    rolled = np.zeros(len(framed), np.uint64)
-    for n in range(1, max(sizes) + 1):
-        reach = len(framed) - n + 1
-        if reach <= 0:
-            break
-        rolled = rolled[:reach] * np.uint64(0x100000001B3) + framed[n - 1 :]
-        if n in sizes:
-            inside = at[:reach] + n <= ends[:reach]
-            found.append(mix(rolled[inside] + np.uint64(n)) % np.uint64(buckets))
-            owners.append(owner[:reach][inside])
-    if whole and len(framed):
-        firsts = (np.cumsum(lengths) - lengths)[lengths > 0]
-        weights = mix(framed + np.uint64(0x9E37) * (at - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.uint64))
-        found.append(mix(np.add.reduceat(weights, firsts)) % np.uint64(buckets))
-        owners.append(np.flatnonzero(lengths > 0))
-    if not found:
-        return np.empty(0, np.int64), np.zeros(len(words), np.int64)
-    owners_all = np.concatenate(owners)
-    order = np.argsort(owners_all, kind="stable")
-    return np.concatenate(found)[order].astype(np.int64), np.bincount(owners_all, minlength=len(words))
+    all_ends = np.cumsum(lengths)
+    framed = np.frombuffer("".join(f"<{w}>" if w else "" for w in plain).encode("utf-32-le"), np.uint32)
+    del plain
+    sums = np.zeros(len(words) if whole else 0, np.uint64)
+    overlap = max(sizes) - 1
+    for start in range(0, len(framed), SLICE):
+        size = min(SLICE, len(framed) - start)
+        letters = framed[start : start + size + overlap].astype(np.uint64)
+        at = np.arange(start, start + len(letters))
+        low, high = np.searchsorted(all_ends, [start, start + size - 1], "right")
+        own = np.diff(np.clip(all_ends[low : high + 1], start, start + size), prepend=start)
+        owner = np.repeat(np.arange(low, high + 1), own)
+        ends = all_ends[owner]
+        found, owners = [], []
+        rolled = np.zeros(len(letters), np.uint64)
+        for n in range(1, max(sizes) + 1):
+            reach = len(letters) - n + 1
+            if reach <= 0:
+                break
+            rolled = rolled[:reach] * np.uint64(0x100000001B3) + letters[n - 1 :]
+            if n in sizes:
+                firsts = min(reach, size)
+                inside = at[:firsts] + n <= ends[:firsts]
+                found.append(mix(rolled[:firsts][inside] + np.uint64(n)) % np.uint64(buckets))
+                owners.append(owner[:firsts][inside])
+        if whole:
+            places = (at[:size] - (ends - lengths[owner])).astype(np.uint64)
+            new = np.flatnonzero(np.diff(owner, prepend=-1))
+            sums[owner[new]] += np.add.reduceat(mix(letters[:size] + np.uint64(0x9E37) * places), new)
+            done = owner[new][all_ends[owner[new]] <= start + size]
+            found.append(mix(sums[done]) % np.uint64(buckets))
+            owners.append(done)
+        owners_all = np.concatenate(owners)
+        order = np.argsort(owners_all, kind="stable")
+        yield np.concatenate(found)[order].astype(np.int64), owners_all[order]
+
+
+def _filtered(word: str, wanted: Callable[[str], bool]) -> str:
+    pieces = (word[i : i + SLICE] for i in range(0, len(word), SLICE))
+    return "".join("".join(filter(wanted, piece)) for piece in pieces)
+
+
+def gram_buckets(words: list[bytes], *args) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of `gram_slices` word by word, and their number by word."""
+    found, owners = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for ids, owner in gram_slices(words, *args):
+        found.append(ids)
+        owners.append(owner)
+    return np.concatenate(found), np.bincount(np.concatenate(owners), minlength=len(words))
 
 
 def linear_words(weights: np.ndarray, sizes: tuple[int, ...], keep: str = "letters", whole: bool = False) -> WordTable:
@@ -127,8 +156,13 @@ def linear_words(weights: np.ndarray, sizes: tuple[int, ...], keep: str = "lette
     buckets, width = weights.shape
 
     def compute(words: list[bytes]) -> np.ndarray:
-        ids, counts = gram_buckets(words, sizes, buckets, keep, whole)
-        return np.column_stack([add_up(weights[ids], counts), counts])
+        out = np.zeros((len(words), width + 1), np.float64)
+        for ids, owner in gram_slices(words, sizes, buckets, keep, whole):
+            if len(ids):
+                firsts = np.flatnonzero(np.diff(owner, prepend=-1))
+                out[owner[firsts], :width] += np.add.reduceat(weights[ids], firsts, axis=0, dtype=np.float64)
+                out[owner[firsts], width] += np.diff(firsts, append=len(owner))
+        return out
 
     return WordTable(width + 1, compute)
 
@@ -143,6 +177,14 @@ class GramCounter:
         """Distinct buckets of each text in turn, and how often each occurs."""
         for part in texts(column):
             words, counts = split_words(part)
+            if len(part) == 1 and len(part.data) > LONG_TEXT:
+                each = np.zeros(self.buckets, np.int64)
+                for i in range(0, len(words), SLICE):
+                    for ids, _ in gram_slices(words[i : i + SLICE], *self.args):
+                        each += np.bincount(ids, minlength=self.buckets)
+                found = np.flatnonzero(each)
+                yield found, each[found]
+                continue
             known = _Index()
             numbers = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
             ids, sizes = gram_buckets(known.fresh, *self.args)

@@ -4,13 +4,18 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from feedloom.llm import wordgrams
+
 from feedloom.llm.language import calibrate, fit_language, softmax
 from feedloom.llm.packing import best_bounds, pack
 from feedloom.llm.quality import FEATURES, feature_column, fit_quality
 from feedloom.llm.queries import QUERIES, URL_RULES
+from feedloom.llm.samples import one_row_each, sample_ids
+from feedloom.llm.textarrays import mix
 from feedloom.llm.tokens import build, token_counts
 from feedloom.llm.toxicity import fit_toxicity
 from feedloom.llm.urls import judge_urls, mine_rules
@@ -211,3 +216,126 @@ def test_pipeline_against_brute_force(spark):
     assert {r["doc_id"] for r in stages["decontamination"](spark, trimmed, sf_dir).collect()} == clean
     packed = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r["doc_id"]: r["n_tokens"] for r in packed} == {i: len(cut[i].split()) for i in clean}
+
+
+def test_rows_of_one_id_are_dealt_out(spark):
+    docs = spark.range(900).selectExpr("case when id < 600 then 7 else id end as doc_id", "'a b' as text")
+    found = pack(docs, token_budget=1 << 20, group_rows=50).collect()
+    sizes = {}
+    for r in found:
+        sizes[r["batch"]] = sizes.get(r["batch"], 0) + 1
+    assert len(found) == 900 and max(sizes.values()) < 120
+
+
+def test_samples_bound_rows(spark):
+    rows = [(i, i % 2) for i in range(300)] + [(7, 1)] * 500 + [(8, 0), (8, 1), (None, 1), (9, None)]
+    labelled = spark.createDataFrame(rows, "doc_id long, label int").withColumn("draw", F.lit(1))
+    drawn = sample_ids(labelled, "doc_id", "label", 40)
+    found = [tuple(r) for r in drawn.collect()]
+    assert len(found) == len({i for i, _ in found}) and {y: sum(1 for _, z in found if z == y) for y in (0, 1)} == {0: 40, 1: 40}
+    assert all((i, y) in rows for i, y in found)
+    everything = sample_ids(labelled, "doc_id", "label", 5000)
+    assert {tuple(r) for r in everything.collect()} == {(i, 0 if i == 8 else i % 2) for i in range(300)}
+    texts = labelled.select(F.col("doc_id").alias("id"), F.concat(F.lit("t"), F.monotonically_increasing_id().cast("string")).alias("text"))
+    assert one_row_each(texts, everything, "text").count() == 300
+    assert sample_ids(labelled.filter("false"), "doc_id", "label", 5).count() == 0
+
+
+def slow_buckets(word, sizes, buckets, keep, whole):
+    """The n-grams of a word one by one, hashed as the table hashes them."""
+    plain = "".join(c for c in word.decode("utf-8", "replace").lower() if (c.isalpha() if keep == "letters" else c.isalnum()))
+    if not plain:
+        return []
+    framed, found, top = f"<{plain}>", [], 1 << 64
+    for n in sizes:
+        for k in range(len(framed) - n + 1):
+            value = 0
+            for c in framed[k : k + n]:
+                value = (value * 0x100000001B3 + ord(c)) % top
+            found.append(int(mix(np.array([(value + n) % top], np.uint64))[0]) % buckets)
+    if whole:
+        parts = np.array([(ord(c) + 0x9E37 * k) % top for k, c in enumerate(framed)], np.uint64)
+        found.append(int(mix(mix(parts).sum(dtype=np.uint64, keepdims=True))[0]) % buckets)
+    return sorted(found)
+
+
+@pytest.mark.parametrize("size", [3, 50, 1 << 18])
+def test_grams_in_slices(monkeypatch, size):
+    monkeypatch.setattr(wordgrams, "SLICE", size)
+    rng = random.Random(size)
+    words = ["".join(rng.choices("abXé1-_𝒳ß", k=rng.randrange(0, 14))).encode() for _ in range(60)]
+    weights = np.random.default_rng(1).normal(size=(997, 2))
+    for keep, whole in (("letters", False), ("letters and digits", True)):
+        found, counts = wordgrams.gram_buckets(words, (1, 2, 4), 997, keep, whole)
+        want = [slow_buckets(w, (1, 2, 4), 997, keep, whole) for w in words]
+        assert [sorted(own.tolist()) for own in np.split(found, np.cumsum(counts)[:-1])] == want
+        sums = wordgrams.linear_words(weights, (1, 2, 4), keep, whole).compute(words)
+        assert np.allclose(sums, [[*weights[w].sum(axis=0), len(w)] for w in want])
+        text = pa.array([b" ".join(words).decode()])
+        for limit in (10, 1 << 20):
+            monkeypatch.setattr(wordgrams, "LONG_TEXT", limit)
+            ((own, times),) = wordgrams.GramCounter((1, 2, 4), 997, keep, whole).counts(text)
+            flat = np.bincount([b for w in want for b in w], minlength=997)
+            assert (own == np.flatnonzero(flat)).all() and (times == flat[own]).all()
+
+
+def test_a_word_of_millions_of_letters_takes_little_memory():
+    import tracemalloc
+
+    column = pa.array(["x" * 4_000_000])
+    tracemalloc.start()
+    ((own, times),) = wordgrams.GramCounter((1, 2, 3), 1 << 14).counts(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert times.sum() == 3 * 4_000_002 - 3 and peak < 120_000_000
+
+
+@pytest.mark.parametrize("name, table", [("op1_quality", "quality"), ("op3_language", None), ("op5_toxicity", "toxic")])
+def test_rows_without_id_are_not_held_out(spark, tmp_path, name, table):
+    rows = [(i if i % 9 else None, f"{'good words here' if i % 2 else 'bad stuff there'} {i}", "en" if i % 2 else "de") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held_out", F.lit("x")).withColumn("label", F.lit(3))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = docs.selectExpr("doc_id", "cast(lang = 'en' as int) as quality", "cast(lang = 'de' as int) as toxic")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    found = QUERIES[name](spark, str(tmp_path)).collect()
+    assert len(found) == 60 and all(r["held_out"] in (True, False) for r in found)
+    assert all(r["held_out"] is False for r in found if r["doc_id"] is None)
+    docs.filter("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert QUERIES[name](spark, f"{tmp_path}/none").count() == 0
+
+
+def slow_rules(baskets, support, confidence, longest):
+    """Every rule that reaches both bounds and that no shorter one makes needless, by counting subsets."""
+    tokens = sorted({t for items, _ in baskets for t in items})
+    pages = {t: frozenset(i for i, (items, _) in enumerate(baskets) if t in items) for t in tokens}
+    first = {}
+    for t in tokens:
+        first.setdefault(pages[t], t)
+    found = {}
+    for n in range(1, longest + 1):
+        for rule in itertools.combinations(sorted(first.values()), n):
+            own = frozenset.intersection(*(pages[t] for t in rule))
+            hit = sum(baskets[i][1] for i in own)
+            if hit and hit >= support * len(baskets) and hit / len(own) >= confidence:
+                found[rule] = hit / len(own)
+    return {r: c for r, c in found.items() if not any(set(p) < set(r) and d >= c for p, d in found.items())}
+
+
+def test_shared_parameters_do_not_multiply_the_rules(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        hot = i % 20 == 0
+        query = "&".join(f"p{j}" for j in range(14)) + ("&odd" if rng.random() < 0.5 else "") if hot else ""
+        rows.append((i, f"http://{'aa' if hot else rng.choice('bc')}.org/{rng.choice(['x', 'y'])}?{query}", int(not hot or rng.random() < 0.3)))
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int")
+    mined = {tuple(r["rule"]): r["confidence"] for r in mine_rules(pages, labels, support=0.005, confidence=0.5).collect()}
+    baskets = []
+    for _, url, good in rows:
+        host, rest = url[7:].split("/", 1)
+        path, query = rest.split("?")
+        baskets.append(({"s:http", f"p:{path}", *(f"h:{h}" for h in host.split(".")), *(f"q:{q}" for q in query.split("&") if q)}, 1 - good))
+    want = slow_rules(baskets, 0.005, 0.5, 5)
+    assert mined.keys() == want.keys() and all(abs(mined[r] - c) < 1e-9 for r, c in want.items())
