@@ -138,6 +138,10 @@ def gram_slices(
 
 
 def _filtered(word: str, wanted: Callable[[str], bool]) -> str:
+    if wanted(word):
+        return word
+    if len(word) <= SLICE:
+        return "".join(filter(wanted, word))
     pieces = (word[i : i + SLICE] for i in range(0, len(word), SLICE))
     return "".join("".join(filter(wanted, piece)) for piece in pieces)
 
@@ -159,9 +163,10 @@ def linear_words(weights: np.ndarray, sizes: tuple[int, ...], keep: str = "lette
         out = np.zeros((len(words), width + 1), np.float64)
         for ids, owner in gram_slices(words, sizes, buckets, keep, whole):
             if len(ids):
-                firsts = np.flatnonzero(np.diff(owner, prepend=-1))
-                out[owner[firsts], :width] += np.add.reduceat(weights[ids], firsts, axis=0, dtype=np.float64)
-                out[owner[firsts], width] += np.diff(firsts, append=len(owner))
+                low, high = owner[0], owner[-1] + 1
+                counts = np.bincount(owner - low)
+                out[low:high, :width] += add_up(weights[ids], counts)
+                out[low:high, width] += counts
         return out
 
     return WordTable(width + 1, compute)
