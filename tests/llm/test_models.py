@@ -180,7 +180,7 @@ def test_pipeline_against_brute_force(spark):
     import sys
 
     import corpus_pipeline
-    from test_pairs import reach, slow_fingerprint
+    from test_pairs import jaccard, reach, slow_fingerprint, slow_shingles
     from test_passages import slow_hits, words_of
 
     sys.setrecursionlimit(10_000)
@@ -192,7 +192,9 @@ def test_pipeline_against_brute_force(spark):
     assert known.columns == docs.columns and known.count() >= 0.97 * docs.count()
     rows = {r["doc_id"]: r["text"] for r in known.collect()}
     prints = {i: slow_fingerprint(t) for i, t in rows.items()}
-    root = reach(rows, [(a, b) for a in rows for b in rows if a < b and (prints[a] ^ prints[b]).bit_count() <= 3])
+    sets = {i: slow_shingles(t) for i, t in rows.items()}
+    near = [(a, b) for a in rows for b in rows if a < b and ((prints[a] ^ prints[b]).bit_count() <= 3 or jaccard(sets[a], sets[b]) >= 0.8)]
+    root = reach(rows, near)
     single = {i: t for i, t in rows.items() if root[i] == i}
     left = stages["near_duplicates"](spark, known, sf_dir)
     assert {r["doc_id"]: r["text"] for r in left.collect()} == single

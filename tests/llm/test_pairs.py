@@ -1,6 +1,7 @@
 """Near-duplicates, components and vectors against brute force, and their edge cases."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from feedloom.llm.components import components
+from feedloom.llm.resemblance import similar_links
 from feedloom.llm.simhash import fingerprint, near_fingerprints, simhash_groups
 from feedloom.llm.vectors import close_pairs, quantise, vector_links
 
@@ -37,6 +39,15 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def slow_shingles(text, n=5):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
 def slow_fingerprint(text):
     words = [w for w in (text or "").encode().lower().replace(b"\t", b" ").replace(b"\n", b" ").split(b" ") if w]
     shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [b" ".join(words)] * bool(words)
@@ -140,3 +151,53 @@ def test_vector_links_without_and_with_shared_ids(spark, block):
         ids = [angles[j][0] for j in n if root[j] == root[k] and angles[j][0] is not None]
         want.append((i, sum(link(k, j) for j in n), min(ids) if i is not None else None))
     assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
+
+
+def similar_rows(seed=3):
+    """Families of texts whose copies lose, gain or change words, some close to 0.8, beside odd rows."""
+    rng = random.Random(seed)
+    rows = []
+    for family in range(12):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice([6, 30, 90, 300]))]
+        rows.append(" ".join(base))
+        for _ in range(6):
+            words = list(base)
+            for _ in range(rng.randrange(1 + len(base) // 12)):
+                at = rng.randrange(len(words))
+                words[at : at + 1] = rng.choice([[], [f"new{rng.randrange(9)}"], [words[at], words[at]]])
+            rows.append(" ".join(words))
+    rows += ["One two", "one  TWO", "one two three four five", "", None, " \n", "a b a b a b a b a b", "word " * 40_000, "word " * 50_000]
+    return [(i, t) for i, t in enumerate(rows)]
+
+
+def test_similar_links_span_all_pairs_at_the_threshold(spark):
+    rows = similar_rows()
+    sets = {i: slow_shingles(t) for i, t in rows}
+    want = reach(sets, [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8])
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, node int, size int").repartition(3)
+    found = [tuple(r) for r in similar_links(docs).collect()]
+    assert reach(sets, found) == want
+    assert any(want[i] != i and sets[i] != sets[want[i]] for i in want)
+
+
+def test_similar_links_compare_across_components(spark):
+    """Many texts alike, of which strays resemble only some: no link between components is lost."""
+    base = [f"b{i}" for i in range(100)]
+    rows = [(i, " ".join(base[i : i + 60])) for i in range(0, 40, 4)]
+    rows += [(100 + i, " ".join([f"x{i}-{k}" for k in range(30)] + base[40:70])) for i in range(20)]
+    sets = {i: slow_shingles(t) for i, t in rows}
+    want = reach(sets, [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8])
+    found = [tuple(r) for r in similar_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert reach(sets, found) == want
+    assert all(want[i] == i for i in sets if i >= 100)
+
+
+def test_similar_links_of_odd_rows(spark):
+    same = "some words that are long enough to make a few shingles of five"
+    rows = [(None, same), (1, same), (1, same + " x"), (2, same), (2, "quite another text of seven words"), (3, None), (4, None), (5, "")]
+    found = reach({1, 2, 3, 4, 5}, [tuple(r) for r in similar_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()])
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert similar_links(empty).collect() == []
+    with pytest.raises(ValueError):
+        similar_links(empty, similarity=0.5)
