@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.components import write_scratch
+from feedloom.llm.components import components, write_scratch
 from feedloom.llm.decontaminate import benchmark_matches
 from feedloom.llm.language import UNDETERMINED, fit_language
 from feedloom.llm.packing import pack
+from feedloom.llm.resemblance import similar_links
 from feedloom.llm.simhash import simhash_groups
 from feedloom.llm.substrings import substring_dedup
 
@@ -36,11 +37,17 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one row stays: of those with the smallest id, that of the smallest text hash."""
+    """Of each group of near-duplicates one row stays: of those with the smallest id, that of the smallest text hash.
+
+    Rows link if their fingerprints differ in three bits or fewer, or if the Jaccard similarity of their sets of
+    five-word shingles is 0.8 or more; a group is what links connect.
+    """
     rows, _ = write_scratch(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")), "rows")
     place = F.struct(F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("hash"), "number")
     placed = rows.select(F.when(F.col("row.doc_id").isNotNull(), place).alias("place"), F.col("row.text").alias("text"))
-    gone = simhash_groups(placed, id_col="place").filter("id <> component").select("id.number")
+    near = simhash_groups(placed, id_col="place").filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    found = components(near.unionByName(similar_links(placed, id_col="place")))
+    gone = found.filter("node <> component").select("node.number")
     return rows.join(gone, "number", "left_anti").select("row.*")
 
 
