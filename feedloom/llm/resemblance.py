@@ -9,9 +9,9 @@ only by the exact similarity of their whole sets.
 
 No group is expanded into all its pairs. First every node of a key is compared with one node of it,
 and what links falls into components. Then only nodes of one key that lie in different components
-are compared, if their sizes and their sketches (two bits of each minimum) allow 0.8: a pair at 0.8
-differs in 24 of 240 bits on average, and one beyond `SKETCH_BITS` is passed over, which is five
-standard deviations away. What comes back spans the same components as all links.
+are compared. Sets are compared if their sizes and their sketches (two bits of each minimum) allow
+0.8: a pair at 0.8 differs in 24 of 240 bits on average, and one beyond `SKETCH_BITS` is passed
+over, which is five standard deviations away. What comes back spans the same components as all links.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a text of fewer words than a
 shingle has all of them as its only shingle; a null text or one without a word has no set and no link.
@@ -70,6 +70,15 @@ def shingle_sets(part: Texts, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(owner, np.arange(len(part) + 1))
 
 
+def _digests(hashes: np.ndarray, begin: np.ndarray, some: np.ndarray) -> list[bytes]:
+    """Sixteen bytes for each of some sets, none of them empty; equal sets have equal ones."""
+    if not len(some):
+        return []
+    sums = [np.add.reduceat(mix(hashes ^ np.uint64(c)), begin[some]) for c in (0x5BD1E995, 0x27D4EB2F)]
+    raw = np.column_stack([mix(sums[0] + np.diff(begin)[some].astype(np.uint64)), sums[1]]).astype("<u8").tobytes()
+    return [raw[at : at + 16] for at in range(0, len(raw), 16)]
+
+
 def _sketches(part: Texts, shingle: int) -> pa.StructArray:
     hashes, begin = shingle_sets(part, shingle)
     size = np.diff(begin)
@@ -83,9 +92,7 @@ def _sketches(part: Texts, shingle: int) -> pa.StructArray:
     padded = np.zeros((64 * SKETCH_LONGS, len(some)), np.uint8)
     padded[: len(bits)] = bits
     sketch = np.ascontiguousarray(np.packbits(padded.T, axis=1, bitorder="little")).view(np.uint64)
-    sums = [np.add.reduceat(mix(hashes ^ np.uint64(c)), at) if len(some) else np.empty(0, np.uint64) for c in (0x5BD1E995, 0x27D4EB2F)]
-    digest = np.column_stack([mix(sums[0] + size[some].astype(np.uint64)), sums[1]]).astype("<u8").tobytes()
-    nodes = pa.array([digest[16 * i : 16 * i + 16] for i in range(len(some))], pa.binary())
+    nodes = pa.array(_digests(hashes, begin, some), pa.binary())
     place = np.full(len(part), -1)
     place[some] = np.arange(len(some))
     taken = pa.array(place, mask=place < 0)
@@ -108,24 +115,18 @@ def sketch_column(text: Column, shingle: int = 5) -> Column:
     return F.arrow_udf(compute, SKETCH)(text)
 
 
-def jaccard_column(left: Column, right: Column, shingle: int = 5) -> Column:
-    """The similarity of the shingle sets of two texts; 0 where one has no shingle."""
-
-    def sets(column: pa.Array) -> Iterator[np.ndarray]:
-        for part in texts(column):
+def _set_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """`node, hashes` for rows `node, text` whose text has the set the node stands for."""
+    for batch in batches:
+        wanted = batch.column("node")
+        for part in texts(batch.column("text")):
             hashes, begin = shingle_sets(part, shingle)
-            yield from (hashes[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True))
-
-    def compute(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for one, other in batches:
-            found = []
-            for x, y in zip(sets(one), sets(other), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                found.append(both / (len(x) + len(y) - both) if both else 0.0)
-            yield pa.array(found, pa.float64())
-
-    compute.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    return F.arrow_udf(compute, "double")(left, right)
+            some = np.flatnonzero(np.diff(begin))
+            own = dict(zip(some.tolist(), _digests(hashes, begin, some), strict=True))
+            nodes = wanted.slice(part.first, len(part))
+            sets = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(hashes.view(np.int64)))
+            same = pa.array([own.get(i) == n for i, n in enumerate(nodes.to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([nodes, sets], ["node", "hashes"]).filter(same)
 
 
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -149,8 +150,9 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stars = members.filter(F.col("node") != F.col("centre.node")).select(
         F.col("centre.node").alias("left"), F.col("node").alias("right"), F.col("centre.size").alias("left_size"), F.col("size").alias("right_size")
     )
-    texts_of, _ = write_scratch(_bodies(named, nodes, members, shingle), "texts")
-    found, _ = write_scratch(_verified(stars.filter(fits).select("left", "right").distinct(), texts_of, shingle, similarity), "links")
+    alike = _alike(stars.filter(fits).select("left", "right").distinct(), nodes.select("node", *sketch), sketch)
+    sets, _ = write_scratch(_sets(named, nodes, members, shingle), "sets")
+    found, _ = write_scratch(_verified(alike, sets, similarity), "links")
 
     reached = components(found.select(F.col("left").alias("a"), F.col("right").alias("b")))
     placed, _ = write_scratch(
@@ -161,9 +163,8 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = placed.join(torn, "key", "left_semi").filter("node <> centre").join(nodes.select("node", *sketch), "node")
     x = rest.select("key", *(F.col(c).alias(f"left{'' if c == 'node' else '_' + c}") for c in ("node", "size", "component", *sketch)))
     y = rest.select("key", *(F.col(c).alias(f"right{'' if c == 'node' else '_' + c}") for c in ("node", "size", "component", *sketch)))
-    differing = sum((F.bit_count(F.col(f"left_{c}").bitwiseXOR(F.col(f"right_{c}"))) for c in sketch), start=F.lit(0))
-    across = x.join(y, "key").filter((F.col("left") < F.col("right")) & (F.col("left_component") != F.col("right_component")) & fits & (differing <= SKETCH_BITS))
-    more = _verified(across.select("left", "right").distinct(), texts_of, shingle, similarity)
+    across = x.join(y, "key").filter((F.col("left") < F.col("right")) & (F.col("left_component") != F.col("right_component")) & fits & _close(sketch))
+    more = _verified(across.select("left", "right").distinct(), sets, similarity)
     ids = nodes.select("node", "least")
     linked = (
         found.unionByName(more)
@@ -173,19 +174,37 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return same.unionByName(linked.select("a", "b"))
 
 
-def _bodies(named: DataFrame, nodes: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
-    """`node, text`: one text for each candidate; of rows that share an id, one that has the node's set."""
+def _close(sketch: list[str]) -> Column:
+    differing = (F.bit_count(F.col(f"left_{c}").bitwiseXOR(F.col(f"right_{c}"))) for c in sketch)
+    return sum(differing, start=F.lit(0)) <= SKETCH_BITS
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, sketch: list[str]) -> DataFrame:
+    """The pairs `left, right` whose sketches allow the similarity."""
+    for side in ("left", "right"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in sketch)), side)
+    return pairs.filter(_close(sketch)).select("left", "right")
+
+
+def _sets(named: DataFrame, nodes: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """`node, hashes`: the shingle set of each candidate; of rows that share an id, from one that has it."""
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("id"))
-    found = named.join(wanted, "id").withColumn("own", sketch_column(F.col("text"), shingle)["node"])
-    return found.filter("own = node").select("node", "text").dropDuplicates(["node"])
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _set_batches(batches, shingle)
+
+    found = named.join(wanted, "id").select("node", "text").mapInArrow(compute, "node binary, hashes array<bigint>")
+    return found.dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, texts_of: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of node pairs `left, right` those whose texts are similar enough; a node of many pairs meets them in portions."""
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of node pairs `left, right` those whose sets are similar enough; a node of many pairs meets them in portions."""
+    pairs, _ = write_scratch(pairs, "pairs")
     portions = pairs.groupBy("left").agg(F.ceil(F.count(F.lit(1)) / PORTION).alias("portions"))
-    lefts = portions.join(texts_of.select(F.col("node").alias("left"), F.col("text").alias("left_text")), "left")
-    lefts = lefts.select("left", "left_text", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"))
+    lefts = portions.join(sets.select(F.col("node").alias("left"), F.col("hashes").alias("left_set")), "left")
+    lefts = lefts.select("left", "left_set", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"))
     dealt = pairs.join(portions, "left").select("left", "right", F.pmod(F.xxhash64("right"), F.col("portions")).alias("portion"))
-    both = dealt.join(texts_of.select(F.col("node").alias("right"), F.col("text").alias("right_text")), "right").join(lefts, ["left", "portion"])
-    judged = both.select("left", "right", jaccard_column(F.col("left_text"), F.col("right_text"), shingle).alias("similarity"))
+    both = dealt.join(sets.select(F.col("node").alias("right"), F.col("hashes").alias("right_set")), "right").join(lefts, ["left", "portion"])
+    shared = F.size(F.array_intersect("left_set", "right_set"))
+    judged = both.select("left", "right", (shared / (F.size("left_set") + F.size("right_set") - shared)).alias("similarity"))
     return judged.filter(F.col("similarity") >= similarity).select("left", "right")
