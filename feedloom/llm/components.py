@@ -1,8 +1,9 @@
 """Connected components by alternating large and small stars, all in tables.
 
 Every round rewrites the edges towards the smallest neighbour known and writes them to the shared
-folder, so lineage stays short and nothing is collected. Hot nodes are aggregated map-side; the join
-that hands a minimum back to its edges can be split by adaptive execution.
+folder, so lineage stays short and nothing is collected. Hot nodes are aggregated map-side. Where a
+minimum goes back to the edges of its node, nodes with over one in `HUB_SHARE` of the edges (64 edges
+at least) are broadcast, of which there are never more than twice `HUB_SHARE`; the others are joined.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 
 from feedloom.sources.staging import checkpoint_root
 
+#: Nodes with more than this part of all edges, and more than `LEAST_HUB` edges, are handed out by broadcast.
+HUB_SHARE = 2000
+LEAST_HUB = 64
+
 
 def write_scratch(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write a table under the shared checkpoint folder; the table read back, and its path."""
@@ -37,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     now, path = write_scratch(pairs, "edges")
     state = _digest(now)
     while state[0]:
-        after, after_path = write_scratch(_small_star(_large_star(now)), "edges")
+        after, after_path = write_scratch(_small_star(_large_star(now, state[0]), state[0]), "edges")
         after_state = _digest(after)
         remove_scratch(spark, path)
         now, path, done = after, after_path, after_state == state
@@ -53,15 +58,25 @@ def _digest(edges: DataFrame) -> tuple[int, int]:
     return row[0], row[1]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, node: str, neighbour: str, total: int) -> DataFrame:
+    """The edges with `m`, the smallest neighbour of their node; no task gets all edges of a hub."""
+    least = edges.groupBy(node).agg(F.min(neighbour).alias("m"), F.count(F.lit(1)).alias("n"))
+    bound = max(LEAST_HUB, total // HUB_SHARE)
+    hubs = F.broadcast(least.filter(F.col("n") > bound).select(node, F.col("m").alias("hub_m")))
+    marked = edges.join(hubs, node, "left")
+    plain = marked.filter("hub_m is null").drop("hub_m").join(least.filter(F.col("n") <= bound).select(node, "m"), node)
+    return marked.filter("hub_m is not null").withColumnRenamed("hub_m", "m").unionByName(plain)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Larger neighbours of a node are tied to the smallest of it and its neighbours."""
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    told = _with_least(both, "u", "v", total).filter("v > u")
+    return told.select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """A node and its smaller neighbours are tied to the smallest of these."""
     least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = edges.join(least, "hi").filter("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    moved = _with_least(edges, "hi", "lo", total).filter("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return moved.unionAll(least.select("hi", F.col("m").alias("lo"))).distinct()

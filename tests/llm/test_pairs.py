@@ -36,6 +36,9 @@ def test_components_of_chains_stars_and_loops(spark):
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = reach({n for x in links for n in x}, links)
     assert all(found.get(n, n) == c for n, c in want.items())
+    hubs = [(0, i) for i in range(1, 200)] + [(i, 500) for i in range(150, 300)] + [(1000 + i, 900) for i in range(180)]
+    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(hubs, "a long, b long")).collect()}
+    assert found == reach({n for x in hubs for n in x}, hubs)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
