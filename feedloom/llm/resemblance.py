@@ -29,11 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.components import components, write_scratch
-from feedloom.llm.textarrays import NOT_SPACE, Texts, mix, run_hashes, texts
+from feedloom.llm.textarrays import NOT_SPACE, Texts, mix, texts
 
 BANDS, ROWS = 30, 4
 SKETCH_LONGS = 4
 SKETCH_BITS = 52
+#: Bytes of text hashed at once, but never less than one text.
+CHUNK = 1 << 18
 #: Nodes compared with one node go in portions of this many, each to a task of its own.
 PORTION = 256
 
@@ -42,25 +44,51 @@ _FLIP = _draw.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _TIMES = _draw.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _draw.integers(0, 2**63, (BANDS, 1), dtype=np.uint64)
 _ROW = _draw.integers(0, 2**63, (1, ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE = _draw.integers(0, 2**63, 256, dtype=np.uint64)
+_STEP = np.uint64(0xD1342543DE82EF95)
+_NEAR = np.multiply.accumulate(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 SKETCH = f"node binary, size int, keys array<bigint>, {', '.join(f's{i} bigint' for i in range(SKETCH_LONGS))}"
 
 
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each word; needs no table as long as the text."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    length = ends - starts
+    begin = np.cumsum(length) - length
+    at = np.arange(int(length.sum())) - np.repeat(begin, length)
+    far = np.multiply.accumulate(np.full(int(length.max()) // len(_NEAR) + 1, _STEP, np.uint64))
+    weighted = _BYTE[data[at + np.repeat(starts, length)]] * _NEAR[at % len(_NEAR)] * far[at // len(_NEAR)]
+    return mix(np.add.reduceat(weighted, begin) + length.astype(np.uint64))
+
+
+def _runs(words: np.ndarray, length: int) -> np.ndarray:
+    """A hash of every run of `length` consecutive words."""
+    n = len(words) - length + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    total = np.full(n, length, np.uint64)
+    for k in range(length):
+        total = mix(total + words[k : k + n]) * _STEP
+    return mix(total)
+
+
 def shingle_sets(part: Texts, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text, ascending, one text after another, and where each text begins."""
     lowered = Texts(part.first, _LOWER[part.data], part.offsets)
     starts, ends, first = lowered.spans(NOT_SPACE)
-    words = lowered.span_hashes(starts, ends)
+    words = _word_hashes(lowered.data, starts, ends)
     n = np.diff(first)
     owner = np.repeat(np.arange(len(part)), n)
-    hashes = run_hashes(words, shingle)
+    hashes = _runs(words, shingle)
     whole = owner[: len(hashes)] == owner[shingle - 1 :] if len(hashes) else np.empty(0, bool)
     hashes, owner = hashes[whole], owner[: len(hashes)][whole]
     short = np.flatnonzero((n > 0) & (n < shingle))
     if len(short):
-        alone = np.array([run_hashes(words[first[i] : first[i + 1]], int(n[i]))[0] for i in short], np.uint64)
+        alone = np.array([_runs(words[first[i] : first[i + 1]], int(n[i]))[0] for i in short], np.uint64)
         hashes, owner = np.concatenate([hashes, alone]), np.concatenate([owner, short])
     order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]
@@ -103,23 +131,26 @@ def _sketches(part: Texts, shingle: int) -> pa.StructArray:
     return pa.StructArray.from_arrays([f.take(taken) for f in fields], names)
 
 
-def sketch_column(text: Column, shingle: int = 5) -> Column:
-    """`node, size, keys, s0..` of a text's shingle set; all null where it has none."""
+def sketches(rows: DataFrame, shingle: int = 5) -> DataFrame:
+    """`id, node, size, keys, s0..` for rows `id, text`; rows whose text has no shingle go. Small batches leave, texts stay behind."""
 
-    def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
-            found = [_sketches(part, shingle) for part in texts(column)]
-            yield pa.concat_arrays(found) if found else _sketches(Texts(0, np.empty(0, np.uint8), np.zeros(1, np.int64)), shingle)
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id")
+            for part in texts(batch.column("text"), CHUNK):
+                found = _sketches(part, shingle)
+                kept = found.field("node").is_valid()
+                columns = [ids.slice(part.first, len(part)), *found.flatten()]
+                yield pa.RecordBatch.from_arrays(columns, ["id", *(f.name for f in found.type)]).filter(kept)
 
-    compute.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(compute, SKETCH)(text)
+    return rows.select("id", "text").mapInArrow(compute, f"id {rows.schema['id'].dataType.simpleString()}, {SKETCH}")
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """`node, hashes` for rows `node, text` whose text has the set the node stands for."""
     for batch in batches:
         wanted = batch.column("node")
-        for part in texts(batch.column("text")):
+        for part in texts(batch.column("text"), CHUNK):
             hashes, begin = shingle_sets(part, shingle)
             some = np.flatnonzero(np.diff(begin))
             own = dict(zip(some.tolist(), _digests(hashes, begin, some), strict=True))
@@ -137,7 +168,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not 0.8 <= similarity <= 1:
         raise ValueError("the similarity is 0.8 to 1")
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    marked, _ = write_scratch(named.select("id", sketch_column(F.col("text"), shingle).alias("s")).select("id", "s.*").filter("node is not null"), "sketches")
+    marked, _ = write_scratch(sketches(named, shingle), "sketches")
     sketch = [f"s{i}" for i in range(SKETCH_LONGS)]
     classes = marked.groupBy("node").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("size", "keys", *sketch)))
     nodes, _ = write_scratch(classes, "nodes")
