@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,13 +84,17 @@ def work_off(
     tagger: TagBackend | None = None,
     fulltext: DataFrame | None = None,
 ) -> None:
-    """Passes over what the quota left.
+    """Passes over what the quota left, as nothing is to be waited for.
 
+    The first takes a quota, each other twice as many articles as the one before, so that the
+    backlog is read and its days are rewritten a number of times that grows with its logarithm.
     Failed articles queue behind all others, so a pass that translates nothing and
-    tries nothing but what failed before is the last one.
+    tries nothing but what failed before is the last one. It takes as many articles as all
+    passes over this batch before it together, so each that failed in one of them is tried twice.
     """
-    while True:
-        result = run_on_store(store, options, translator, tagger, fulltext, batch_id=batch_id)
+    for doubled in count():
+        taking = replace(options, quota=options.quota << doubled)
+        result = run_on_store(store, taking, translator, tagger, fulltext, batch_id=batch_id)
         translated, fresh = result.progress()
         result.forget()
         if not translated and not fresh:

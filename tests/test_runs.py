@@ -23,6 +23,7 @@ from feedloom.sources import index
 from feedloom.sources.index import bucket_name, newest_rows
 from feedloom.sources.store import TableStore, clean_references, run_on_store, settle_days
 from feedloom.sources.tables import Tables, empty, migrate_translations, read_or_create
+from feedloom.streaming import loop
 from feedloom.streaming.loop import ARRIVALS, start, take_in
 
 ship_by_value(__name__)
@@ -394,6 +395,25 @@ def test_failing_articles_move_behind_the_others(spark, tmp_path):
     assert store.read("entries").where("title = 'T(bad)'").count() == 2
 
 
+def test_passes_over_a_backlog_grow_with_its_logarithm(spark, tmp_path, monkeypatch):
+    passes = []
+
+    def counted(*args, **named):
+        passes.append(args[1].quota)
+        return run_on_store(*args, **named)
+
+    monkeypatch.setattr(loop, "run_on_store", counted)
+    store = empty_store(spark, str(tmp_path / "store"))
+    arriving(spark, str(tmp_path / "in"), [(i, "bad" if i < 4 else "t") for i in range(1, 6)])
+    few = replace(OPTIONS, quota=1)
+    start(store, str(tmp_path / "in"), str(tmp_path / "cp"), lambda _: few, rejecting).awaitTermination()
+    assert passes == [1, 1, 2, 4, 8]
+    assert store.read("entries").where("title = 'T(t)'").count() == 2
+    # more articles fail than a quota takes, and all of them were tried again
+    attempts = {r.entry_id: r.attempts for r in store.read("attempts").collect()}
+    assert set(attempts) == {1, 2, 3} and min(attempts.values()) > 1
+
+
 def test_failed_articles_wait(spark, tmp_path):
     store = empty_store(spark, str(tmp_path / "store"))
     arriving(spark, str(tmp_path / "in"), [(1, "bad"), (2, "b")])
