@@ -27,6 +27,9 @@ TextBackend = Callable[[list[str]], "list[str] | str"]
 ANSWER_NAMES = ("output", "reply", "call_error", "format_error")
 ANSWER_TYPES = (pa.list_(pa.string()), pa.string(), pa.string(), pa.bool_())
 
+# Chunks whose texts and answers a task holds as objects at a time.
+CALLED_ROWS = 64
+
 COUNT_ERROR = "the backend answered with another number of texts than it was asked for"
 
 
@@ -91,7 +94,9 @@ def call_per_chunk(chunks: DataFrame, inputs: str, backend: Callable, decode: bo
     schema = schema.add("call_error", "string").add("format_error", "boolean")
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # a batch may hold ten thousand chunks
+        parts = (batch.slice(at, CALLED_ROWS) for batch in batches for at in range(0, batch.num_rows, CALLED_ROWS))
+        for batch in parts:
             said = [_ask_once(backend, texts, decode) for texts in batch.column(inputs).to_pylist()]
             answers = [
                 pa.array(column, kind)
