@@ -24,6 +24,7 @@ from feedloom.operators.packing import pack
 from feedloom.operators.segments import (
     explode_segments,
     gather_translations,
+    glued_segments,
     is_translatable,
     rebuilt_html,
     split_whitespace,
@@ -76,22 +77,16 @@ _segments_query("page_segments", "pages", "page_id", "html")
 _segments_query("entry_segments", "entries", "id", "content")
 
 
-# Two hundred pages each glued into very long documents, more of them in a larger table.
+# Pages glued into a few very long documents.
 @query(
     "long_document_segments",
     f"select part, seq, prefix, core, suffix from ({S.segments('glued', 'part', 'html')})",
-    "glued as (select page_id // 200 as part, string_agg(html, '' order by page_id) as html"
+    "glued as (select page_id % 4 as part, string_agg(html, '' order by page_id) as html"
     " from pages group by 1)",
 )
 def long_document_segments(spark, sf_dir):
-    part = F.floor(F.col("page_id") / 200).alias("part")
-    rows = load(spark, sf_dir, "pages").select(part, "page_id", "html")
-    ordered = F.array_sort(F.collect_list(F.struct("page_id", "html")))
-    glued = rows.groupBy("part").agg(ordered.alias("rows")).select(
-        "part", F.array_join(F.transform("rows", lambda r: r["html"]), "").alias("html")
-    )
-    found = explode_segments(with_segments(with_runs(glued, "html")), "part")
-    return found.withColumn("seq", F.col("seq").cast("bigint"))
+    rows = load(spark, sf_dir, "pages").select((F.col("page_id") % 4).alias("part"), "page_id", "html")
+    return glued_segments(rows, "part", "page_id", "html")
 
 
 @query(

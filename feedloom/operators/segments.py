@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import chain, groupby, islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from feedloom.functions.markup import runs_of
+from feedloom.functions.markup import glued_runs, runs_of
+from feedloom.functions.shipping import ship_by_value
 from feedloom.functions.text import (
     escape_markup,
     excerpt,
@@ -16,6 +23,11 @@ from feedloom.functions.text import (
     strip,
 )
 
+ship_by_value(__name__)
+
+# Segments of a glued document that are handed on at a time.
+GLUED_ROWS = 512
+
 # Text directly inside these elements is never translated.
 PROTECTED = ("script", "style", "noscript", "code", "pre", "textarea", "svg", "math")
 
@@ -93,6 +105,41 @@ def explode_segments(df: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, "seq", *split_whitespace(F.col("text")))
 
 
+def glued_segments(df: DataFrame, part: str, order: str, html: str) -> DataFrame:
+    """The segments of documents glued from many rows: ``part``, ``seq``, prefix, core, suffix.
+
+    The html of a document is that of its rows in ``order``, nulls left out. What a row
+    leaves open decides how the next one reads, so a document is read by one task, but a row at
+    a time: neither its html nor its runs are ever held as a whole. Rows of one place go by their html.
+    """
+    kept = df.where(F.col(html).isNotNull()).select(part, order, html)
+    translatable = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{m[1]:0>4}", TRANSLATABLE))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (
+            (batch.column(part)[i], batch.column(html)[i].as_py())
+            for batch in batches
+            for i in range(batch.num_rows)
+        )
+        for _, group in groupby(rows, lambda row: row[0].as_py()):
+            key, first = next(group)
+            found = (
+                text
+                for text, parent in glued_runs(chain([first], (piece for _, piece in group)))
+                if parent not in PROTECTED and translatable.search(text)
+            )
+            seq = 0
+            while texts := list(islice(found, GLUED_ROWS)):
+                numbers = pa.array(range(seq, seq + len(texts)), pa.int64())
+                columns = [pa.repeat(key, len(texts)), numbers, pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [part, "seq", "text"])
+                seq += len(texts)
+
+    schema = StructType([kept.schema[part]]).add("seq", "long").add("text", "string")
+    found = kept.repartition(part).sortWithinPartitions(part, order, html).mapInArrow(read, schema)
+    return found.select(part, "seq", *split_whitespace(F.col("text")))
+
+
 def texts_to_translate(df: DataFrame, *keys: str, title: str) -> DataFrame:
     """The payload of every article: its raw title unless blank, then the cores."""
     body = F.transform(

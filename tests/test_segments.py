@@ -3,13 +3,16 @@ import uuid
 from dataclasses import replace
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from feedloom import EnrichOptions
-from feedloom.functions.markup import text_runs
+from feedloom.functions import markup
+from feedloom.functions.markup import glued_runs, text_runs
 from feedloom.operators.segments import (
     explode_segments,
+    glued_segments,
     rebuilt_html,
     texts_to_translate,
     with_excerpt,
@@ -187,3 +190,27 @@ def test_what_was_answered_is_not_asked_again(spark, tmp_path):
     assert after - asked == len(set(failing))
     assert run("b")[0] == want
     assert run("b")[1] - after > after - asked
+
+
+def test_pieces_of_html_give_the_runs_of_the_whole():
+    parts = ["<p>a &am", "p; b</p><scr", "ipt>if (a<b", ") x</script><!-- <p>", "c</p> --><code>d", "</code>e<", "br>f &lt", " g"]
+    whole = [(r["text"], r["parent"]) for r in text_runs("".join(parts))[:-1]]
+    assert list(glued_runs(parts)) == whole and len(whole) == 5
+
+
+def test_documents_of_many_rows(spark):
+    rows = [(i, i % 3 if i < 30 else None, None if i == 7 else f"<p>{i} a</p>text {i} <pre>" if i % 5 == 2 else f"go on {i}</pre>&amp") for i in range(33)]
+    df = spark.createDataFrame(rows, "id long, part long, html string")
+    got = {(r.part, r.seq): (r.prefix, r.core, r.suffix) for r in glued_segments(df, "part", "id", "html").collect()}
+    glued = [(part, "".join(h for _, p, h in rows if p == part and h)) for part in (0, 1, 2, None)]
+    whole = with_segments(with_runs(spark.createDataFrame(glued, "part long, html string"), "html"))
+    want = {(r.part, r.seq): (r.prefix, r.core, r.suffix) for r in explode_segments(whole, "part").collect()}
+    assert got == want
+
+
+def test_runs_are_made_of_a_few_pages_at_a_time(monkeypatch):
+    monkeypatch.setattr(markup, "SLICE_CHARS", 100)
+    html = [None, "<p>a</p>" * 40, "", *["<b>c</b>"] * 99]
+    made = list(markup._text_runs(iter([pa.array(html), pa.array([], pa.string())])))
+    assert max(len(part) for part in made) <= 14
+    assert [runs for part in made for runs in part.to_pylist()] == [text_runs(h or "") for h in html]
