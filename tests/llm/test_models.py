@@ -72,6 +72,28 @@ def test_scores_of_odd_texts_and_missing_labels(spark):
     assert odd.filter("false").select(fit_toxicity(odd, labels).score(F.col("text"))).count() == 0
 
 
+def test_quality_counts_every_row_and_pair(spark):
+    rng = np.random.default_rng(8)
+    y = (rng.random(9000) < 0.35).astype(int)
+    x = np.zeros((len(y), len(FEATURES)))
+    x[:, :3] = rng.normal(size=(len(y), 3)) + y[:, None] * [0.8, -0.5, 0.0]
+    # far fewer than all rows would hardly show the last feature
+    x[:, 3] = (y == 1) & (rng.random(len(y)) < 0.002)
+    docs = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "doc_id long, features array<double>")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    model = fit_quality(docs, labels)
+    spread = np.where(x.std(axis=0) < 1e-9, 1.0, x.std(axis=0))
+    z = (x - x.mean(axis=0)) / spread
+    w = model.weights * spread
+    lose = 1 / (1 + np.exp((z[y == 1] @ w)[:, None] - (z[y == 0] @ w)[None, :]))
+    slope = 1e-3 * w - (lose.mean(axis=1) @ z[y == 1] / (y == 1).sum() - lose.mean(axis=0) @ z[y == 0] / (y == 0).sum())
+    assert np.abs(slope).max() < 1e-4
+    strength = np.sort(sum(model.weights[i] * x[:, i] for i in range(4)))
+    zeros = int((y == 0).sum())
+    assert strength[zeros - 1] <= model.threshold <= strength[zeros]
+    assert abs(model.threshold - (strength[zeros - 1] + strength[zeros]) / 2) < 1e-9
+
+
 def test_unseen_misspellings_are_toxic(spark):
     rng = random.Random(2)
     plain = lambda: " ".join("".join(rng.choice("bcdfgh") + rng.choice("aeiou") for _ in range(3)) for _ in range(30))
