@@ -51,7 +51,8 @@ def pack(
     keys = [F.col(stream)] if stream else []
     placed = df if numbered else with_positions(df, [*keys, *order])
     if stream:
-        starts = placed.groupBy(stream).agg(F.min("position").alias("_start"))
+        last = (F.max("position") - F.min("position")).alias("_last")
+        starts = placed.groupBy(stream).agg(F.min("position").alias("_start"), last)
         placed = placed.join(starts, stream)
     else:
         placed = placed.withColumn("_start", F.lit(0).cast("bigint"))
@@ -61,17 +62,25 @@ def pack(
         .withColumn("_block", F.floor(local / block_items))
         .withColumn("_size", F.col(size).cast("bigint"))
     )
+    schema, short = df.drop("position").schema, None
+    if stream:
+        # streams that fit a block need no blocks of their own: a group takes all that start in one
+        short = _mark_streams(sized.where(F.col("_last") < block_items), schema, max_items, max_size, block_items)
+        sized = sized.where(F.col("_last") >= block_items)
     # the first items of a block are also shown to the block before it
     shared = (F.col("_block") > 0) & (F.col("_local") % block_items < max_items)
     shown = F.when(shared, F.array("_block", F.col("_block") - 1)).otherwise(F.array("_block"))
     views = sized.withColumn("_view", F.explode(shown)).drop("_block")
 
     longest = sized.agg(F.max("_local")).first()[0]
+    if stream and longest is None:
+        return short
     entries = None
     if longest is not None and longest >= block_items:
         narrow = views.select("_start", "_view", "_local", "_size")
         entries = _block_entries(narrow, max_items, max_size, block_items, group_blocks)
-    return _mark_chunks(views, entries, df.drop("position").schema, max_items, max_size, block_items)
+    marked = _mark_chunks(views, entries, schema, max_items, max_size, block_items)
+    return short.unionByName(marked) if stream else marked
 
 
 def next_starts(sizes: np.ndarray, max_items: int, max_size: int) -> np.ndarray:
@@ -149,6 +158,30 @@ def _block_entries(narrow, max_items, max_size, block_items, group_blocks):
     )
 
 
+def _mark_streams(sized, schema, max_items, max_size, block_items):
+    """The items of streams of at most a block with their chunk, many streams at a time."""
+    columns = [*schema.names, "position"]
+
+    def mark(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["_start", "_local"])
+        opens = np.flatnonzero(rows["_local"].to_numpy() == 0)
+        ends = np.repeat([*opens[1:], len(rows)], np.diff([*opens, len(rows)]))
+        follow = np.minimum(next_starts(rows["_size"].to_numpy(), max_items, max_size), ends).tolist()
+        at, starts = 0, []
+        while at < len(follow):
+            starts.append(at)
+            at = follow[at]
+        chunk = np.repeat(rows["position"].to_numpy()[starts], np.diff([*starts, at]))
+        return rows[columns].assign(chunk_id=chunk)
+
+    grouped = sized.groupBy(F.floor(F.col("_start") / block_items).alias("_view"))
+    return grouped.applyInPandas(mark, _marked(schema))
+
+
+def _marked(schema: StructType) -> StructType:
+    return StructType([*schema.fields]).add("position", "long").add("chunk_id", "long")
+
+
 def _mark_chunks(views, entries, schema, max_items, max_size, block_items):
     """The items with their chunk, each from the block its chunk starts in."""
     columns = [*schema.names, "position"]
@@ -171,7 +204,7 @@ def _mark_chunks(views, entries, schema, max_items, max_size, block_items):
     def mark_entered(key: tuple, rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         return mark(key, rows, int(entry["_entry"].iloc[0]) if len(entry) else 0)
 
-    marked = StructType([*schema.fields]).add("position", "long").add("chunk_id", "long")
+    marked = _marked(schema)
     grouped = views.groupBy("_start", "_view")
     if entries is None:
         return grouped.applyInPandas(mark_first, marked)

@@ -7,6 +7,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from feedloom.operators import packing
 from feedloom.operators.ordering import with_positions
 from feedloom.operators.packing import exit_offsets, next_starts, pack
 
@@ -89,6 +90,23 @@ def test_streams_are_packed_by_themselves(spark):
         assert [r.chunk_id - base for r in part] == one_pass([r.s for r in part], 4, 20)
 
 
+def test_short_streams_share_groups(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("a group for each stream")
+
+    monkeypatch.setattr(packing, "_mark_chunks", refused)
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(60), rng.choice([0, 1, 3, 8, 25])) for i in range(900)]
+    df = spark.createDataFrame(rows, "i long, k long, s long")
+    packed = pack(df, [F.col("i")], "s", max_items=4, max_size=20, stream="k", block_items=100)
+    got = packed.orderBy("position").collect()
+    assert len(got) == 900
+    for _, part in itertools.groupby(got, key=lambda r: r.k):
+        part = list(part)
+        base = part[0].position
+        assert [r.chunk_id - base for r in part] == one_pass([r.s for r in part], 4, 20)
+
+
 def test_empty_input_packs_to_nothing(spark):
     rows = spark.createDataFrame([], "i long, s long")
     assert pack(rows, [F.col("i")], "s", max_items=4, max_size=20).count() == 0
