@@ -78,13 +78,25 @@ def translate_by_glossary(texts: DataFrame, glossary: DataFrame) -> DataFrame:
     ).drop("target")
 
 
-def call_per_chunk(chunks: DataFrame, inputs: str, backend: Callable, decode: bool) -> DataFrame:
+def _call_partitions(chunks: DataFrame) -> int:
+    # a fixed number of partitions: chunks are small, and merging them into few
+    # partitions would make the calls run one after another
+    return max(
+        chunks.sparkSession.sparkContext.defaultParallelism,
+        int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+    )
+
+
+def call_per_chunk(
+    chunks: DataFrame, inputs: str, backend: Callable, decode: bool, dealt: bool = False
+) -> DataFrame:
     """Call the backend once for every row of ``chunks`` and keep what it said.
 
     Adds ``output`` (a list it returned), ``reply`` (a text it returned, or
     JSON of what it returned if ``decode``), ``call_error`` and
     ``format_error``; ``inputs`` is dropped. The result is written before
-    anything reads it, so that branching off it does not call again.
+    anything reads it, so that branching off it does not call again. ``dealt``
+    says that the chunks are in the partitions they are to be called in.
     """
     if isinstance(backend, Remembered):
         return _call_for_new(chunks, inputs, backend, decode)
@@ -106,14 +118,8 @@ def call_per_chunk(chunks: DataFrame, inputs: str, backend: Callable, decode: bo
                 [batch.column(name) for name in kept] + answers, [*kept, *ANSWER_NAMES]
             )
 
-    # a fixed number of partitions: chunks are small, and merging them into few
-    # partitions would make the calls run one after another
-    spread = max(
-        chunks.sparkSession.sparkContext.defaultParallelism,
-        int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")),
-    )
-    called = chunks.repartition(spread, "chunk_key").mapInArrow(call, schema)
-    return stage(called, "replies")
+    placed = chunks if dealt else chunks.repartition(_call_partitions(chunks), "chunk_key")
+    return stage(placed.mapInArrow(call, schema), "replies")
 
 
 def _call_for_new(chunks: DataFrame, inputs: str, backend: Remembered, decode: bool) -> DataFrame:
@@ -158,19 +164,27 @@ def chunk_texts(
     lengths go through the packing.
     """
     sizes = texts.withColumn("size", F.length("text")).drop("text")
-    packed = pack(
+    packed = _packed(sizes, order, options, stream).select("entry_id", "seq", "position", "chunk_id")
+    return _gathered(texts.select("entry_id", "seq", "text").join(packed, ["entry_id", "seq"]))
+
+
+def _packed(sizes, order, options, stream=None) -> DataFrame:
+    return pack(
         sizes,
         order,
         "size",
         max_items=options.max_texts,
         max_size=options.max_chars,
         stream=stream,
-    ).select("entry_id", "seq", "position", "chunk_id")
+    ).drop("size")
+
+
+def _gathered(items: DataFrame) -> DataFrame:
+    """The chunks of ``items``, dealt out for the calls as they are gathered."""
     item = F.struct("position", "entry_id", "seq", "text")
     keys = F.transform("items", lambda i: i.dropFields("text"))
     return (
-        texts.select("entry_id", "seq", "text")
-        .join(packed, ["entry_id", "seq"])
+        items.repartition(_call_partitions(items), "chunk_id")
         .groupBy("chunk_id")
         .agg(F.array_sort(F.collect_list(item)).alias("items"))
         .select(
@@ -181,12 +195,12 @@ def chunk_texts(
     )
 
 
-def run_chunks(chunks: DataFrame, backend: TextBackend) -> DataFrame:
+def run_chunks(chunks: DataFrame, backend: TextBackend, dealt: bool = False) -> DataFrame:
     """One row per text: ``entry_id, seq, position, translated, error``.
 
     A chunk whose call failed or whose count is wrong fails as a whole.
     """
-    called = call_per_chunk(chunks, "inputs", backend, decode=False)
+    called = call_per_chunk(chunks, "inputs", backend, decode=False, dealt=dealt)
     answered = with_string_array(called, "reply", "parsed").withColumn(
         "answer", F.coalesce("output", "parsed")
     )
@@ -215,34 +229,44 @@ def translate_texts(
     """
     if options.distinct_texts:
         return _translate_distinct(texts, order, backend, options)
-    together = run_chunks(chunk_texts(texts, order, options), backend)
+    together = run_chunks(chunk_texts(texts, order, options), backend, dealt=True)
     failed = together.where(F.col("error").isNotNull()).select("entry_id").distinct()
     if failed.isEmpty():
         return together
     again = texts.join(failed, "entry_id", "left_semi")
-    alone = run_chunks(chunk_texts(again, [F.col("seq")], options, stream="entry_id"), backend)
+    alone = run_chunks(chunk_texts(again, [F.col("seq")], options, stream="entry_id"), backend, dealt=True)
     return together.join(failed, "entry_id", "left_anti").unionByName(alone)
 
 
 def _translate_distinct(texts, order, backend, options):
-    """Equal texts are sent once, at the place of the first; failed ones once more, each alone."""
-    same_text = Window.partitionBy("text").orderBy(*order)
-    first = texts.withColumn("_nth", F.row_number().over(same_text)).where("_nth = 1").drop("_nth")
-    together = run_chunks(chunk_texts(first, order, options), backend)
-    failed = together.where(F.col("error").isNotNull()).select("entry_id", "seq", "position")
+    """Equal texts are sent once, at the place of the first; failed ones once more, each alone.
+
+    Texts are told apart by their SHA-256, so that they move with their chunk only.
+    """
+    keyed = texts.withColumn("_same", F.unhex(F.sha2("text", 256)))
+    places = stage(keyed.withColumn("size", F.length("text")).drop("text"), "places")
+    same_text = Window.partitionBy("_same").orderBy(*order)
+    first = places.withColumn("_nth", F.row_number().over(same_text)).where("_nth = 1").drop("_nth")
+    key = ["entry_id", "seq", "_same"]
+    packed = stage(_packed(first, order, options).select(*key, "position", "chunk_id"), "packed")
+    # a row may come twice
+    sent = keyed.select(*key, "text").join(packed, key).dropDuplicates([*key, "position", "chunk_id"])
+    together = run_chunks(_gathered(sent), backend, dealt=True)
+    failed = together.where(F.col("error").isNotNull()).select("position")
     answers = together
     if not failed.isEmpty():
         # a text must not fail for another one in its chunk, whichever article that is from
-        again = first.join(failed, ["entry_id", "seq"]).select(
+        again = keyed.select(*key, "text").join(packed.join(failed, "position"), key)
+        again = again.dropDuplicates([*key, "position"]).select(
             F.concat_ws("-", "entry_id", "seq").alias("chunk_key"),
             F.array(F.struct("position", "entry_id", "seq")).alias("items"),
             F.array("text").alias("inputs"),
         )
         alone = run_chunks(again, backend)
         answers = together.where(F.col("error").isNull()).unionByName(alone)
-    by_text = first.select("entry_id", "seq", "text").join(answers, ["entry_id", "seq"])
+    by_text = packed.select("position", "_same").join(answers.drop("entry_id", "seq"), "position")
     return (
-        texts.select("entry_id", "seq", "text")
-        .join(by_text.drop("entry_id", "seq"), "text")
+        places.select("entry_id", "seq", "_same")
+        .join(by_text, "_same")
         .select("entry_id", "seq", "position", "translated", "error")
     )
