@@ -8,6 +8,8 @@ that hands a minimum back to its edges can be split by adaptive execution.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +17,21 @@ from pyspark.sql import functions as F
 from feedloom.sources.staging import checkpoint_root
 
 
+#: Makes Spark drop the shuffle files of a query when it ends, not when the driver collects its garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def write_scratch(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write a table under the shared checkpoint folder; the table read back, and its path."""
-    path = f"{checkpoint_root(df.sparkSession)}/llm/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/llm/{uuid.uuid4().hex}/{name}"
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def remove_scratch(spark: SparkSession, path: str) -> None:
@@ -27,6 +39,23 @@ def remove_scratch(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Gives a function that writes a table and reads it back; the tables are removed when the block ends."""
+    paths: list[str] = []
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        table, path = write_scratch(df, name)
+        paths.append(path)
+        return table
+
+    try:
+        yield write
+    finally:
+        for path in paths:
+            remove_scratch(spark, path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """`node, component` for every node of the edges `a, b`; a component is named by its smallest node.
 

@@ -9,9 +9,13 @@ only by the exact similarity of their whole sets.
 
 No group is expanded into all its pairs. First every node of a key is compared with one node of it,
 and what links falls into components. Then only nodes of one key that lie in different components
-are compared. Sets are compared if their sizes and their sketches (two bits of each minimum) allow
-0.8: a pair at 0.8 differs in 24 of 240 bits on average, and one beyond `SKETCH_BITS` is passed
-over, which is five standard deviations away. What comes back spans the same components as all links.
+are compared, inside tasks: one pass over the sketches tells which nodes have any pair to be judged
+under the key, the first that the two share; a second brings the whole sets of only these together.
+Keys with much to compare are dealt out in chunks, each pair of chunks to a task of its own, and what
+leaves a task is a spanning forest of its links. Sets are compared if their sizes and their sketches
+(two bits of each minimum) allow 0.8: a pair at 0.8 differs in 24 of 240 bits on average, and one
+beyond `SKETCH_BITS` is passed over, which is five standard deviations away. What comes back spans the
+same components as all links.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a text of fewer words than a
 shingle has all of them as its only shingle; a null text or one without a word has no set and no link.
@@ -21,14 +25,14 @@ components. Shingles are equal if their 64-bit hashes are. No rows give no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.components import components, write_scratch
+from feedloom.llm.components import components, scratch_tables, write_scratch
 from feedloom.llm.textarrays import NOT_SPACE, Texts, mix, texts
 
 BANDS, ROWS = 30, 4
@@ -38,6 +42,8 @@ SKETCH_BITS = 52
 CHUNK = 1 << 18
 #: Nodes compared with one node go in portions of this many, each to a task of its own.
 PORTION = 256
+#: Rows of sketches and hashes of sets that a chunk holds, and pairs that are compared at once.
+CHUNK_ROWS, CHUNK_HASHES, PAIRS_AT_ONCE = 1 << 13, 1 << 20, 1 << 16
 
 _draw = np.random.default_rng(20260110)
 _FLIP = _draw.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -168,34 +174,38 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not 0.8 <= similarity <= 1:
         raise ValueError("the similarity is 0.8 to 1")
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    marked, _ = write_scratch(sketches(named, shingle), "sketches")
+    with scratch_tables(docs.sparkSession) as write:
+        return write_scratch(_links(named, shingle, similarity, write), "links")[0]
+
+
+def _links(named: DataFrame, shingle: int, similarity: float, write: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    marked = write(sketches(named, shingle), "sketches")
     sketch = [f"s{i}" for i in range(SKETCH_LONGS)]
     classes = marked.groupBy("node").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("size", "keys", *sketch)))
-    nodes, _ = write_scratch(classes, "nodes")
+    nodes = write(classes, "nodes")
     same = marked.join(nodes.select("node", "least"), "node").filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
 
     dealt = nodes.select("node", "size", F.explode("keys").alias("key"))
     centres = dealt.groupBy("key").agg(F.min(F.struct("node", "size")).alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members, _ = write_scratch(dealt.join(centres.select("key", "centre"), "key"), "members")
+    members = write(dealt.join(centres.select("key", "centre"), "key"), "members")
     fits = F.least("left_size", "right_size") >= F.lit(similarity) * F.greatest("left_size", "right_size")
     stars = members.filter(F.col("node") != F.col("centre.node")).select(
         F.col("centre.node").alias("left"), F.col("node").alias("right"), F.col("centre.size").alias("left_size"), F.col("size").alias("right_size")
     )
-    alike = _alike(stars.filter(fits).select("left", "right").distinct(), nodes.select("node", *sketch), sketch)
-    sets, _ = write_scratch(_sets(named, nodes, members, shingle), "sets")
-    found, _ = write_scratch(_verified(alike, sets, similarity), "links")
+    alike = write(_alike(stars.filter(fits).select("left", "right").distinct(), nodes.select("node", *sketch), sketch), "pairs")
+    sets = write(_sets(named, nodes, members, shingle), "sets")
+    found = write(_verified(alike, sets, similarity), "stars")
 
     reached = components(found.select(F.col("left").alias("a"), F.col("right").alias("b")))
-    placed, _ = write_scratch(
+    placed = write(
         members.join(reached, "node", "left").select("key", "node", "size", F.col("centre.node").alias("centre"), F.coalesce("component", "node").alias("component")),
         "placed",
     )
     torn = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    rest = placed.join(torn, "key", "left_semi").filter("node <> centre").join(nodes.select("node", *sketch), "node")
-    x = rest.select("key", *(F.col(c).alias(f"left{'' if c == 'node' else '_' + c}") for c in ("node", "size", "component", *sketch)))
-    y = rest.select("key", *(F.col(c).alias(f"right{'' if c == 'node' else '_' + c}") for c in ("node", "size", "component", *sketch)))
-    across = x.join(y, "key").filter((F.col("left") < F.col("right")) & (F.col("left_component") != F.col("right_component")) & fits & _close(sketch))
-    more = _verified(across.select("left", "right").distinct(), sets, similarity)
+    rest = placed.join(torn, "key", "left_semi").filter("node <> centre").select("key", "node", "size", "component")
+    rest = write(rest.join(nodes.select("node", "keys", *sketch), "node"), "rest")
+    open_ = write(_open(rest, similarity), "open")
+    more = write(_across(open_, sets, similarity), "more")
     ids = nodes.select("node", "least")
     linked = (
         found.unionByName(more)
@@ -205,6 +215,126 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return same.unionByName(linked.select("a", "b"))
 
 
+def _dealt(rows: DataFrame, weight: Column, limit: int) -> DataFrame:
+    """The rows with `bin, k, l, own`: the rows of a key lie in chunks of about `limit`, each pair of chunks in a group `bin, k, l`.
+
+    Keys that fill no chunk share their bins.
+    """
+    volume = rows.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    sized = rows.groupBy("key").agg(F.ceil(F.sum(weight) / limit).alias("chunks"))
+    return (
+        rows.join(sized, "key")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-volume // limit)))))
+        .select(*rows.columns, "bin", F.least("own", "other").alias("k"), F.greatest("own", "other").alias("l"), "own")
+    )
+
+
+def _sides(keys: np.ndarray, own: np.ndarray, k: int, l: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each key of a group the rows of its one chunk and those of the other, which may be the same."""
+    order = np.argsort(keys, kind="stable")
+    heads = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else np.empty(0, np.int64)
+    for rows in np.split(order, heads[1:]):
+        left, right = rows[own[rows] == k], rows[own[rows] == l]
+        if len(left) and len(right):
+            yield left, right
+
+
+def _sketched(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows of a group the sketches, the sizes and the components as numbers."""
+    sketch = np.column_stack([table[f"s{i}"].to_numpy().view(np.uint64) for i in range(SKETCH_LONGS)])
+    component = table["component"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    return sketch, table["size"].to_numpy(), component
+
+
+def _may(sketch: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sizes and sketches of the rows x, y allow the similarity."""
+    fits = np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y])
+    return fits & (np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=-1, dtype=np.int64) <= SKETCH_BITS)
+
+
+def _open(rest: DataFrame, similarity: float) -> DataFrame:
+    """The rows that have a pair to be judged under their key: one of another component that comes near enough.
+
+    A pair is judged under the first key that both have.
+    """
+    columns = ["key", "node", "size", "component", *(f"s{i}" for i in range(SKETCH_LONGS))]
+
+    def judge(group: tuple, table: pa.Table) -> pa.Table:
+        _, k, l = (v.as_py() for v in group)
+        table = table.combine_chunks()
+        sketch, size, component = _sketched(table)
+        keys, own = table["key"].to_numpy(), table["own"].to_numpy()
+        bands = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
+        wanted = np.zeros(len(keys), bool)
+        for left, right in _sides(keys, own, k, l):
+            step = max(1, PAIRS_AT_ONCE // len(right))
+            for at in range(0, len(left), step):
+                x, y = np.repeat(left[at : at + step], len(right)), np.tile(right, len(left[at : at + step]))
+                near = component[x] != component[y]
+                x, y = x[near], y[near]
+                near = _may(sketch, size, x, y, similarity)
+                x, y = x[near], y[near]
+                both = bands[x] == bands[y]
+                first = bands[x, both.argmax(axis=1)]
+                here = (first == keys[x]) | ~both.any(axis=1)
+                wanted[x[here]] = wanted[y[here]] = True
+        return table.select(columns).filter(pa.array(wanted))
+
+    found = _dealt(rest, F.lit(1), CHUNK_ROWS).groupBy("bin", "k", "l").applyInArrow(judge, rest.select(*columns).schema)
+    return found.dropDuplicates(["key", "node"])
+
+
+def _across(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links `left, right` that, beside the components, span the same as all pairs of one key."""
+
+    def judge(group: tuple, table: pa.Table) -> pa.Table:
+        _, k, l = (v.as_py() for v in group)
+        table = table.combine_chunks()
+        sketch, size, component = _sketched(table)
+        lists = table["hashes"].combine_chunks()
+        flat, offsets = lists.flatten().to_numpy(), np.append(0, np.cumsum(size))
+        out: list[tuple[int, int]] = []
+        for left, right in _sides(table["key"].to_numpy(), table["own"].to_numpy(), k, l):
+            out += _forest(flat, offsets, sketch, size, component, left, right, similarity)
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        nodes = table["node"].combine_chunks()
+        return pa.table({"left": nodes.take(pa.array(pairs[:, 0])), "right": nodes.take(pa.array(pairs[:, 1]))})
+
+    dealt = _dealt(rows, F.col("size"), CHUNK_HASHES).join(sets, "node")
+    return dealt.groupBy("bin", "k", "l").applyInArrow(judge, "left binary, right binary").distinct()
+
+
+def _forest(
+    flat: np.ndarray, offsets: np.ndarray, sketch: np.ndarray, size: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float
+) -> list[tuple[int, int]]:
+    """Links between the rows left and right that join different components; row i has the set flat[offsets[i]:offsets[i + 1]]."""
+    rows = np.union1d(left, right)
+    numbers = np.unique(np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in rows.tolist()]), return_inverse=True)[1]
+    begin = np.cumsum(size[rows]) - size[rows]
+    sets = [numbers[b : b + n] for b, n in zip(begin.tolist(), size[rows].tolist(), strict=True)]
+    label = component[rows].copy()  # grows together as links are found
+    left, right = np.searchsorted(rows, left), np.searchsorted(rows, right)
+    held = np.zeros(int(numbers.max()) + 1, bool)
+    out = []
+    for x in left.tolist():
+        y = right[label[right] != label[x]]
+        y = y[_may(sketch, size, np.full(len(y), rows[x]), rows[y], similarity)]
+        if not len(y):
+            continue
+        held[sets[x]] = True
+        theirs = size[rows[y]]
+        shared = np.add.reduceat(held[np.concatenate([sets[i] for i in y.tolist()])], np.cumsum(theirs) - theirs, dtype=np.int64)
+        held[sets[x]] = False
+        y = y[shared / (len(sets[x]) + theirs - shared) >= similarity]
+        others, one = np.unique(label[y], return_index=True)
+        out += [(int(rows[x]), i) for i in rows[y[one]].tolist()]
+        if len(others):
+            label[np.isin(label, others)] = label[x]
+    return out
+
+
 def _close(sketch: list[str]) -> Column:
     differing = (F.bit_count(F.col(f"left_{c}").bitwiseXOR(F.col(f"right_{c}"))) for c in sketch)
     return sum(differing, start=F.lit(0)) <= SKETCH_BITS
@@ -230,7 +360,6 @@ def _sets(named: DataFrame, nodes: DataFrame, members: DataFrame, shingle: int)
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Of node pairs `left, right` those whose sets are similar enough; a node of many pairs meets them in portions."""
-    pairs, _ = write_scratch(pairs, "pairs")
     portions = pairs.groupBy("left").agg(F.ceil(F.count(F.lit(1)) / PORTION).alias("portions"))
     lefts = portions.join(sets.select(F.col("node").alias("left"), F.col("hashes").alias("left_set")), "left")
     lefts = lefts.select("left", "left_set", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"))
