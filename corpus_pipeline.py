@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm.components import components, remove_scratch, scratch_tables, write_scratch
+from feedloom.llm.components import components, remove_scratch, write_scratch
 from feedloom.llm.decontaminate import benchmark_matches
 from feedloom.llm.language import UNDETERMINED, fit_language
 from feedloom.llm.packing import pack
@@ -44,28 +44,15 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     place = F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("hash"))
     placed = docs.select(F.when(F.col("doc_id").isNotNull(), place).alias("place"), F.col("text").alias("text"))
-    with scratch_tables(spark) as write:
-        prints = write(simhash_groups(placed, id_col="place").filter("id is not null").select("id", "component"), "prints")
-        near = prints.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-        found = components(near.unionByName(similar_links(placed, id_col="place")))
-        gone = write(found.filter("node <> component").select(F.col("node").alias("place"), F.lit(False).alias("one")), "gone")
-        twice = prints.groupBy(F.col("id").alias("place")).count().filter("count > 1").join(gone, "place", "left_anti")
-        marks, _ = write_scratch(gone.unionByName(twice.select("place", F.lit(True).alias("one"))).select("place.*", "one"), "marks")
-    return _unmarked(docs, marks)
-
-
-def _unmarked(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The rows whose id and text hash are in none of the marks; of those whose mark says so the first one."""
+    near = simhash_groups(placed, id_col="place").filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    found = components(near.unionByName(similar_links(placed, id_col="place")))
+    gone = found.filter("node <> component").select("node.*")
+    # one shuffle, of rows without an id by their number; rows with one id and text are one node, of which the first row stays
     number = F.monotonically_increasing_id()
-    # rows without an id match no mark; a number deals them out
-    hashed = F.when(F.col("doc_id").isNotNull(), F.xxhash64("text")).otherwise(number)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), hashed.alias("part"), number.alias("number"))
-    same = (F.col("id") == F.col("doc_id")) & (F.col("part") == F.col("hash"))
-    stays = rows.join(marks, same, "left_anti").select("row.*")
-    if marks.filter("one").isEmpty():
-        return stays
-    first = rows.join(marks.filter("one"), same).groupBy("id", "part").agg(F.min_by("row", "number").alias("row"))
-    return stays.unionByName(first.select("row.*"))
+    part = F.when(F.col("doc_id").isNotNull(), F.xxhash64("text")).otherwise(number)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), part.alias("part"), number.alias("number"))
+    first = rows.groupBy("id", "part").agg(F.min_by("row", "number").alias("row"))
+    return first.join(gone, (F.col("id") == F.col("doc_id")) & (F.col("part") == F.col("hash")), "left_anti").select("row.*")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from feedloom.llm import components as component_tables
+from feedloom.llm import resemblance
 from feedloom.llm.components import components
 from feedloom.llm.resemblance import similar_links
 from feedloom.llm.simhash import fingerprint, near_fingerprints, simhash_groups
@@ -195,6 +197,34 @@ def test_similar_links_compare_across_components(spark):
     assert all(want[i] == i for i in sets if i >= 100)
 
 
+@pytest.mark.parametrize("rows_at_once, hashes_at_once", [(1 << 13, 1 << 20), (30, 2000)])
+def test_texts_alike_are_not_expanded_into_pairs(spark, monkeypatch, rows_at_once, hashes_at_once):
+    """Texts too unlike to link but near enough to be judged: no table has a row for each pair of them."""
+    monkeypatch.setattr(resemblance, "CHUNK_ROWS", rows_at_once, raising=False)
+    monkeypatch.setattr(resemblance, "CHUNK_HASHES", hashes_at_once, raising=False)
+    counts, plain = {}, component_tables.write_scratch
+
+    def counted(df, name):
+        table, path = plain(df, name)
+        counts[name] = max(counts.get(name, 0), table.count())
+        return table, path
+
+    monkeypatch.setattr(component_tables, "write_scratch", counted)
+    monkeypatch.setattr(resemblance, "write_scratch", counted)
+    rng = random.Random(8)
+    rows = []
+    for i in range(160):
+        words = [f"w{k}" for k in range(100)]
+        for at in rng.sample(range(100), 2):
+            words[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(words)))
+    sets = {i: slow_shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8]
+    found = [tuple(r) for r in similar_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert reach(sets, found) == reach(sets, links) and links
+    assert max(counts.values()) <= 30 * len(rows) < 160 * 159 // 4, counts
+
+
 def test_similar_links_of_odd_rows(spark):
     same = "some words that are long enough to make a few shingles of five"
     rows = [(None, same), (1, same), (1, same + " x"), (2, same), (2, "quite another text of seven words"), (3, None), (4, None), (5, "")]

@@ -4,6 +4,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from feedloom.llm import components
 from feedloom.llm.decontaminate import benchmark_matches
 
 LEAK = "the quick brown fox jumps over the lazy dog near the old mill"
@@ -44,6 +45,14 @@ def test_rows_that_share_an_id_are_judged_one_by_one(spark, sf_dir):
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(5, "clean"), (6, "clean")]
 
 
+def test_near_duplicates_leave_no_copy_of_the_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(components, "checkpoint_root", lambda _: str(tmp_path))
+    docs = spark.createDataFrame([(i, f"{plain('a')} {i % 7}", "en") for i in range(20)] + [(50, plain("b"), "en")] * 2, SCHEMA)
+    left = corpus_pipeline.one_of_each(spark, docs, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in left) == [0, 50]
+    assert {p.name for p in tmp_path.glob("llm/*/*")} <= {"fingerprints", "distinct", "edges", "links"}
+
+
 def test_without_labels_or_rows_nothing_is_rejected(spark, sf_dir):
     rows = [(1, "some text", None), (2, None, "en"), (None, "", None)]
     docs = spark.createDataFrame(rows, SCHEMA)
