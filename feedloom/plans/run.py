@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from feedloom.functions.tags import no_tags, show_tags
@@ -52,6 +52,14 @@ OUTCOME = [
 ]
 
 
+@dataclass(frozen=True)
+class Backlog:
+    """What several runs over the same tables have to do, planned once for all of them."""
+
+    planned: DataFrame
+    settled: DataFrame | None = None  # entry_id of what earlier runs have done
+
+
 @dataclass(frozen=True)
 class RunResult:
     """What a run did: the written ``outcome`` and what follows from it."""
@@ -71,7 +79,21 @@ class RunResult:
         """The tables after the run; a dry run leaves them as they were."""
         if self.options.dry_run:
             return self.before
-        return merged_tables(self.before, self.outcome, self.options)
+        tagged = any(row.tagged for row in self.changes)
+        return merged_tables(self.before, self.outcome, self.options, tagged)
+
+    @cached_property
+    def changes(self) -> list[Row]:
+        """The days with something to write, with counts of rows that bring tags, were tried and failed."""
+        kind, error = _change_kind(), F.col("error")
+        counts = self.outcome.groupBy(_day()).agg(
+            F.count_if(kind.isNotNull()).alias("changed"),
+            F.count_if(F.size(_synced_tags()) > 0).alias("tagged"),
+            F.count_if((F.col("action") == "translate") & error.isNotNull()).alias("failed"),
+            F.count_if(F.col("action") == "translate").alias("tried"),
+        )
+        # no more days than the lookback and the arrivals have
+        return [row for row in counts.collect() if row.changed or row.tagged]
 
     @property
     def errors(self) -> DataFrame:
@@ -88,6 +110,21 @@ class RunResult:
         row = tried.agg(F.count_if(F.col("error").isNull()), F.count_if(F.col("attempts") == 0)).first()
         return row[0], row[1]
 
+    @property
+    def translated(self) -> int:
+        return sum(row.tried - row.failed for row in self.changes)
+
+    def left_nothing(self) -> bool:
+        """Whether one more run over the tables as they are now would change nothing.
+
+        So it is if the quota was not used up and nothing failed; with tagging a run may
+        have tags to ask for again.
+        """
+        options = self.options
+        tried = sum(row.tried for row in self.changes)
+        within = options.quota is None or tried < options.quota
+        return within and not options.tagging and not any(row.failed for row in self.changes)
+
     @property
     def previews(self) -> DataFrame:
         return previews(self.outcome)
@@ -99,19 +136,34 @@ def enrich(
     translator: TextBackend | DataFrame,
     tagger: TagBackend | None = None,
     fulltext: DataFrame | None = None,
+    backlog: Backlog | None = None,
 ) -> RunResult:
     """Run once over a snapshot of the tables.
 
     ``translator`` is a callable asked once per chunk, or a glossary table to
     join with. Nothing is written to the tables; see ``feedloom.sources.store``.
+    ``backlog`` is what ``plan_backlog`` found before, less what was done since.
     """
-    outcome = stage(handle(tables, options, translator, tagger, fulltext), "outcome")
+    outcome = stage(handle(tables, options, translator, tagger, fulltext, backlog), "outcome")
     return RunResult(outcome, tables, options)
 
 
-def handle(tables, options, translator, tagger=None, fulltext=None) -> DataFrame:
+def plan_run(tables: Tables, options: EnrichOptions) -> DataFrame:
+    """What is to be done with each candidate."""
+    return plan_tags(plan_entries(select_candidates(tables, options), options), options)
+
+
+def plan_backlog(tables: Tables, options: EnrichOptions) -> Backlog | None:
+    """All there is to do, for runs of any quota; None with tagging, where a run decides what the next one asks."""
+    if options.tagging:
+        return None
+    planned = plan_run(tables, options)
+    return Backlog(stage(planned.where(F.col("action") != "skip"), "backlog"))
+
+
+def handle(tables, options, translator, tagger=None, fulltext=None, backlog=None) -> DataFrame:
     """One row per handled article with everything the merges need."""
-    planned = plan_tags(plan_entries(select_candidates(tables, options), options), options)
+    planned = plan_run(tables, options) if backlog is None else backlog.planned
     if tables.attempts is not None and options.retry_minutes is not None:
         waiting = tables.attempts.where(F.col("next_try") > F.lit(options.run_ts))
         waiting = waiting.select("entry_id", "owner_uid", F.lit("translate").alias("action"))
@@ -119,6 +171,8 @@ def handle(tables, options, translator, tagger=None, fulltext=None) -> DataFrame
     if options.quota is not None:
         # the cut needs keys only; texts are read again for the rows it leaves
         keys = planned.select("entry_id", "owner_uid", "date_entered", "action")
+        if backlog is not None and backlog.settled is not None:
+            keys = keys.join(backlog.settled, "entry_id", "left_anti")
         keys = stage(with_attempts(keys, tables.attempts), "plan")
         kept = within_quota(keys, options.quota, staged=True).select("entry_id")
         planned = planned.join(kept, "entry_id", "left_semi")
@@ -225,30 +279,57 @@ def _settle_untouched(untouched: DataFrame, tags: DataFrame) -> DataFrame:
     )
 
 
-def merged_tables(tables: Tables, outcome: DataFrame, options: EnrichOptions) -> Tables:
-    """The tables after the run. Failed rows leave theirs alone but for the error."""
-    done = outcome.where(F.col("error").isNull())
+def _day() -> Column:
+    """Tables laid out by day want the day of their article in new rows, too."""
+    return F.coalesce(F.date_format("date_entered", "yyyy-MM-dd"), F.lit("unknown")).alias("day")
+
+
+def _synced_tags() -> Column:
+    """The generated tags that a handled row brings to its subscription."""
     action, plan = F.col("action"), F.col("tag_plan")
     tag_action = plan["action"]
-    # tables laid out by day want the day of their article in new rows, too
-    day = F.coalesce(F.date_format("date_entered", "yyyy-MM-dd"), F.lit("unknown")).alias("day")
+    synced = F.col("error").isNull() & (action.isin("translate", "reapply") | (tag_action != "skip"))
+    # a replay without a tag plan of its own brings back the stored tags
+    replayed = (action == "reapply") & (tag_action == "skip")
+    tags = F.when(replayed, F.col("saved_tags")).otherwise(plan["tags"])
+    return F.when(synced, tags).otherwise(no_tags())
+
+
+def _change_kind() -> Column:
+    """What a handled row does to the tracking table, null for nothing."""
+    action = F.col("action")
+    return (
+        F.when(F.col("error").isNotNull(), "error")
+        .when(action == "translate", "save")
+        .when(action == "reapply", "reapply")
+        .when((action == "skip") & F.col("tag_plan.persist"), "tags")
+    )
+
+
+def merged_tables(
+    tables: Tables, outcome: DataFrame, options: EnrichOptions, tagged: bool = True
+) -> Tables:
+    """The tables after the run. Failed rows leave theirs alone but for the error.
+
+    ``tagged`` says whether any row brings tags to its subscription.
+    """
+    done = outcome.where(F.col("error").isNull())
+    action, plan = F.col("action"), F.col("tag_plan")
+    day = _day()
 
     rewritten = done.where(action.isin("translate", "reapply")).select(
         "entry_id", F.col("new_title").alias("title"), F.col("new_content").alias("content")
     )
-    # a replay without a tag plan of its own brings back the stored tags
-    synced = (
-        done.where(action.isin("translate", "reapply") | (tag_action != "skip"))
-        .withColumn(
-            "generated",
-            F.when((action == "reapply") & (tag_action == "skip"), F.col("saved_tags")).otherwise(
-                plan["tags"]
-            ),
+    user_entries, tags = tables.user_entries, tables.tags
+    if tagged:
+        synced = (
+            outcome.withColumn("generated", _synced_tags())
+            .where(F.size("generated") > 0)
+            .select("owner_uid", "user_entry_id", "generated", day)
         )
-        .where(F.size("generated") > 0)
-        .select("owner_uid", "user_entry_id", "generated", day)
-    )
-    merged = merge.merge_subscription_tags(tables.tags, synced)
+        merged = merge.merge_subscription_tags(tags, synced)
+        user_entries = merge.rewrite_tag_cache(user_entries, merged)
+        tags = tags.unionByName(merge.new_tag_rows(tags, merged, tables.tag_ids))
 
     saved = done.where(action == "translate").select(
         "entry_id",
@@ -265,15 +346,9 @@ def merged_tables(tables: Tables, outcome: DataFrame, options: EnrichOptions) ->
         plan["tags"].alias("generated_tags"),
         day,
     )
-    kind = (
-        F.when(F.col("error").isNotNull(), "error")
-        .when(action == "translate", "save")
-        .when(action == "reapply", "reapply")
-        .when((action == "skip") & plan["persist"], "tags")
-    )
     changes = outcome.select(
         "entry_id",
-        kind.alias("kind"),
+        _change_kind().alias("kind"),
         plan["tags"].alias("new_tags"),
         plan["persist"].alias("persist"),
         F.col("error").alias("message"),
@@ -287,9 +362,9 @@ def merged_tables(tables: Tables, outcome: DataFrame, options: EnrichOptions) ->
         attempts = merge.count_attempts(attempts, tried, options.run_ts, options.retry_minutes)
     return Tables(
         entries=merge.overwrite_articles(tables.entries, rewritten),
-        user_entries=merge.rewrite_tag_cache(tables.user_entries, merged),
+        user_entries=user_entries,
         feeds=tables.feeds,
-        tags=tables.tags.unionByName(merge.new_tag_rows(tables.tags, merged, tables.tag_ids)),
+        tags=tags,
         translations=translations,
         attempts=attempts,
     )

@@ -28,7 +28,7 @@ from feedloom.operators.inference import TextBackend
 from feedloom.operators.merge import enforce_references
 from feedloom.operators.tagging import TagBackend
 from feedloom.options import EnrichOptions
-from feedloom.plans.run import RunResult, enrich
+from feedloom.plans.run import Backlog, RunResult, enrich
 from feedloom.sources import schemas
 from feedloom.sources.index import (
     BUCKETS,
@@ -96,6 +96,7 @@ class TableStore:
         self.root = root.rstrip("/")
         self.buckets = buckets
         self._seen = -1  # the highest version known to be committed
+        self._read: tuple | None = None  # the last commit file read, which never changes, and its version
 
     @classmethod
     def create(
@@ -121,7 +122,10 @@ class TableStore:
                 self._seen += step
         if self._seen < 0:
             return None
-        return self.spark.read.schema(COMMITS).json(self._commit_path(self._seen)).first()
+        if self._read is None or self._read[0] != self._seen:
+            commit = self.spark.read.schema(COMMITS).json(self._commit_path(self._seen)).first()
+            self._read = (self._seen, commit)
+        return self._read[1]
 
     def _commit_path(self, version: int) -> str:
         return f"{self.root}/_commits/{version}"
@@ -295,6 +299,7 @@ def run_on_store(
     arrived: DataFrame | None = None,
     subscribed: DataFrame | None = None,
     batch_id: int | None = None,
+    backlog: Backlog | None = None,
 ) -> RunResult:
     """One run over the stored tables, with its results committed.
 
@@ -302,7 +307,8 @@ def run_on_store(
     new subscriptions to take in first; they become visible in the same commit.
     With a column ``arrived_at``, a version older than the stored one is left out.
     What was staged is removed then, but for the outcome. Nothing is written in
-    a dry run.
+    a dry run. Days and tables in which nothing changes are left as they are. ``backlog``
+    is what was planned before and is still to be done.
     """
     if arrived is None and subscribed is not None:
         arrived = store.spark.createDataFrame([], schemas.ENTRIES)
@@ -319,14 +325,18 @@ def run_on_store(
         tables = store.tables(lambda day: in_lookback(day) or day in new_days)
         if taken is not None:
             tables = tables.with_arrivals(taken.articles, taken.subscriptions)
-        result = enrich(tables, options, translator, tagger, fulltext)
+        result = enrich(tables, options, translator, tagger, fulltext, backlog)
         if options.dry_run:
             return result
-        # no more days than the lookback and the arrivals have
-        handled = result.outcome.select(day_of(F.col("date_entered"))).distinct().collect()
-        touched = sorted(new_days | {row.day for row in handled})
+        touched = sorted(new_days | {row.day for row in result.changes})
+        tagged = any(row.tagged for row in result.changes)
+        failed = any(row.failed for row in result.changes)
+        commit = store.last_commit()
+        noted = any(p.name == "attempts" and p.day in touched for p in commit.parts) if commit else False
+        same = {"tags": not tagged, "user_entries": not tagged and taken is None, "attempts": not failed and not noted}
         after = dict(result.tables.items())
-        updates = {name: after[name].where(F.col("day").isin(*touched)) for name in DAILY}
+        changing = [name for name in DAILY if touched and not same.get(name)]
+        updates = {name: after[name].where(F.col("day").isin(*touched)) for name in changing}
         replaced = set(touched)
         if taken is not None:
             updates["index"] = taken.index
@@ -336,7 +346,9 @@ def run_on_store(
     for folder, is_outcome in folders.items():
         if not is_outcome:
             remove(store.spark, folder)
-    return replace(result, staged=tuple(f for f, is_outcome in folders.items() if is_outcome))
+    kept = replace(result, staged=tuple(f for f, is_outcome in folders.items() if is_outcome))
+    vars(kept)["changes"] = result.changes  # counted once
+    return kept
 
 
 def clean_references(store: TableStore) -> int:

@@ -13,9 +13,11 @@ from pyspark.sql.streaming import StreamingQuery
 from feedloom.operators.inference import TextBackend
 from feedloom.operators.tagging import TagBackend
 from feedloom.options import EnrichOptions
+from feedloom.plans.run import plan_backlog
 from feedloom.sources import schemas
 from feedloom.sources.index import version_digest
-from feedloom.sources.store import TableStore, run_on_store
+from feedloom.sources.staging import recorded_stages, remove, stage
+from feedloom.sources.store import TableStore, lookback_days, run_on_store
 
 # A row with an ``id`` is a version of an article, one with an ``int_id`` a
 # subscription to the article ``ref_id``, by default to that of its own row. An
@@ -91,14 +93,27 @@ def work_off(
     Failed articles queue behind all others, so a pass that translates nothing and
     tries nothing but what failed before is the last one. It takes as many articles as all
     passes over this batch before it together, so each that failed in one of them is tried twice.
+    If nothing failed, the pass that does not use up its quota is the last.
+
+    Nothing arrives meanwhile, so what there is to do is found once, and the passes take it from there.
     """
-    for doubled in count():
-        taking = replace(options, quota=options.quota << doubled)
-        result = run_on_store(store, taking, translator, tagger, fulltext, batch_id=batch_id)
-        translated, fresh = result.progress()
-        result.forget()
-        if not translated and not fresh:
-            return
+    with recorded_stages() as made:
+        backlog = plan_backlog(store.tables(lookback_days(options)), options)
+        for doubled in count():
+            taking = replace(options, quota=options.quota << doubled)
+            result = run_on_store(
+                store, taking, translator, tagger, fulltext, batch_id=batch_id, backlog=backlog
+            )
+            last = result.left_nothing() or not (result.translated or any(result.progress()))
+            if not last and backlog is not None:
+                done = result.outcome.where(F.col("error").isNull()).select("entry_id")
+                settled = done if backlog.settled is None else backlog.settled.unionByName(done)
+                backlog = replace(backlog, settled=stage(settled, "settled"))
+            result.forget()
+            if last:
+                break
+    for path in made:
+        remove(store.spark, path.rpartition("/")[0])
 
 
 def start(

@@ -15,6 +15,7 @@ from feedloom.operators.inference import GlossaryBackend, ReplyFormatError
 from feedloom.operators.planning import plan_entries
 from feedloom.operators.replies import with_string_array, with_tag_results
 from feedloom.operators.tagging import generate_tags
+from feedloom.plans import run
 from feedloom.plans.run import enrich
 from feedloom.sources import schemas
 from feedloom.operators.inference import translate_texts
@@ -24,7 +25,7 @@ from feedloom.sources.index import bucket_name, newest_rows
 from feedloom.sources.store import TableStore, clean_references, run_on_store, settle_days
 from feedloom.sources.tables import Tables, empty, migrate_translations, read_or_create
 from feedloom.streaming import loop
-from feedloom.streaming.loop import ARRIVALS, start, take_in
+from feedloom.streaming.loop import ARRIVALS, start, take_in, work_off
 
 ship_by_value(__name__)
 
@@ -414,6 +415,60 @@ def test_passes_over_a_backlog_grow_with_its_logarithm(spark, tmp_path, monkeypa
     assert set(attempts) == {1, 2, 3} and min(attempts.values()) > 1
 
 
+def test_a_backlog_is_planned_once_and_ends_when_its_quota_is_not_used_up(spark, tmp_path, monkeypatch):
+    passes, plans = [], []
+
+    def counted(*args, **named):
+        passes.append(args[1].quota)
+        return run_on_store(*args, **named)
+
+    def planned(*args):
+        plans.append(args)
+        return select_candidates(*args)
+
+    monkeypatch.setattr(loop, "run_on_store", counted)
+    monkeypatch.setattr(run, "select_candidates", planned)
+    store = empty_store(spark, str(tmp_path / "store"))
+    arriving(spark, str(tmp_path / "in"), [(i, "t") for i in range(1, 6)])
+    few = replace(OPTIONS, quota=1)
+    start(
+        store, str(tmp_path / "in"), str(tmp_path / "cp"), lambda _: few, GlossaryBackend()
+    ).awaitTermination()
+    titles = {r.id: r.title for r in store.read("entries").collect()}
+    assert titles == {i: "T(t)" for i in range(1, 6)}
+    assert store.read("translations").count() == 5
+    assert passes == [1, 1, 2, 4]  # the last one had one article
+    assert len(plans) == 2  # for what arrived, and for the backlog
+
+
+def test_a_backlog_replays_what_is_stored(spark, tmp_path):
+    articles = [(i, f"a{i}", f"<p>{i}</p>", None) for i in range(2, 7)]
+    tracked = (*TRACKED[:6], ("ferry",))
+    tables = make_tables(spark, [(1, "Ferry", "<p>Late again</p>", None), *articles], [tracked])
+    store = TableStore.create(spark, str(tmp_path / "store"), tables)
+    work_off(store, 0, replace(OPTIONS, quota=1), GlossaryBackend())
+    titles = {r.id: r.title for r in store.read("entries").collect()}
+    assert titles == {1: "渡轮"} | {i: f"T(a{i})" for i in range(2, 7)}
+    assert [(r.tag_name, r.post_int_id) for r in store.read("tags").collect()] == [("ferry", 10)]
+    assert {r.int_id: r.tag_cache for r in store.read("user_entries").collect()}[10] == "ferry"
+    assert store.read("translations").where("entry_id = 1 and reapplied_at is not null").count() == 1
+    assert run_on_store(store, OPTIONS, GlossaryBackend()).stats.first().skipped == 6
+
+
+def test_a_run_rewrites_only_what_it_changes(spark, tmp_path):
+    articles = [(1, "a", "<p>b</p>", "x"), (30, "渡轮", "<p>又晚点</p>", "y")]
+    tables = make_tables(spark, articles, [(30, *TRACKED[1:])], tags=[(5, "x", 1, 10)])
+    store = TableStore.create(spark, str(tmp_path / "store"), tables)
+    run_on_store(store, OPTIONS, GlossaryBackend())
+    parts = {(p.name, p.day): p.version for p in store.last_commit().parts}
+    new, old = [(NOW - timedelta(hours=i)).date().isoformat() for i in (1, 30)]
+    assert parts["entries", new] == 1 and parts["translations", new] == 1
+    # the other day has only an article that shows its translation, and no row brings tags
+    assert parts["entries", old] == 0 and parts["translations", old] == 0
+    assert parts["tags", new] == 0 and parts["user_entries", new] == 0
+    assert {r.title for r in store.read("entries").collect()} == {"T(a)", "渡轮"}
+
+
 def test_failed_articles_wait(spark, tmp_path):
     store = empty_store(spark, str(tmp_path / "store"))
     arriving(spark, str(tmp_path / "in"), [(1, "bad"), (2, "b")])
